@@ -40,16 +40,19 @@ def _node(url: Column) -> Column:
 def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``(src, dst)`` of the canonical links and immediate refreshes that pages declare.  Relative targets get the page's scheme and host."""
     tag = r"(?is)<(?:link|meta)\b[^>]*>"
-    value = lambda name: rf"""(?is)\b{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    attr = lambda c, name: F.concat(*(F.regexp_extract(c, value(name), g) for g in (1, 2, 3)))
     some = pages.select(F.col(url_col).alias("u"), F.col(html_col).alias("h")).where(F.col("u").contains("://") & F.col("h").rlike(r"(?i)canonical|http-equiv"))
     some = some.select("u", F.explode(F.regexp_extract_all(F.regexp_replace("h", r"(?s)<!--.*?-->|(?i:<script\b.*?</script>)", ""), F.lit(tag), F.lit(0))).alias("t"))
-    canonical = F.when(F.lower(attr(F.col("t"), "rel")).rlike(r"(^|\s)canonical(\s|$)"), attr(F.col("t"), "href"))
-    refresh = F.when(F.lower(attr(F.col("t"), "http-equiv")) == "refresh", F.regexp_extract(attr(F.col("t"), "content"), r"""(?is)^\s*0*\s*[;,]\s*url\s*=\s*['"]?([^'"]+)""", 1))
-    some = some.select("u", F.replace(F.trim(F.coalesce(canonical, refresh)), F.lit("&amp;"), F.lit("&")).alias("d")).where("d != ''")
+    # few rows; stored, so that each step's expressions are computed once
+    tags = materialize(some.where(F.col("t").rlike(r"""(?is)\brel\s*=[^>]*\bcanonical\b|\bhttp-equiv\s*=\s*["']?refresh""")), "url-tags")
+    canonical = F.regexp_extract("t", r"""(?is)\bhref\s*=\s*["']?\s*([^"'\s>]+)""", 1)
+    refresh = F.regexp_extract("t", r"""(?is)\bcontent\s*=\s*["']?\s*0*\s*[;,]\s*url\s*=\s*['"]?([^'"\s>]+)""", 1)
+    target = tags.select("u", F.replace(F.when(F.lower("t").startswith("<link"), canonical).otherwise(refresh), F.lit("&amp;"), F.lit("&")).alias("d"))
+    target = materialize(target.where("d != ''"), "url-targets")
     base = F.regexp_extract("u", r"(?s)^(.*?://[^/?#]*)", 1)
     full = F.when(F.col("d").contains("://"), F.col("d")).when(F.col("d").startswith("//"), F.concat(F.regexp_extract("u", r"(?s)^(.*?:)//", 1), "d")).when(F.col("d").startswith("/"), F.concat(base, "d"))
-    return some.select(F.col("u").alias("src"), full.alias("dst")).where("dst IS NOT NULL")
+    out = materialize(target.select(F.col("u").alias("src"), full.alias("dst")), "url-links")
+    release(tags, target)
+    return out.where("dst IS NOT NULL")
 
 
 def _rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> tuple[Column, Column]:
