@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import packing, simhash, url_filter
+from . import embeddings, html_text, langid, packing, simhash, toxicity, url_filter
 
 
 def queries():
     return {
         "op1_simhash": simhash.op1_simhash,
+        "op2_embeddings": embeddings.op2_embeddings,
         "op3_url_filter": url_filter.op3_url_filter,
+        "op4_toxicity": toxicity.op4_toxicity,
+        "op5_langid": langid.op5_langid,
+        "op8_html_text": html_text.op8_html_text,
         "op10_packing": packing.op10_packing,
     }
 
