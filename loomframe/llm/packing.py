@@ -168,6 +168,10 @@ def pack(df: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", te
     return df.select(id_col, text_col).mapInArrow(batches, f"`{id_col}` {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
+def digest(pieces: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``pieces`` with the CRC-32 of their ids in place of the ids."""
+    return pieces.select(id_col, "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op10_packing(spark, sf_dir):
-    out = pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return digest(pack(spark.read.parquet(f"{sf_dir}/documents.parquet")))

@@ -2,20 +2,30 @@
 
 from __future__ import annotations
 
-from . import embeddings, html_text, langid, packing, simhash, toxicity, url_filter
+from . import chat, decontaminate, embeddings, html_text, langid, line_dedup, packing, simhash, toxicity, url_filter
+
+
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries():
     return {
+        "pipeline": pipeline,
         "op1_simhash": simhash.op1_simhash,
         "op2_embeddings": embeddings.op2_embeddings,
         "op3_url_filter": url_filter.op3_url_filter,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_langid": langid.op5_langid,
+        "op6_chat": chat.op6_chat,
+        "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_html_text": html_text.op8_html_text,
+        "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_packing": packing.op10_packing,
     }
 
 
 def oracle_sql():
-    return {"op3_url_filter": url_filter.OP3_SQL}
+    return {"op3_url_filter": url_filter.OP3_SQL, "op7_line_dedup": line_dedup.OP7_SQL}

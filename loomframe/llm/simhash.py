@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import connected_components, materialize, release
 
@@ -72,27 +73,31 @@ def covering(radius: int) -> list[tuple[int, ...]]:
     return list(combinations(range(8), least))
 
 
-def _linked(keys: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int):
-    """Spanning links among the rows of one task, which are sorted by key; two sides are compared with each other only."""
-    _, node = np.unique(fp, return_inverse=True)
-    root = np.arange(node.max(initial=-1) + 1)
+def _linked(keys: np.ndarray, side: np.ndarray, node: np.ndarray, fp: np.ndarray, radius: int, least: int):
+    """Spanning links among the rows of one task, which are sorted by key; fp has a row of 64-bit words for each.
+
+    Rows of side 0 are compared with each other, those of side 1 and 2 with the other side only.
+    """
+    value, own = np.unique(node, return_inverse=True)
+    root = np.arange(len(value))
     at = np.arange(len(keys))
+    size = 8 * fp.shape[1]
     d = 0
     while len(at):
         d += 1
         at = at[at + d < len(keys)]
         at = at[keys[at] == keys[at + d]]
         i, j = at, at + d
-        both = side[i] | side[j]
-        use = (both == 0) | ((side[i] != side[j]) & (both == 3))
+        use = ((side[i] | side[j]) == 0) | ((side[i] | side[j]) == 3) & (side[i] != side[j])
         i, j = i[use], j[use]
         x = fp[i] ^ fp[j]
         z = x | (x >> np.uint64(4))
         z |= z >> np.uint64(2)
         z |= z >> np.uint64(1)
-        shared = 8 - np.bitwise_count(z & np.uint64(0x0101010101010101))
-        ok = (shared >= 8 - radius) & (np.bitwise_count(x) <= radius)
-        a, b = root[node[i[ok]]], root[node[j[ok]]]
+        shared = size - np.bitwise_count(z & np.uint64(0x0101010101010101)).sum(1, dtype=np.int64)
+        ok = shared >= least
+        ok[ok] = np.bitwise_count(x[ok]).sum(1, dtype=np.int64) <= radius
+        a, b = root[own[i[ok]]], root[own[j[ok]]]
         while (a != b).any():
             low = np.minimum(a, b)
             np.minimum.at(root, a, low)
@@ -100,11 +105,69 @@ def _linked(keys: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int):
             while (root[root] != root).any():
                 root = root[root]
             a, b = root[a], root[b]
-    value = np.unique(fp)
     moved = np.flatnonzero(root != np.arange(len(root)))
     return value[moved], value[root[moved]]
 
 
+def _links(posts: DataFrame, radius: int, least: int, chunk: int = 200_000) -> DataFrame:
+    """Spanning links ``(a, b)`` of ``posts(key, side, node, fp binary)``."""
+
+    def links(it):
+        held: list[pa.RecordBatch] = []
+        rows = 0
+
+        def flush(upto: int):
+            k, s, n = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in range(3))
+            raw = pa.concat_arrays([b.column(3) for b in held])
+            start = raw.buffers()[1]
+            at = np.frombuffer(start, np.int32)[raw.offset : raw.offset + len(raw) + 1]
+            fp = np.frombuffer(raw.buffers()[2], np.uint8)[at[0] : at[-1]].reshape(len(raw), -1)[:upto]
+            a, b = _linked(k[:upto], s[:upto], n[:upto], np.ascontiguousarray(fp).view(np.uint64), radius, least)
+            rest, keep = upto, []
+            for x in held:
+                if rest < len(x):
+                    keep.append(x.slice(rest))
+                rest = max(0, rest - len(x))
+            held[:] = keep
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for batch in it:
+            if not len(batch):
+                continue
+            held.append(batch)
+            rows += len(batch)
+            if rows >= chunk:
+                k = np.concatenate([b.column(0).to_numpy() for b in held])
+                cut = int(np.searchsorted(k, k[-1]))
+                if cut:
+                    yield flush(cut)
+                    rows = sum(map(len, held))
+        if held:
+            yield flush(rows)
+
+    return posts.repartition("key").sortWithinPartitions("key").select("key", "side", "node", "fp").mapInArrow(links, "a long, b long")
+
+
+def _dealt(posts: DataFrame, lists: DataFrame, block: int, how: str) -> DataFrame:
+    """``posts(key, node, fp)`` with lists beyond ``block`` dealt out as pairs of blocks; side tells a pair's blocks apart."""
+    c = F.ceil(F.coalesce("n", F.lit(1)) / F.lit(block)).cast("int")
+    posts = posts.join(lists, "key", how).select("key", "node", "fp", c.alias("c"), F.pmod(F.xxhash64("node", F.lit(7)), c).cast("int").alias("own"))
+    posts = posts.select("key", "node", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("other"))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).cast("int")
+    return posts.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), side.alias("side"), "node", "fp")
+
+
+def _classes(nodes: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
+    """``(key, class, component_id)`` of ``nodes(node, key, rep)``: the least linked node, and the least rep of the class."""
+    comp = materialize(connected_components(pairs), "simhash-comp")
+    least = nodes.join(comp, "node").groupBy("component").agg(F.min("rep").alias("component_id"))
+    known = comp.join(least, "component").select("node", "component", "component_id")
+    known = nodes.join(known, "node", "left").select(key, F.coalesce("component", "node").alias("class"), F.when(F.col("component").isNull(), F.col("rep")).otherwise(F.col("component_id")).alias("component_id"))
+    known = materialize(known, "simhash-known")
+    release(comp)
+    return known
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, block: int = 2048) -> DataFrame:
     """``(id_col, fp, class_fp, component_id)`` for each row of ``df``.
 
@@ -121,46 +184,104 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         mask = sum(0xFF << (8 * p) for p in g)
         mask -= (mask >> 63) << 64
         keys.append(F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(mask).cast("long"))))
-    posts = nodes.select("fp", F.explode(F.array(*keys)).alias("key"))
+    word = F.unhex(F.lpad(F.hex("fp"), 16, "0"))  # the order of bytes is all one to the tally
+    posts = nodes.select(F.col("fp").alias("node"), word.alias("fp"), F.explode(F.array(*keys)).alias("key"))
     lists = materialize(posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "simhash-lists")
-    c = F.ceil(F.col("n") / F.lit(block)).cast("int")
-    own = F.pmod(F.xxhash64("fp", F.lit(7)), c).cast("int")
-    # side 0: a whole list, or a block with itself; 1 and 2: the lower and the higher block of a pair
-    posts = posts.join(lists, "key").select("key", "fp", c.alias("c"), own.alias("own")).select("key", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("other"))
-    posts = posts.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp", F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).cast("int").alias("side"))
+    pairs = _links(_dealt(posts, lists, block, "inner"), radius, 8 - radius)
+    known = _classes(nodes.select(F.col("fp").alias("node"), "fp", "rep"), pairs, "fp")
+    release(lists)
+    return rows.join(known, "fp").select(id_col, "fp", F.col("class").alias("class_fp"), "component_id")
 
-    def links(it):
-        ks, ss, fs = [], [], []
-        done = 0
 
-        def flush(upto):
-            k, s, f = (np.concatenate(x) for x in (ks, ss, fs))
-            a, b = _linked(k[:upto], s[:upto], f[:upto].view(np.uint64), radius)
-            ks[:], ss[:], fs[:] = [k[upto:]], [s[upto:]], [f[upto:]]
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+# Odd constants that spread one 64-bit hash to several.
+_SPREAD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
 
-        for batch in it:
-            for to, col in zip((ks, ss, fs), batch.columns, strict=True):
-                to.append(col.to_numpy(zero_copy_only=False))
-            done += len(batch)
-            if done >= 200_000:
-                k = np.concatenate(ks)
-                cut = int(np.searchsorted(k, k[-1]))
-                if cut:
-                    yield flush(cut)
-                    done = len(ks[0])
-        if ks:
-            yield flush(sum(map(len, ks)))
-
-    pairs = posts.repartition("key").sortWithinPartitions("key").select("key", "side", "fp").mapInArrow(links, "a long, b long")
-    comp = connected_components(pairs)
-    comp = materialize(comp, "simhash-comp")
-    least = nodes.join(comp, nodes.fp == comp.node).groupBy("component").agg(F.min("rep").alias("component_id"))
-    known = comp.join(least, "component").select("node", "component", "component_id")
-    known = nodes.join(known, nodes.fp == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("class_fp"), F.when(F.col("node").isNull(), F.col("rep")).otherwise(F.col("component_id")).alias("component_id"))
-    known = materialize(known, "simhash-known")
-    release(lists, comp)
-    return rows.join(known, "fp").select(id_col, "fp", "class_fp", "component_id")
+
+def wide_fingerprint(text: str | None, words: int = 5) -> bytes:
+    """A 256-bit SimHash of a text's set of word shingles."""
+    import xxhash
+
+    ws = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not ws:
+        return bytes(32)
+    if len(ws) <= words:
+        shingles = {b" ".join(ws)}
+    else:
+        shingles = set(map(b" ".join, zip(*(ws[i:] for i in range(words)), strict=False)))
+    h = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64, len(shingles))[:, None] * _SPREAD
+    h ^= h >> np.uint64(31)
+    h *= _SPREAD[::-1]
+    h ^= h >> np.uint64(29)
+    seen = np.bincount((h.view(np.uint8).reshape(-1, 32) + np.arange(32) * 256).ravel(), minlength=8192).reshape(32, 256)
+    return np.packbits((2 * (seen @ _BITS) > len(h)).astype(np.uint8), axis=1, bitorder="little").tobytes()
+
+
+def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 48, least: int = 3, recall: float = 0.99, block: int = 2048) -> DataFrame:
+    """``(id_col, key, class, component_id)``: classes of texts of a Jaccard similarity of 0.8 or more, about.
+
+    At that similarity 15 % of SimHash bits differ, 10 of 64: no radius at which shared bytes are guaranteed.  So
+    the fingerprint has 256 bits here, the index posts it under groups of byte positions drawn at random, as many
+    as reach ``recall`` at that share of differing bits, the tally must reach ``least`` of the 32 positional bytes
+    (a pair at 15 % falls below it once in hundreds), and the verified distance is ``radius`` bits, 19 %.
+    Groups have as many bytes as keep a list's expected length within single figures.  Null and empty texts are
+    one class.
+    """
+
+    def batches(it):
+        for b in it:
+            got = [wide_fingerprint(t, words) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary())], [id_col, "key"])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    rows = materialize(df.select(id_col, text_col).mapInArrow(batches, f"`{id_col}` {kind}, key binary"), "simhash-rows")
+    nodes = rows.groupBy("key").agg(F.min(id_col).alias("rep")).select(F.monotonically_increasing_id().alias("node"), "key", "rep")
+    nodes = materialize(nodes, "simhash-nodes")
+    n = nodes.count()
+    size = 2 if n < 1 << 19 else 3 if n < 1 << 27 else 4
+    tables = int(np.ceil(np.log(1 - recall) / np.log(1 - 0.848 ** (8 * size))))
+    rng = np.random.default_rng(SEED)
+    groups = sorted({tuple(sorted(rng.choice(32, size, replace=False).tolist())) for _ in range(50 * tables)}, key=hash_group)[:tables]
+    keys = F.array(*(F.xxhash64(F.lit(t), *(F.substring("key", p + 1, 1) for p in g)) for t, g in enumerate(groups)))
+    posts = nodes.select("node", F.col("key").alias("fp"), F.explode(keys).alias("key"))
+    hot = materialize(posts.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block), "simhash-lists")
+    pairs = _links(_dealt(posts, hot, block, "left"), radius, least)
+    known = _classes(nodes, pairs, "key")
+    release(hot)
+    return rows.join(known, "key").select(id_col, "key", "class", "component_id")
+
+
+def hash_group(group: tuple[int, ...]) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(bytes(group), SEED)
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row, all columns, of each class of near copies: that of the smallest id; of rows that repeat it, one of least text.
+
+    Rows without an id are kept, one of each class that has no id at all.
+    """
+    found = similar_classes(docs, id_col, text_col)
+    heads = found.where(F.col(id_col).eqNullSafe(F.col("component_id")))
+    heads = heads.groupBy("class", F.col(id_col).alias("_id")).agg(F.min("key").alias("_key"), F.count("*").alias("_n")).select("_id", "_key", "_n")
+    heads = materialize(heads, "simhash-heads")
+    # an id heads one class with one row, unless rows repeat it; those few are told apart by their texts
+    ids = heads.groupBy("_id").agg(F.sum("_n").alias("_n"))
+    once, many = (materialize(ids.where(f"_n {op} 1").select("_id"), "simhash-ids") for op in ("=", ">"))
+    kept = docs.join(once, docs[id_col].eqNullSafe(once["_id"]), "left_semi")
+    if many.isEmpty():
+        return kept
+
+    def keyed(it):
+        for b in it:
+            key = [wide_fingerprint(x) for x in b.column(b.schema.get_field_index(text_col)).to_pylist()]
+            yield b.append_column("_key", pa.array(key, pa.binary()))
+
+    rows = docs.join(many, docs[id_col].eqNullSafe(many["_id"]), "left_semi")
+    rows = rows.mapInArrow(keyed, T.StructType([*docs.schema.fields, T.StructField("_key", T.BinaryType())])).alias("r")
+    rows = rows.join(heads.alias("h"), F.col(f"r.{id_col}").eqNullSafe(F.col("h._id")) & (F.col("r._key") == F.col("h._key")), "left_semi")
+    rows = rows.groupBy(id_col, "_key").agg(F.min_by(F.struct(*docs.columns), text_col).alias("_row")).select("_row.*")
+    return kept.unionAll(rows)
 
 
 def op1_simhash(spark, sf_dir):

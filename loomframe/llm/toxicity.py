@@ -178,6 +178,19 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     return docs.select(id_col, text_col).mapInArrow(batches, f"`{id_col}` {kind}, score double")
 
 
+def keep_clean(docs: DataFrame, model: dict, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs``, all columns, with a score under ``threshold``."""
+
+    def batches(it):
+        auto, n = _automaton(model["voters"]) if model["voters"] else None, len(model["voters"])
+        for b in it:
+            texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
+            c = np.minimum(_counts(texts, auto, n), 65535) if n else np.zeros((len(texts), 1), np.float32)
+            yield b.filter(pa.array(1 / (1 + np.exp(-np.clip(_features(c) @ model["weights"], -30, 30))) < threshold))
+
+    return docs.mapInArrow(batches, docs.schema)
+
+
 def held_out(id_col: str = "doc_id", mod: int = 3, rest: int = 1):
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(mod)) == rest, F.lit(False))
 
