@@ -1,23 +1,576 @@
-"""The registered queries over the driver's tables and their SQL."""
+"""The registered queries over the driver's tables, each through the library's operators, and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import ordered
+from .functions.datetimes import date_range, to_datetime
+from .functions.scalars import AGGREGATES
+from .operators.frame import Frame, concat
+from .operators.groupby import Grouper
+from .sources import from_spark
+from .sources.channel import shard
+
+# Columns that order a table; where rows repeat them the query orders nothing.
+ORDER = {"orders": ["o_orderkey"], "events": ["event_id"], "customer": ["c_custkey"], "part": ["p_partkey"], "supplier": ["s_suppkey"], "nation": ["n_nationkey"], "region": ["r_regionkey"], "embeddings": ["vec_id"]}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> Frame:
+    return from_spark(spark.read.parquet(f"{sf_dir}/{name}.parquet"), order=ORDER.get(name, ()))
+
+
+def _sum(c, scale: int):
+    """A sum that does not depend on the order of its terms."""
+    return F.sum(c.cast(f"decimal(18,{scale})")).cast("double")
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def flagship_clean_group(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == "R")
-    return li.groupBy("l_linestatus").agg(F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("qty"))
+    lineitem = table(spark, sf_dir, "lineitem")
+    g = lineitem.filter(lineitem["l_returnflag"] == "R").groupby("l_linestatus", as_index=False)
+    return g._result([F.count("*").alias("n"), _sum(F.col("l_quantity"), 2).alias("qty")]).to_spark()
+
+
+def project_select(spark, sf_dir):
+    lineitem = table(spark, sf_dir, "lineitem")
+    return lineitem[["l_orderkey", "l_quantity"]][lineitem["l_quantity"] <= 6].to_spark()
+
+
+def isin_filter(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    return orders.assign(hot=orders["o_orderpriority"].isin(["1-URGENT", "2-HIGH"]))[["o_orderkey", "hot"]].to_spark()
+
+
+def isna_notna(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    v = events["value"]
+    return events.assign(is_na=v.isna(), not_na=v.notna())[["event_id", "is_na", "not_na"]].to_spark()
+
+
+def comp_ops(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    p, s = orders["o_totalprice"], orders["o_orderstatus"]
+    return orders.assign(gt=p > 1000, le=p <= 1000, eq=s == "F", ne=s != "F")[["o_orderkey", "gt", "le", "eq", "ne"]].to_spark()
+
+
+def math_ops(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    p = orders["o_totalprice"]
+    return orders.assign(a=p + 1, s=p - 1, m=p * 2, d=p / 2)[["o_orderkey", "a", "s", "m", "d"]].to_spark()
+
+
+def floordiv_mod(spark, sf_dir):
+    customer = table(spark, sf_dir, "customer")
+    b = customer["c_acctbal"]
+    return customer.assign(fd=(b // 7).astype("float"), md=b % 7)[["c_custkey", "fd", "md"]].to_spark()
+
+
+def abs_pow(spark, sf_dir):
+    customer = table(spark, sf_dir, "customer")
+    return customer.assign(a=customer["c_acctbal"].abs(), p=customer["c_nationkey"] ** 2)[["c_custkey", "a", "p"]].to_spark()
+
+
+def where_mask(spark, sf_dir):
+    customer = table(spark, sf_dir, "customer")
+    b = customer["c_acctbal"]
+    return customer.assign(w=b.where(b > 0), m=b.mask(b > 0, 0.0))[["c_custkey", "w", "m"]].to_spark()
+
+
+def fillna_value(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    return events[["event_id", "value"]].fillna({"value": -1.0}).rename(columns={"value": "v"}).to_spark()
+
+
+def fillna_ffill(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    v = events["value"]
+    f = events.assign(v=v.where(events["event_id"] % 3 == 0))[["event_id", "v"]]
+    return f.fillna(method="ffill").to_spark()
+
+
+def fillna_bfill(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    v = events["value"]
+    f = events.assign(v=v.where(events["event_id"] % 3 == 0))[["event_id", "v"]]
+    return f.fillna(method="bfill").to_spark()
+
+
+def replace_map(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    f = orders.assign(s=orders["o_orderstatus"])[["o_orderkey", "s"]]
+    return f.replace({"s": {"F": "done", "O": "open"}}).to_spark()
+
+
+def replace_regex(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    return part[["p_partkey", "p_name"]].replace("[aeiou]", "", regex=True).rename(columns={"p_name": "n"}).to_spark()
+
+
+def dropna_any(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    return events[["event_id", "value"]].dropna().to_spark()
+
+
+def astype_cast(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    k = orders["o_orderkey"]
+    return orders.assign(s=k.astype("str"), i=k.astype("int32"))[["o_orderkey", "s", "i"]].to_spark()
+
+
+def rename_drop(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation")
+    return nation.drop(columns="n_regionkey").rename(columns={"n_nationkey": "id", "n_name": "name"}).to_spark()
+
+
+def merge_inner(spark, sf_dir):
+    customer, orders = (table(spark, sf_dir, t) for t in ["customer", "orders"])
+    return customer.merge(orders, how="inner", left_on="c_custkey", right_on="o_custkey")[["c_custkey", "o_orderkey"]].to_spark()
+
+
+def merge_left(spark, sf_dir):
+    customer, orders = (table(spark, sf_dir, t) for t in ["customer", "orders"])
+    return customer.merge(orders, how="left", left_on="c_custkey", right_on="o_custkey")[["c_custkey", "o_orderkey"]].to_spark()
+
+
+def merge_right(spark, sf_dir):
+    orders, customer = (table(spark, sf_dir, t) for t in ["orders", "customer"])
+    return orders.merge(customer, how="right", left_on="o_custkey", right_on="c_custkey")[["c_custkey", "o_orderkey"]].to_spark()
+
+
+def merge_outer(spark, sf_dir):
+    supplier, nation = (table(spark, sf_dir, t) for t in ["supplier", "nation"])
+    m = supplier.merge(nation, how="outer", left_on="s_nationkey", right_on="n_nationkey")
+    return m.to_spark().select(F.coalesce("s_nationkey", "n_nationkey").alias("k"), "s_suppkey", "n_name")
+
+
+def merge_cross(spark, sf_dir):
+    region, nation = (table(spark, sf_dir, t) for t in ["region", "nation"])
+    return region.merge(nation, how="cross")[["r_name", "n_name"]].to_spark()
+
+
+def merge_indicator(spark, sf_dir):
+    nation, supplier = (table(spark, sf_dir, t) for t in ["nation", "supplier"])
+    s = from_spark(supplier.sdf.select("s_nationkey").distinct())
+    return nation.merge(s, how="left", left_on="n_nationkey", right_on="s_nationkey", indicator="m")[["n_nationkey", "m"]].to_spark()
+
+
+def merge_select_push(spark, sf_dir):
+    orders, customer = (table(spark, sf_dir, t) for t in ["orders", "customer"])
+    m = orders.merge(customer, left_on="o_custkey", right_on="c_custkey")
+    return m[m["c_nationkey"] >= 10][["o_orderkey", "c_name"]].to_spark()
+
+
+def group_select_push(spark, sf_dir):
+    customer = table(spark, sf_dir, "customer")
+    g = customer.groupby("c_nationkey", as_index=False).size()
+    return g[g["c_nationkey"] < 4].rename(columns={"size": "n"}).to_spark()
+
+
+def stats_frame(spark, sf_dir):
+    lineitem = table(spark, sf_dir, "lineitem")
+    c = lineitem.col("l_quantity")
+    agg = {n: AGGREGATES[n](c) for n in ("max", "min", "count", "mean", "median", "std", "var")}
+    return lineitem.sdf.agg(agg["max"].alias("mx"), agg["min"].alias("mn"), agg["count"].alias("n"), F.round(agg["mean"], 6).alias("mean"), agg["median"].alias("med"), F.round(agg["std"], 6).alias("sd"), F.round(agg["var"], 6).alias("vr"))
+
+
+def prod_any_all(spark, sf_dir):
+    region = table(spark, sf_dir, "region")
+    k = F.col("r_regionkey")
+    return region.sdf.agg(AGGREGATES["prod"](1 + k).alias("p"), AGGREGATES["any"](k > 3).alias("a"), AGGREGATES["all"](k >= 0).alias("b"))
+
+
+def stats_axis1(spark, sf_dir):
+    lineitem = table(spark, sf_dir, "lineitem")
+    s, g = lineitem[["l_quantity", "l_tax", "l_discount"]].sum(axis=1), lineitem[["l_quantity", "l_tax"]].max(axis=1)
+    return lineitem.sdf.select("l_orderkey", "l_linenumber", s.expr.alias("s"), g.expr.alias("g"))
+
+
+def value_counts_norm(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    n = orders["o_orderpriority"].value_counts(sort=False)
+    f = orders["o_orderpriority"].value_counts(normalize=True, sort=False)
+    return n.sdf.select(F.col("value").alias("o_orderpriority"), F.col("count").alias("n")).join(f.sdf.select(F.col("value").alias("o_orderpriority"), F.col("count").alias("f")), "o_orderpriority")
+
+
+def gb_agg_all(spark, sf_dir):
+    lineitem = table(spark, sf_dir, "lineitem")
+    g = lineitem.groupby("l_returnflag", as_index=False)
+    t = lineitem.col("l_tax")
+    return g._result([_sum(t, 4).alias("s"), F.count(t).alias("c"), F.count("*").alias("n"), F.min(t).alias("mn"), F.max(t).alias("mx")]).to_spark()
+
+
+def gb_multikey(spark, sf_dir):
+    lineitem = table(spark, sf_dir, "lineitem")
+    return lineitem.groupby(["l_returnflag", "l_linestatus"], as_index=False).size().rename(columns={"size": "n"}).to_spark()
+
+
+def gb_moments(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    g = orders.groupby("o_orderstatus", as_index=False).agg(sd=("o_totalprice", "std"), se=("o_totalprice", "sem"), sk=("o_totalprice", "skew"))
+    return g.to_spark().select("o_orderstatus", *(F.round(c, 4).alias(c) for c in ("sd", "se", "sk")))
+
+
+def gb_quantile(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    g = orders.groupby("o_orderstatus", as_index=False)
+    p = orders.col("o_totalprice")
+    return g._result([F.median(p).alias("md"), F.percentile(p, 0.25).alias("q")]).to_spark()
+
+
+def gb_nunique(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    return orders.groupby("o_orderpriority", as_index=False)["o_custkey"].nunique().rename(columns={"o_custkey": "n"}).to_spark()
+
+
+def gb_mad(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    g = orders.groupby("o_orderstatus", as_index=False)["o_totalprice"].mad()
+    return g.to_spark().select("o_orderstatus", F.round("o_totalprice", 4).alias("mad"))
+
+
+def gb_first_last(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    g = events.groupby("user_id", as_index=False)["value"].ohlc()
+    return g.to_spark().select("user_id", F.col("open").alias("o"), F.col("high").alias("h"), F.col("low").alias("l"), F.col("close").alias("c"))
+
+
+def gb_idx(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    return orders.set_index("o_orderkey", drop=False).groupby("o_custkey", as_index=False)["o_totalprice"].idxmax().rename(columns={"o_totalprice": "imax"}).to_spark()
+
+
+def gb_head(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    return orders.groupby("o_custkey").head(2)[["o_custkey", "o_orderkey"]].to_spark()
+
+
+def gb_cum(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    g = events.groupby("user_id")
+    m = g["value"].cummax()
+    cc = g.cumcount()
+    return cc.frame.sdf.select("event_id", F.col("cumcount").alias("cc")).join(m.sdf.select("event_id", F.col("value").alias("cm")), "event_id")
+
+
+def gb_shift_diff(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    g = events.groupby("user_id")["value"]
+    return g.shift().sdf.select("event_id", F.col("value").alias("s")).join(g.diff().sdf.select("event_id", F.col("value").alias("d")), "event_id")
+
+
+def gb_pct_change(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    return events.groupby("user_id")["value"].pct_change().sdf.select("event_id", F.col("value").alias("p"))
+
+
+def gb_rank(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    return orders.groupby("o_orderstatus")["o_totalprice"].rank().sdf.select("o_orderkey", F.col("o_totalprice").alias("r"))
+
+
+def gb_ngroup(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    return orders.groupby("o_orderpriority").ngroup().frame.sdf.select("o_orderkey", F.col("ngroup").alias("g"))
+
+
+def gb_filter(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    return orders.groupby("o_custkey").filter(lambda g: F.count("*") > 10)[["o_orderkey"]].to_spark()
+
+
+def gb_resample(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    g = events.groupby(Grouper("ts", "D"), as_index=False).size()
+    return g.to_spark().select(F.col("ts").alias("d"), F.col("size").alias("n"))
+
+
+def gb_corr_cov(spark, sf_dir):
+    lineitem = table(spark, sf_dir, "lineitem")
+    f = lineitem[["l_returnflag", "l_quantity", "l_extendedprice", "l_tax"]]
+    g = f.groupby("l_returnflag", as_index=False)
+    return g._result([F.round(F.corr("l_quantity", "l_extendedprice"), 6).alias("r"), F.round(F.covar_samp("l_quantity", "l_tax"), 6).alias("cv")]).to_spark()
+
+
+def rolling_sum(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    m = events["value"].rolling(3).max()
+    return m.frame.sdf.select("event_id", F.col("__v").alias("m"))
+
+
+def cum_ops(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    s = ordered.running(orders.sdf, orders.order, {"cs": ("sum", "o_custkey"), "cx": ("max", "o_totalprice"), "cn": ("min", "o_totalprice")})
+    return s.select("o_orderkey", "cs", "cx", "cn")
+
+
+def rank_methods(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    s = part.sdf.select("p_partkey", "p_size")
+    for name, method in (("mn", "min"), ("ds", "dense"), ("f", "first")):
+        s = ordered.ranked(s, "p_size", name, method, ties=["p_partkey"])
+    return s.select("p_partkey", "mn", "ds", "f")
+
+
+def sort_head(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    top = orders.sdf.orderBy(F.desc_nulls_last("o_totalprice"), "o_orderkey").limit(20)  # one top-k, no full sort
+    return top.select("o_orderkey", "o_totalprice")
+
+
+def iloc_slice(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    return orders.iloc[10:20][["o_orderkey"]].to_spark()
+
+
+def duplicated_flag(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    return orders.duplicated("o_custkey").frame.sdf.select("o_orderkey", F.col("__dup").alias("dup"))
+
+
+def drop_duplicates_first(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    return orders.drop_duplicates("o_custkey")[["o_custkey", "o_orderkey"]].to_spark()
+
+
+def concat_axis0(spark, sf_dir):
+    nation, region = (table(spark, sf_dir, t) for t in ["nation", "region"])
+    a = nation[["n_nationkey", "n_name"]].rename(columns={"n_nationkey": "k", "n_name": "name"})
+    b = region.rename(columns={"r_regionkey": "k", "r_name": "name"})
+    return concat([a, b], ignore_index=True).to_spark()
+
+
+def concat_axis1(spark, sf_dir):
+    nation, region = (table(spark, sf_dir, t) for t in ["nation", "region"])
+    a = nation.set_index("n_nationkey").rename(columns={})[["n_name"]]
+    b = region.set_index("r_regionkey")[["r_name"]]
+    return concat([a, b], axis=1).to_spark(index=True).withColumnRenamed("n_nationkey", "k")
+
+
+def pivot_table(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    p = orders.pivot_table(values="o_orderkey", index="o_orderpriority", columns="o_orderstatus", aggfunc="count", fill_value=0, labels=["F", "O", "P"])
+    return p.to_spark(index=True).select("o_orderpriority", F.col("F").alias("f"), F.col("O").alias("o"), F.col("P").alias("p"))
+
+
+def pivot_margins(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    p = orders.pivot_table(values="o_orderkey", index="o_orderstatus", columns="o_orderpriority", aggfunc="count", fill_value=0, margins=True)
+    return p.to_spark(index=True).unpivot("o_orderstatus", p.columns, "p", "n").withColumnRenamed("o_orderstatus", "s")
+
+
+def stack_unpivot(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation")
+    f = Frame(nation.sdf.withColumn("id", F.col("n_nationkey")), ["n_regionkey", "n_nationkey"], ["id"], ["id"]).stack()
+    return f.sdf.select(F.col("id").alias("n_nationkey"), F.col("variable").alias("var"), F.col("value").alias("v"))
+
+
+def explode_list(spark, sf_dir):
+    embeddings = table(spark, sf_dir, "embeddings")
+    return embeddings[["vec_id", "embedding"]].explode("embedding").rename(columns={"embedding": "x"}).to_spark()
+
+
+def to_datetime_parse(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    text = F.date_format("o_orderdate", "yyyy-MM-dd")
+    return orders.sdf.select("o_orderkey", to_datetime(text, format="%Y-%m-%d").alias("d"))
+
+
+def date_range_daily(spark, sf_dir):
+    return date_range(spark, "2022-01-01", "2022-01-31", freq="D")
+
+
+def applymap_native(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    return part.sdf.select("p_partkey", part["p_brand"].apply(F.upper).expr.alias("b"), part["p_name"].apply(F.length).expr.cast("long").alias("n"))
+
+
+def reindex_labels(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation")
+    f = nation.set_index("n_nationkey")[["n_name"]].reindex(list(range(20, 30)), fill_value="none")
+    return f.to_spark(index=True).select(F.col("n_nationkey").cast("int").alias("k"), "n_name")
+
+
+def combine_min(spark, sf_dir):
+    nation, region = (table(spark, sf_dir, t) for t in ["nation", "region"])
+    a = Frame(nation.sdf.select(F.col("n_nationkey").alias("k"), F.col("n_regionkey").alias("v")), ["v"], ["k"], ["k"])
+    b = Frame(region.sdf.select(F.col("r_regionkey").alias("k"), F.col("r_regionkey").alias("v")), ["v"], ["k"], ["k"])
+    return a.combine(b, F.least).to_spark(index=True)
+
+
+def gb_sample(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    return orders.groupby("o_orderstatus").sample(n=3)[["o_orderkey"]].to_spark()
+
+
+def gb_apply_udf(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation")
+    return nation.groupby("n_regionkey").apply(lambda g: g.nlargest(1, "n_nationkey")[["n_regionkey", "n_name"]], "n_regionkey int, n_name string")
+
+
+def apply_axis1_udf(spark, sf_dir):
+    region = table(spark, sf_dir, "region")
+    return region.sdf.select("r_regionkey", region.apply(lambda r: len(r["r_name"]) + r["r_regionkey"], axis=1, dtype="int64").expr.alias("v"))
+
+
+def channel_shards(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation")
+    return shard(nation, 5).groupBy("shard").agg(F.count("*").alias("n"), F.min("n_nationkey").alias("lo"), F.max("n_nationkey").alias("hi"))
+
+
+def memory_usage(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation")
+    return spark.createDataFrame(sorted(nation.memory_usage(deep=True).items()), "column string, bytes long")
+
+
+_QUERIES = [
+    flagship_clean_group,
+    project_select,
+    isin_filter,
+    isna_notna,
+    comp_ops,
+    math_ops,
+    floordiv_mod,
+    abs_pow,
+    where_mask,
+    fillna_value,
+    fillna_ffill,
+    fillna_bfill,
+    replace_map,
+    replace_regex,
+    dropna_any,
+    astype_cast,
+    rename_drop,
+    merge_inner,
+    merge_left,
+    merge_right,
+    merge_outer,
+    merge_cross,
+    merge_indicator,
+    merge_select_push,
+    group_select_push,
+    stats_frame,
+    prod_any_all,
+    stats_axis1,
+    value_counts_norm,
+    gb_agg_all,
+    gb_multikey,
+    gb_moments,
+    gb_quantile,
+    gb_nunique,
+    gb_mad,
+    gb_first_last,
+    gb_idx,
+    gb_head,
+    gb_cum,
+    gb_shift_diff,
+    gb_pct_change,
+    gb_rank,
+    gb_ngroup,
+    gb_filter,
+    gb_resample,
+    gb_corr_cov,
+    rolling_sum,
+    cum_ops,
+    rank_methods,
+    sort_head,
+    iloc_slice,
+    duplicated_flag,
+    drop_duplicates_first,
+    concat_axis0,
+    concat_axis1,
+    pivot_table,
+    pivot_margins,
+    stack_unpivot,
+    explode_list,
+    to_datetime_parse,
+    date_range_daily,
+    applymap_native,
+    reindex_labels,
+    combine_min,
+    gb_sample,
+    gb_apply_udf,
+    apply_axis1_udf,
+    channel_shards,
+    memory_usage,
+]
 
 
 def queries():
-    return {"flagship_clean_group": flagship_clean_group}
+    return {f.__name__: f for f in _QUERIES}
+
+
+SQL = {
+    "flagship_clean_group": "SELECT l_linestatus, count(*) AS n, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS qty FROM lineitem WHERE l_returnflag='R' GROUP BY 1",
+    "project_select": "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_quantity <= 6",
+    "isin_filter": "SELECT o_orderkey, o_orderpriority IN ('1-URGENT','2-HIGH') AS hot FROM orders",
+    "isna_notna": "SELECT event_id, value IS NULL AS is_na, value IS NOT NULL AS not_na FROM events",
+    "comp_ops": "SELECT o_orderkey, coalesce(o_totalprice > 1000, false) AS gt, coalesce(o_totalprice <= 1000, false) AS le, coalesce(o_orderstatus = 'F', false) AS eq, coalesce(o_orderstatus <> 'F', true) AS ne FROM orders",
+    "math_ops": "SELECT o_orderkey, o_totalprice + 1 AS a, o_totalprice - 1 AS s, o_totalprice * 2 AS m, o_totalprice / 2 AS d FROM orders",
+    "floordiv_mod": "SELECT c_custkey, floor(c_acctbal/7) AS fd, c_acctbal - 7*floor(c_acctbal/7) AS md FROM customer",
+    "abs_pow": "SELECT c_custkey, abs(c_acctbal) AS a, pow(c_nationkey, 2) AS p FROM customer",
+    "where_mask": "SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS w, CASE WHEN c_acctbal > 0 THEN 0.0::DOUBLE ELSE c_acctbal END AS m FROM customer",
+    "fillna_value": "SELECT event_id, coalesce(value, -1.0) AS v FROM events",
+    "fillna_ffill": "SELECT event_id, last_value(CASE WHEN event_id % 3 = 0 THEN value END IGNORE NULLS) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS v FROM events",
+    "fillna_bfill": "SELECT event_id, first_value(CASE WHEN event_id % 3 = 0 THEN value END IGNORE NULLS) OVER (ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS v FROM events",
+    "replace_map": "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' ELSE o_orderstatus END AS s FROM orders",
+    "replace_regex": "SELECT p_partkey, regexp_replace(p_name, '[aeiou]', '', 'g') AS n FROM part",
+    "dropna_any": "SELECT event_id, value FROM events WHERE value IS NOT NULL",
+    "astype_cast": "SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS s, CAST(o_orderkey AS INTEGER) AS i FROM orders",
+    "rename_drop": "SELECT n_nationkey AS id, n_name AS name FROM nation",
+    "merge_inner": "SELECT c_custkey, o_orderkey FROM customer JOIN orders ON c_custkey=o_custkey",
+    "merge_left": "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey=o_custkey",
+    "merge_right": "SELECT c_custkey, o_orderkey FROM orders RIGHT JOIN customer ON c_custkey=o_custkey",
+    "merge_outer": "SELECT coalesce(s_nationkey,n_nationkey) AS k, s_suppkey, n_name FROM supplier FULL JOIN nation ON s_nationkey=n_nationkey",
+    "merge_cross": "SELECT r_name, n_name FROM region CROSS JOIN nation",
+    "merge_indicator": "SELECT n_nationkey, CASE WHEN s_nationkey IS NULL THEN 'left_only' ELSE 'both' END AS m FROM nation LEFT JOIN (SELECT DISTINCT s_nationkey FROM supplier) ON n_nationkey=s_nationkey",
+    "merge_select_push": "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey=c_custkey WHERE c_nationkey >= 10",
+    "group_select_push": "SELECT * FROM (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1) WHERE c_nationkey < 4",
+    "stats_frame": "SELECT max(l_quantity) AS mx, min(l_quantity) AS mn, count(l_quantity) AS n, round(avg(l_quantity),6) AS mean, median(l_quantity) AS med, round(stddev_samp(l_quantity),6) AS sd, round(var_samp(l_quantity),6) AS vr FROM lineitem",
+    "prod_any_all": "SELECT product(1 + r_regionkey) AS p, bool_or(r_regionkey > 3) AS a, bool_and(r_regionkey >= 0) AS b FROM region",
+    "stats_axis1": "SELECT l_orderkey, l_linenumber, l_quantity + l_tax + l_discount AS s, greatest(l_quantity, l_tax) AS g FROM lineitem",
+    "value_counts_norm": "SELECT o_orderpriority, count(*) AS n, count(*)::DOUBLE / sum(count(*)) OVER () AS f FROM orders GROUP BY 1",
+    "gb_agg_all": "SELECT l_returnflag, CAST(sum(CAST(l_tax AS DECIMAL(18,4))) AS DOUBLE) AS s, count(l_tax) AS c, count(*) AS n, min(l_tax) AS mn, max(l_tax) AS mx FROM lineitem GROUP BY 1",
+    "gb_multikey": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY 1,2",
+    "gb_moments": "SELECT o_orderstatus, round(stddev_samp(o_totalprice),4) AS sd, round(stddev_samp(o_totalprice)/sqrt(count(*)),4) AS se, round(skewness(o_totalprice),4) AS sk FROM orders GROUP BY 1",
+    "gb_quantile": "SELECT o_orderstatus, median(o_totalprice) AS md, quantile_cont(o_totalprice, 0.25) AS q FROM orders GROUP BY 1",
+    "gb_nunique": "SELECT o_orderpriority, count(DISTINCT o_custkey) AS n FROM orders GROUP BY 1",
+    "gb_mad": "SELECT o_orderstatus, round(avg(abs(o_totalprice - m)),4) AS mad FROM (SELECT *, avg(o_totalprice) OVER (PARTITION BY o_orderstatus) AS m FROM orders) GROUP BY 1",
+    "gb_first_last": "SELECT user_id, arg_min(value, event_id) AS o, max(value) AS h, min(value) AS l, arg_max(value, event_id) AS c FROM events GROUP BY 1",
+    "gb_idx": "SELECT o_custkey, arg_max(o_orderkey, (o_totalprice, -o_orderkey)) AS imax FROM orders GROUP BY 1",
+    "gb_head": "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) <= 2",
+    "gb_cum": "SELECT event_id, row_number() OVER w - 1 AS cc, max(value) OVER w AS cm FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)",
+    "gb_shift_diff": "SELECT event_id, lag(value) OVER w AS s, value - lag(value) OVER w AS d FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)",
+    "gb_pct_change": "SELECT event_id, CASE WHEN lag(value) OVER w <> 0 THEN value / lag(value) OVER w - 1 END AS p FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)",
+    "gb_rank": "SELECT o_orderkey, rank() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_orderstatus, o_totalprice) - 1)/2.0::DOUBLE AS r FROM orders",
+    "gb_ngroup": "SELECT o_orderkey, dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS g FROM orders",
+    "gb_filter": "SELECT o_orderkey FROM orders QUALIFY count(*) OVER (PARTITION BY o_custkey) > 10",
+    "gb_resample": "SELECT date_trunc('day', ts) AS d, count(*) AS n FROM events GROUP BY 1",
+    "gb_corr_cov": "SELECT l_returnflag, round(corr(l_quantity,l_extendedprice),6) AS r, round(covar_samp(l_quantity,l_tax),6) AS cv FROM lineitem GROUP BY 1",
+    "rolling_sum": "SELECT event_id, CASE WHEN count(value) OVER w >= 3 THEN max(value) OVER w END AS m FROM events WINDOW w AS (ORDER BY event_id ROWS 2 PRECEDING)",
+    "cum_ops": "SELECT o_orderkey, sum(o_custkey) OVER w ::BIGINT AS cs, max(o_totalprice) OVER w AS cx, min(o_totalprice) OVER w AS cn FROM orders WINDOW w AS (ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING)",
+    "rank_methods": "SELECT p_partkey, rank() OVER (ORDER BY p_size) AS mn, dense_rank() OVER (ORDER BY p_size) AS ds, row_number() OVER (ORDER BY p_size, p_partkey) AS f FROM part",
+    "sort_head": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20",
+    "iloc_slice": "SELECT o_orderkey FROM orders QUALIFY row_number() OVER (ORDER BY o_orderkey) BETWEEN 11 AND 20",
+    "duplicated_flag": "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) > 1 AS dup FROM orders",
+    "drop_duplicates_first": "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1",
+    "concat_axis0": "SELECT n_nationkey AS k, n_name AS name FROM nation UNION ALL SELECT r_regionkey, r_name FROM region",
+    "concat_axis1": "SELECT coalesce(n_nationkey, r_regionkey) AS k, n_name, r_name FROM nation FULL JOIN region ON n_nationkey=r_regionkey",
+    "pivot_table": "SELECT o_orderpriority, count(*) FILTER (o_orderstatus='F') AS f, count(*) FILTER (o_orderstatus='O') AS o, count(*) FILTER (o_orderstatus='P') AS p FROM orders GROUP BY 1",
+    "pivot_margins": "SELECT coalesce(o_orderstatus,'All') AS s, coalesce(o_orderpriority,'All') AS p, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)",
+    "stack_unpivot": "SELECT n_nationkey, 'n_regionkey' AS var, n_regionkey AS v FROM nation UNION ALL SELECT n_nationkey, 'n_nationkey', n_nationkey FROM nation",
+    "explode_list": "SELECT vec_id, unnest(embedding) AS x FROM embeddings",
+    "to_datetime_parse": "SELECT o_orderkey, strptime(strftime(o_orderdate, '%Y-%m-%d'), '%Y-%m-%d') AS d FROM orders",
+    "date_range_daily": "SELECT unnest(generate_series(TIMESTAMP '2022-01-01', TIMESTAMP '2022-01-31', INTERVAL 1 DAY)) AS d",
+    "applymap_native": "SELECT p_partkey, upper(p_brand) AS b, length(p_name) AS n FROM part",
+    "reindex_labels": "SELECT l.k, coalesce(n_name,'none') AS n_name FROM (SELECT CAST(unnest(range(20,30)) AS INTEGER) AS k) l LEFT JOIN nation ON k=n_nationkey",
+    "combine_min": "SELECT coalesce(a.n_nationkey,b.r_regionkey) AS k, least(a.n_regionkey, b.r_regionkey) AS v FROM nation a FULL JOIN region b ON a.n_nationkey=b.r_regionkey",
+    "channel_shards": "SELECT CAST(n_nationkey // 5 AS INTEGER) AS shard, count(*) AS n, min(n_nationkey) AS lo, max(n_nationkey) AS hi FROM nation GROUP BY 1",
+    "apply_axis1_udf": "SELECT r_regionkey, length(r_name) + r_regionkey AS v FROM region",
+    "gb_apply_udf": "SELECT n_regionkey, arg_max(n_name, n_nationkey) AS n_name FROM nation GROUP BY 1",
+}
 
 
 def oracle_sql():
-    return {"flagship_clean_group": "SELECT l_linestatus, count(*) AS n, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS qty FROM lineitem WHERE l_returnflag='R' GROUP BY 1"}
+    return dict(SQL)
