@@ -103,12 +103,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     holds the runs that went, as an array of (first, last).  Null and empty texts stay as they are.  The id must be
     an integer; null ids count as last; rows with equal id and text are one document and get equal results.
     """
-    runs = repeated_runs(docs, id_col, text_col, min_words).groupBy("d", "k").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("_gone"))
-    keep = F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.exists("_gone", lambda r: i.between(r["first"], r["last"])))
-    joined = docs.join(runs, docs[id_col].eqNullSafe(runs["d"]) & (F.xxhash64(docs[text_col]) == runs["k"]), "left")
-    text = F.when(F.col("_gone").isNull(), docs[text_col]).otherwise(F.array_join(keep, "\n"))
-    out = joined.select(*(text.alias(c) if c == text_col else docs[c] for c in docs.columns), *([F.coalesce("_gone", F.array().cast("array<struct<first:int,last:int>>")).alias(removed_col)] if removed_col else []))
-    return out
+    d, k, gone = (next(n for i in range(len(docs.columns) + 1) if (n := f"{x}{i}") not in docs.columns) for x in ("_doc", "_key", "_gone"))
+    runs = repeated_runs(docs, id_col, text_col, min_words).groupBy(F.col("d").alias(d), F.col("k").alias(k)).agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias(gone))
+    keep = F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.exists(gone, lambda r: i.between(r["first"], r["last"])))
+    joined = docs.join(runs, F.col(id_col).eqNullSafe(F.col(d)) & (F.xxhash64(text_col) == F.col(k)), "left")
+    text = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(keep, "\n"))
+    cols = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    if removed_col:
+        cols.append(F.coalesce(gone, F.array().cast("array<struct<first:int,last:int>>")).alias(removed_col))
+    return joined.select(*cols)
 
 
 def op7_line_dedup(spark, sf_dir):
