@@ -25,8 +25,8 @@ def to_datetime(c: Column, format: str | None = None, errors: str = "raise", uni
         return c
     if unit is not None:
         base = F.lit("1970-01-01" if origin == "unix" else str(origin)).cast("timestamp_ntz")
-        scale = {"D": 86_400, "h": 3_600, "m": 60}.get(unit)
-        micros = c * (scale * 1_000_000) if scale else c * 1_000_000 / UNITS[unit]
+        exact, scale = c.cast("decimal(28,6)"), {"D": 86_400, "h": 3_600, "m": 60}.get(unit)
+        micros = exact * (scale * 1_000_000) if scale else exact * 1_000_000 / UNITS[unit]
         return F.timestamp_add("MICROSECOND", micros.cast("long"), base)
     if format is None and (dayfirst or yearfirst):
         format = "%d/%m/%Y" if dayfirst else "%Y/%m/%d"

@@ -53,7 +53,7 @@ class Frame:
         if self.index:
             return self.ordered()
         o = self.ordered()
-        return Frame(ordered.with_position(o.sdf.select(*o._keep()), o.order, "__idx"), self.columns, ["__idx"], ["__idx"])
+        return Frame(ordered.with_position(o.sdf, o.order, "__idx"), self.columns, ["__idx"], ["__idx"])
 
     def type(self, c: str) -> T.DataType:
         return self.sdf.schema[c].dataType

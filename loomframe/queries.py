@@ -424,6 +424,136 @@ def memory_usage(spark, sf_dir):
     return spark.createDataFrame(sorted(nation.memory_usage(deep=True).items()), "column string, bytes long")
 
 
+def gb_first_nth_tail(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    g = orders.groupby("o_custkey")
+    second, last = g.nth(1), g.tail(1)
+    return second[["o_custkey", "o_orderkey"]].to_spark().withColumnRenamed("o_orderkey", "second").join(last[["o_custkey", "o_orderkey"]].to_spark().withColumnRenamed("o_orderkey", "last"), "o_custkey")
+
+
+def gb_describe(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    d = orders.groupby("o_orderstatus", as_index=False)[["o_totalprice"]].describe().to_spark()
+    return d.select("o_orderstatus", F.col("o_totalprice_count").alias("n"), F.col("o_totalprice_min").alias("mn"), F.col("`o_totalprice_25%`").alias("q1"), F.col("`o_totalprice_50%`").alias("md"), F.col("`o_totalprice_75%`").alias("q3"), F.col("o_totalprice_max").alias("mx"))
+
+
+def gb_ffill_bfill(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    f = events.assign(value=events["value"].where(events["event_id"] % 4 == 0))
+    g = f.groupby("user_id")[["value"]]
+    return g.ffill().sdf.select("event_id", F.col("value").alias("ff")).join(g.bfill().sdf.select("event_id", F.col("value").alias("bf")), "event_id")
+
+
+def gb_transform_max(spark, sf_dir):
+    return table(spark, sf_dir, "orders").groupby("o_custkey")["o_totalprice"].transform("max").sdf.select("o_orderkey", F.col("o_totalprice").alias("m"))
+
+
+def gb_cov_matrix(spark, sf_dir):
+    customer = table(spark, sf_dir, "customer")
+    c = customer.groupby("c_mktsegment")[["c_acctbal", "c_nationkey"]].cov()
+    return c.sdf.select("c_mktsegment", "variable", *(F.round(x, 4).alias(x) for x in c.columns))
+
+
+def gb_mapping(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation").set_index("n_nationkey", drop=False)
+    return nation.groupby({0: "x", 1: "y", 2: "x"}, as_index=False).size().to_spark()
+
+
+def gb_any_all_prod(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation")
+    k = nation.col("n_nationkey")
+    g = nation.groupby("n_regionkey", as_index=False)
+    return g._result([AGGREGATES["any"](k > 20).alias("some"), AGGREGATES["all"](k > 2).alias("every"), AGGREGATES["prod"](k + 1).alias("p")]).to_spark()
+
+
+def merge_index(spark, sf_dir):
+    nation, region = table(spark, sf_dir, "nation").set_index("n_nationkey"), table(spark, sf_dir, "region").set_index("r_regionkey")
+    return nation.merge(region, left_index=True, right_index=True)[["n_name", "r_name"]].to_spark()
+
+
+def align_binary(spark, sf_dir):
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    a = Frame(nation.sdf.select(F.col("n_nationkey").alias("k"), F.col("n_regionkey").alias("v")), ["v"], ["k"], ["k"])
+    b = Frame(region.sdf.select(F.col("r_regionkey").alias("k"), F.col("r_regionkey").alias("v")), ["v"], ["k"], ["k"])
+    return a.add(b, fill_value=100).to_spark(index=True)
+
+
+def loc_labels(spark, sf_dir):
+    part = table(spark, sf_dir, "part").set_index("p_partkey", drop=False)
+    return part.loc[10:20, ["p_partkey", "p_brand"]].to_spark()
+
+
+def loc_assign(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    return part.loc.set((part["p_size"] > 25, "p_brand"), "large")[["p_partkey", "p_brand"]].to_spark()
+
+
+def tail_rows(spark, sf_dir):
+    return table(spark, sf_dir, "orders").tail(7)[["o_orderkey"]].to_spark()
+
+
+def reset_position(spark, sf_dir):
+    f = table(spark, sf_dir, "part").sort_values(["p_size", "p_partkey"], ascending=[False, True], ignore_index=True)
+    return f.reset_index()[["index", "p_partkey"]].to_spark()
+
+
+def rank_average_pct(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    s = ordered.ranked(part.sdf.select("p_partkey", "p_size"), "p_size", "avg")
+    s = ordered.ranked(s, "p_size", "mx", "max", ascending=False)
+    return ordered.ranked(s, "p_size", "pct", pct=True).select("p_partkey", "avg", "mx", "pct")
+
+
+def cum_sum_null(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    v = events.assign(v=events["event_id"].where(events["event_id"] % 3 != 0))[["event_id", "v"]]
+    return ordered.running(v.sdf, ["event_id"], {"s": ("sum", "v")}).select("event_id", "s")
+
+
+def rolling_center_min(spark, sf_dir):
+    m = table(spark, sf_dir, "events")["value"].rolling(5, min_periods=1, center=True).min()
+    return m.frame.sdf.select("event_id", F.col("__v").alias("m"))
+
+
+def isin_dict(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation")
+    f = Frame(nation.sdf.withColumn("id", F.col("n_nationkey")), nation.columns, ["id"], ["id"])
+    return f.isin({"n_regionkey": [1, 2], "n_name": []})[["n_regionkey", "n_name"]].to_spark(index=True)
+
+
+def dropna_thresh(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    f = events.assign(a=events["value"].where(events["event_id"] % 2 == 0), b=events["value"].where(events["event_id"] % 3 == 0))
+    return f.dropna(subset=["a", "b"], thresh=1)[["event_id"]].to_spark()
+
+
+def unstack_counts(spark, sf_dir):
+    g = table(spark, sf_dir, "orders").groupby(["o_orderpriority", "o_orderstatus"]).size().to_frame("size")
+    u = g.unstack(fill_value=0, labels=["F", "O", "P"])
+    return u.to_spark(index=True)
+
+
+def transpose_small(spark, sf_dir):
+    f = table(spark, sf_dir, "region").set_index("r_regionkey", drop=False)[["r_regionkey"]]
+    return f.T.to_spark(index=True)
+
+
+def value_counts_bins(spark, sf_dir):
+    return table(spark, sf_dir, "part")["p_size"].value_counts(bins=5).to_spark()
+
+
+def agg_list(spark, sf_dir):
+    return table(spark, sf_dir, "part")[["p_size", "p_retailprice"]].agg(["min", "max", "count"]).to_spark(index=True)
+
+
+def to_datetime_unit(spark, sf_dir):
+    return table(spark, sf_dir, "nation").sdf.select("n_nationkey", to_datetime(F.col("n_nationkey") * 86400, unit="s").alias("d"))
+
+
+def date_range_month_end(spark, sf_dir):
+    return date_range(spark, "2022-01-15", periods=12, freq="M")
+
+
 _QUERIES = [
     flagship_clean_group,
     project_select,
@@ -494,6 +624,30 @@ _QUERIES = [
     apply_axis1_udf,
     channel_shards,
     memory_usage,
+    gb_first_nth_tail,
+    gb_describe,
+    gb_ffill_bfill,
+    gb_transform_max,
+    gb_cov_matrix,
+    gb_mapping,
+    gb_any_all_prod,
+    merge_index,
+    align_binary,
+    loc_labels,
+    loc_assign,
+    tail_rows,
+    reset_position,
+    rank_average_pct,
+    cum_sum_null,
+    rolling_center_min,
+    isin_dict,
+    dropna_thresh,
+    unstack_counts,
+    transpose_small,
+    value_counts_bins,
+    agg_list,
+    to_datetime_unit,
+    date_range_month_end,
 ]
 
 
@@ -569,6 +723,29 @@ SQL = {
     "channel_shards": "SELECT CAST(n_nationkey // 5 AS INTEGER) AS shard, count(*) AS n, min(n_nationkey) AS lo, max(n_nationkey) AS hi FROM nation GROUP BY 1",
     "apply_axis1_udf": "SELECT r_regionkey, length(r_name) + r_regionkey AS v FROM region",
     "gb_apply_udf": "SELECT n_regionkey, arg_max(n_name, n_nationkey) AS n_name FROM nation GROUP BY 1",
+    "gb_first_nth_tail": "SELECT a.o_custkey, second, last FROM (SELECT o_custkey, o_orderkey AS second FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 2) a JOIN (SELECT o_custkey, max(o_orderkey) AS last FROM orders GROUP BY 1) b USING (o_custkey)",
+    "gb_describe": "SELECT o_orderstatus, count(o_totalprice) AS n, min(o_totalprice) AS mn, quantile_cont(o_totalprice, 0.25) AS q1, median(o_totalprice) AS md, quantile_cont(o_totalprice, 0.75) AS q3, max(o_totalprice) AS mx FROM orders GROUP BY 1",
+    "gb_ffill_bfill": "SELECT event_id, last_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS ff, first_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS bf FROM (SELECT *, CASE WHEN event_id % 4 = 0 THEN value END AS v FROM events)",
+    "gb_transform_max": "SELECT o_orderkey, max(o_totalprice) OVER (PARTITION BY o_custkey) AS m FROM orders",
+    "gb_cov_matrix": "WITH g AS (SELECT c_mktsegment, var_samp(c_acctbal) AS aa, covar_samp(c_acctbal, c_nationkey) AS an, var_samp(c_nationkey) AS nn FROM customer GROUP BY 1) SELECT c_mktsegment, 'c_acctbal' AS variable, round(aa, 4) AS c_acctbal, round(an, 4) AS c_nationkey FROM g UNION ALL SELECT c_mktsegment, 'c_nationkey', round(an, 4), round(nn, 4) FROM g",
+    "gb_mapping": "SELECT CASE WHEN n_nationkey = 1 THEN 'y' ELSE 'x' END AS key, count(*) AS size FROM nation WHERE n_nationkey IN (0, 1, 2) GROUP BY 1",
+    "gb_any_all_prod": "SELECT n_regionkey, bool_or(n_nationkey > 20) AS some, bool_and(n_nationkey > 2) AS every, product(n_nationkey + 1) AS p FROM nation GROUP BY 1",
+    "merge_index": "SELECT n_name, r_name FROM nation JOIN region ON n_nationkey = r_regionkey",
+    "align_binary": "SELECT coalesce(n_nationkey, r_regionkey) AS k, coalesce(n_regionkey, 100) + coalesce(r_regionkey, 100) AS v FROM nation FULL JOIN region ON n_nationkey = r_regionkey",
+    "loc_labels": "SELECT p_partkey, p_brand FROM part WHERE p_partkey BETWEEN 10 AND 20",
+    "loc_assign": "SELECT p_partkey, CASE WHEN p_size > 25 THEN 'large' ELSE p_brand END AS p_brand FROM part",
+    "tail_rows": "SELECT o_orderkey FROM orders ORDER BY o_orderkey DESC LIMIT 7",
+    "reset_position": "SELECT row_number() OVER (ORDER BY p_size DESC, p_partkey) - 1 AS index, p_partkey FROM part",
+    "rank_average_pct": "SELECT p_partkey, rank() OVER (ORDER BY p_size) + (count(*) OVER (PARTITION BY p_size) - 1) / 2.0::DOUBLE AS avg, rank() OVER (ORDER BY p_size DESC) + count(*) OVER (PARTITION BY p_size) - 1 AS mx, (rank() OVER (ORDER BY p_size) + (count(*) OVER (PARTITION BY p_size) - 1) / 2.0::DOUBLE) / count(*) OVER () AS pct FROM part",
+    "cum_sum_null": "SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN CAST(sum(CASE WHEN event_id % 3 <> 0 THEN event_id END) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) END AS s FROM events",
+    "rolling_center_min": "SELECT event_id, min(value) OVER (ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS m FROM events",
+    "isin_dict": "SELECT n_nationkey AS id, n_regionkey IN (1, 2) AS n_regionkey, false AS n_name FROM nation",
+    "dropna_thresh": "SELECT event_id FROM events WHERE value IS NOT NULL AND (event_id % 2 = 0 OR event_id % 3 = 0)",
+    "unstack_counts": "SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS F, count(*) FILTER (o_orderstatus = 'O') AS O, count(*) FILTER (o_orderstatus = 'P') AS P FROM orders GROUP BY 1",
+    "transpose_small": "SELECT 'r_regionkey' AS key, 0 AS \"0\", 1 AS \"1\", 2 AS \"2\", 3 AS \"3\", 4 AS \"4\"",
+    "agg_list": "SELECT 'min' AS func, min(p_size)::DOUBLE AS p_size, min(p_retailprice) AS p_retailprice FROM part UNION ALL SELECT 'max', max(p_size), max(p_retailprice) FROM part UNION ALL SELECT 'count', count(p_size), count(p_retailprice) FROM part",
+    "to_datetime_unit": "SELECT n_nationkey, TIMESTAMP '1970-01-01' + to_days(n_nationkey) AS d FROM nation",
+    "date_range_month_end": "SELECT CAST(last_day(unnest(generate_series(DATE '2022-01-15', DATE '2022-12-15', INTERVAL 1 MONTH))::DATE) AS TIMESTAMP) AS d",
 }
 
 
