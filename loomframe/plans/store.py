@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 def store(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` to the folder of ``spark.checkpoint.dir`` and read it again; a local folder only where Spark is one process."""
     sc = df.sparkSession.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_loomframe_scratch", None)
+    root = df.sparkSession.conf.get("spark.checkpoint.dir", None) or getattr(sc, "_loomframe_scratch", None)
     if root is None:
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
