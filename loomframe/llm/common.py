@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``; a local one is set only where that is unset and Spark runs in one process."""
     sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_loomframe_scratch", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or getattr(sc, "_loomframe_scratch", None)
     if root is None:
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
