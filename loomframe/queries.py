@@ -301,7 +301,7 @@ def rolling_sum(spark, sf_dir):
 
 def cum_ops(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
-    s = ordered.running(orders.sdf, orders.order, {"cs": ("sum", "o_custkey"), "cx": ("max", "o_totalprice"), "cn": ("min", "o_totalprice")})
+    s = ordered.running(orders.sdf.select("o_orderkey", "o_custkey", "o_totalprice"), orders.order, {"cs": ("sum", "o_custkey"), "cx": ("max", "o_totalprice"), "cn": ("min", "o_totalprice")})
     return s.select("o_orderkey", "cs", "cx", "cn")
 
 
@@ -507,7 +507,7 @@ def rank_average_pct(spark, sf_dir):
 def cum_sum_null(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     v = events.assign(v=events["event_id"].where(events["event_id"] % 3 != 0))[["event_id", "v"]]
-    return ordered.running(v.sdf, ["event_id"], {"s": ("sum", "v")}).select("event_id", "s")
+    return ordered.running(v.to_spark(), ["event_id"], {"s": ("sum", "v")}).select("event_id", "s")
 
 
 def rolling_center_min(spark, sf_dir):
