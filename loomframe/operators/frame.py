@@ -33,7 +33,6 @@ class Frame:
     def __init__(self, sdf: DataFrame, columns: list[str] | None = None, index: list[str] = (), order: list[str] = ()):
         self.sdf, self.index, self.order = sdf, list(index), list(order)
         self.columns = list(columns) if columns is not None else [c for c in sdf.columns if c not in self.index and c != ORD]
-        self._named = [c for c in sdf.columns if c not in (ORD,)]
 
     # -- plumbing
     def _keep(self) -> list[str]:
@@ -303,7 +302,7 @@ class Frame:
         missing = [c for c in kinds if c not in self.columns]
         if missing:
             raise KeyError(missing)
-        how = (lambda c, t: F.col(c).cast(t)) if errors == "raise" else (lambda c, t: F.coalesce(F.expr(f"try_cast(`{c}` AS {t})"), F.col(c)) if self.type(c).simpleString() == t else F.expr(f"try_cast(`{c}` AS {t})"))
+        how = (lambda c, t: F.col(c).cast(t)) if errors == "raise" else (lambda c, t: F.expr(f"try_cast(`{c}` AS {t})"))
         return self._new(self.sdf.withColumns({c: how(c, spark_type(t)) for c, t in kinds.items()}))
 
     def copy(self, deep=True) -> Frame:
@@ -1155,7 +1154,7 @@ def concat(objs, axis=0, join="outer", ignore_index=False, verify_integrity=Fals
     parts = []
     for n, f in enumerate(frames):
         f = f.labelled() if labelled else f
-        one = f.sdf.select(*(F.col(c) for c in cols if c in f.columns), *((F.col(i).alias(f"__i{k}") for k, i in enumerate(f.index)) if labelled else ()), F.lit(n).alias("__src"), *([F.struct(*f.order).cast("string").alias("__o")] if False else []))
+        one = f.sdf.select(*(F.col(c) for c in cols if c in f.columns), *((F.col(i).alias(f"__i{k}") for k, i in enumerate(f.index)) if labelled else ()), F.lit(n).alias("__src"))
         parts.append(one.withColumn("key", F.lit(keys[n])) if keys else one)
     out = parts[0]
     for p in parts[1:]:
