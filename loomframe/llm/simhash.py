@@ -268,7 +268,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # an id heads one class with one row, unless rows repeat it; those few are told apart by their texts
     ids = heads.groupBy("_id").agg(F.sum("_n").alias("_n"))
     once, many = (materialize(ids.where(f"_n {op} 1").select("_id"), "simhash-ids") for op in ("=", ">"))
-    kept = docs.join(once, docs[id_col].eqNullSafe(once["_id"]), "left_semi")
+    # one plan at every size, as the ids grow with the corpus
+    kept = docs.join(once.hint("merge"), docs[id_col].eqNullSafe(once["_id"]), "left_semi")
     if many.isEmpty():
         return kept
 
