@@ -106,7 +106,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     d, k, gone = (next(n for i in range(len(docs.columns) + 1) if (n := f"{x}{i}") not in docs.columns) for x in ("_doc", "_key", "_gone"))
     runs = repeated_runs(docs, id_col, text_col, min_words).groupBy(F.col("d").alias(d), F.col("k").alias(k)).agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias(gone))
     keep = F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.exists(gone, lambda r: i.between(r["first"], r["last"])))
-    joined = docs.join(runs, F.col(id_col).eqNullSafe(F.col(d)) & (F.xxhash64(text_col) == F.col(k)), "left")
+    # one plan at every size: texts are dealt by id once, whether or not the runs of a small corpus would fit a broadcast
+    joined = docs.join(runs.hint("merge"), F.col(id_col).eqNullSafe(F.col(d)) & (F.xxhash64(text_col) == F.col(k)), "left")
     text = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(keep, "\n"))
     cols = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     if removed_col:
