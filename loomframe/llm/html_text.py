@@ -30,6 +30,7 @@ _WORD = re.compile(r"[a-z]+")
 # Element names of HTML by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title xmp iframe noembed noframes".split())
+_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I) for name in RAW}
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 OUTSIDE = frozenset("nav header footer aside form script style noscript template head title button select option textarea input label menu dialog svg canvas iframe object audio video map noembed noframes".split())
 MAIN = frozenset("article main".split())
@@ -45,13 +46,10 @@ class _Parser:
         self.paths: list[str] = []
         self.open: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # name, path, beside, main
         self.text: list[str] = []
-        raw = None
-        for m in _TOKEN.finditer(page):
-            t = m[0]
-            if raw:
-                if t.startswith("</") and t[2 : 2 + len(raw)].lower() == raw and not t[2 + len(raw) : 3 + len(raw)].isalnum():
-                    raw = None
-                continue
+        at = 0
+        while at < len(page):
+            t = _TOKEN.match(page, at)[0]
+            at += len(t)
             if t[0] != "<" or len(t) == 1:
                 self.text.append(t)
             elif n := _NAME.match(t):
@@ -59,7 +57,9 @@ class _Parser:
                 if t[1] == "/":
                     self.close(name)
                 elif name in RAW:
-                    raw = name if not t.endswith("/>") else None
+                    if not t.endswith("/>"):  # nothing in it is markup but its own end tag
+                        end = _END[name].search(page, at)
+                        at = end.end() if end else len(page)
                 else:
                     self.start(name, t)
         self.flush()

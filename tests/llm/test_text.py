@@ -203,3 +203,10 @@ def test_urls(spark):
     again = {r.page_id: r.verdict for r in url_filter.filter_urls(df, url_filter.CONTRACT_RULES, more).collect()}
     assert again[7] == "block"
     assert url_filter.filter_urls(df.limit(0), url_filter.CONTRACT_RULES).count() == 0
+
+
+def test_markup_in_raw_elements():
+    for code in ("for(i=0;i<n;i++){f('x')}", "<!-- if (a<b) {", 'var a = "<p class=\'"; b<c', "x = '</scripts'"):
+        for name in ("script", "STYLE"):
+            page = f"<article><p>before</p><{name}>{code}</{name} ><p>after</p></article>"
+            assert html_text.main_text(page) == "before\n\nafter", (code, name)
