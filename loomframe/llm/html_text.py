@@ -1,13 +1,14 @@
 """Main text of web pages by equivalence-class template deduction.
 
-Over the pages of a host, every structural token (an element's path) and every text outside the article counts its
-occurrences a page.  Tokens whose occurrence vectors over the pages are equal form an equivalence class; the vector
-is known by a sum of hashes of (page, count), so that no host's pages meet in one task.  Classes that most pages of
-the host support are valid; each nests below the class that holds the longest proper prefix of its path, and
-together they are the host's template.  What stands between template tokens are slots: slots of navigation,
-advertising and the like, known by their elements' names, are left out, texts that belong to the template itself
-are left out, and the remaining slots are the page's main text.  An ``article`` or ``main`` element, where a page
-has one, bounds those slots.
+Over the pages of a host, equal ones counted once, every structural token (an element's path) and every text counts
+its occurrences a page.  Tokens whose occurrence vectors over the pages are equal form an equivalence class; the
+vector is known by a sum of hashes of (page, count), so that no host's pages meet in one task.  A class nests below
+the class that holds the longest proper prefix of all its paths, and is valid if enough of the pages of the class
+below which it nests (at the top, of the host's) support it; the valid classes are the host's template.  What stands
+between template tokens are slots: slots of navigation, advertising and the like, known by their elements' names,
+are left out, texts that belong to the template itself are left out, inside an article too, and the remaining slots
+are the page's main text.  An ``article`` or ``main`` element is a hint: it bounds the slots unless nothing of the
+page's own stands in it, or more of it stands in other slots of the template.
 """
 
 from __future__ import annotations
@@ -116,68 +117,83 @@ class _Parser:
 
 
 def _key(path: str, text: str) -> str:
-    return f"{path}\n{text}"
+    import xxhash
+
+    return f"{path}\n{xxhash.xxh3_128_hexdigest(text.encode('utf-8', 'surrogatepass'))}"
 
 
 def tokens(page: str | None) -> list[str]:
-    """Structural tokens, and texts outside the main element, of a page; with repeats."""
+    """Structural tokens (paths) and texts (a path, a line end and a hash) of a page; with repeats."""
     p = _Parser(page or "")
-    return p.paths + [_key(path, text) for path, text, _, main in p.blocks if not main]
+    return p.paths + [_key(path, text) for path, text, _, _ in p.blocks]
 
 
 def main_text(page: str | None, template: frozenset[str] = frozenset()) -> str:
     p = _Parser(page or "")
-    bounded = any(main and not beside for _, _, beside, main in p.blocks)
-    return "\n\n".join(text for path, text, beside, main in p.blocks if not beside and (main if bounded else _key(path, text) not in template))
+    own = [(path, text, main) for path, text, beside, main in p.blocks if not beside and (not template or _key(path, text) not in template)]
+    inside = sum(len(text) for _, text, main in own if main)
+    bounded = inside > 0 and inside >= sum(len(text) for path, text, main in own if not main and path in template)
+    return "\n\n".join(text for _, text, main in own if main or not bounded)
 
 
 def templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 4, share: float = 0.5) -> DataFrame:
-    """``(host, classes)``: for each host with ``least`` pages its valid equivalence classes of tokens.
+    """``(host, pages, classes)``: for each host with ``least`` different pages its equivalence classes of tokens.
 
-    classes is an array of (support, below, tokens), below being the longest path of another class that all the class's tokens
-    extend.  Its size is bounded by a page's: each token occurs on ``share`` of the host's pages.
+    classes is an array of (support, tokens); ``valid`` tells which of them are the template.  Its size is bounded by
+    a page's: each token occurs on ``share`` of ``share`` of the host's pages, as a class nested in another may.
     """
-    src = pages.select(url_host(F.col(url_col)).alias("host"), F.col(id_col).cast("string").alias("id"), F.col(html_col).alias("html")).where("host != ''")
+    src = pages.select(url_host(F.col(url_col)).alias("host"), F.xxhash64(html_col).alias("page"), F.col(html_col).alias("html")).where("host != ''")
+    # equal pages weigh one together; vectors need no weight, as equal pages have equal counts
+    copies = materialize(src.groupBy("host", "page").agg(F.count("*").alias("copies")).where("copies > 1"), "html-copies")
+    src = src.join(copies, ["host", "page"], "left").select("host", "page", F.coalesce("copies", F.lit(1)).alias("copies"), "html")
+    schema = pa.schema([("host", pa.string()), ("page", pa.int64()), ("token", pa.string()), ("n", pa.int32()), ("weight", pa.float64())])
 
     def count(it):
         from collections import Counter
 
         for b in it:
-            host, page, token, n = [], [], [], []
-            for h, i, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                for t, k in (Counter(tokens(x)) | {"": 1}).items():
-                    host.append(h)
-                    page.append(i)
-                    token.append(t)
-                    n.append(k)
-                if len(host) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(page, pa.string()), pa.array(token, pa.string()), pa.array(n, pa.int32())], ["host", "id", "token", "n"])
-                    host, page, token, n = [], [], [], []
-            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(page, pa.string()), pa.array(token, pa.string()), pa.array(n, pa.int32())], ["host", "id", "token", "n"])
-
-    seen = src.mapInArrow(count, "host string, id string, token string, n int")
-    vectors = seen.groupBy("host", "token").agg(F.count("*").alias("support"), F.sum(F.xxhash64("id", "n").cast("decimal(20,0)")).alias("vector"))
+            rows = []
+            for h, i, k, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                rows += [(h, i, t, n, 1 / k) for t, n in (Counter(tokens(x)) | {"": 1}).items()]
+                if len(rows) > 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    seen = src.mapInArrow(count, "host string, page long, token string, n int, weight double")
+    vectors = seen.groupBy("host", "token").agg(F.round(F.sum("weight")).cast("long").alias("support"), F.sum(F.xxhash64("page", "n").cast("decimal(20,0)")).alias("vector"))
     vectors = materialize(vectors.where(F.col("support") >= least), "html-vectors")
     size = vectors.where("token = ''").select("host", F.col("support").alias("pages"))
-    valid = vectors.where("token != ''").join(size, "host").where(F.col("support") >= F.col("pages") * share)
-    classes = valid.groupBy("host", "vector", "support").agg(F.collect_list("token").alias("tokens"))
-    return materialize(classes.groupBy("host").agg(F.collect_list(F.struct("support", "tokens")).alias("classes")), "html-templates")
-
-
-def nest(classes: list[dict]) -> list[tuple[int, int | None, list[str]]]:
-    """(support, index of the class below which it nests or None, tokens), most supported first."""
-    order = sorted(classes, key=lambda c: (-c["support"], sorted(c["tokens"])))
-    home = {}
-    for i, c in enumerate(order):
-        for t in c["tokens"]:
-            if "\n" not in t:
-                home.setdefault(t, i)
-    out = []
-    for i, c in enumerate(order):
-        top = min((t.split("\n")[0] for t in c["tokens"]), key=len)
-        while top and home.get(top, i) == i:
+    often = vectors.where("token != ''").join(size, "host").where(F.col("support") >= F.col("pages") * share * share)
+    classes = often.groupBy("host", "pages", "vector", "support").agg(F.collect_list("token").alias("tokens"))
+    return materialize(classes.groupBy("host", "pages").agg(F.collect_list(F.struct("support", "tokens")).alias("classes")), "html-templates")
+
+
+def _common(tokens: list[str]) -> str:
+    """The longest path that all tokens extend or are."""
+    paths = [t.split("\n")[0].split("/") for t in tokens]
+    low, high = min(paths), max(paths)
+    n = next((i for i, (a, b) in enumerate(zip(low, high, strict=False)) if a != b), min(len(low), len(high)))
+    return "/".join(low[:n])
+
+
+def valid(classes: list[dict], pages: int, share: float = 0.5) -> list[tuple[int, int | None, list[str]]]:
+    """(support, index of the class below which it nests or None, tokens) of the valid classes, most supported first.
+
+    A class is valid if ``share`` of the pages of the valid class below which it nests support it, or of all pages at the top.
+    """
+    home, out = {}, []
+    for c in sorted(classes, key=lambda c: (-c["support"], min(map(len, c["tokens"])), sorted(c["tokens"]))):
+        top = _common(c["tokens"])
+        while top and top not in home:
             top = top.rpartition("/")[0]
-        out.append((c["support"], home.get(top) if top else None, c["tokens"]))
+        below = home[top] if top else None
+        if c["support"] >= share * (pages if below is None else out[below][0]):
+            for t in c["tokens"]:
+                if "\n" not in t:
+                    home[t] = len(out)
+            out.append((c["support"], below, c["tokens"]))
     return out
 
 
@@ -189,7 +205,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """
     found = templates(pages, id_col, url_col, html_col)
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), url_host(F.col(url_col)).alias("host"))
-    rows = rows.join(found.select("host", F.to_json("classes").alias("classes")), "host", "left").select("id", "url", "html", "classes")
+    rows = rows.join(found.select("host", F.to_json(F.struct("pages", "classes")).alias("classes")), "host", "left").select("id", "url", "html", "classes")
     kind = pages.schema[id_col].dataType.simpleString()
 
     def batches(it):
@@ -202,8 +218,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 if c not in known:
                     if len(known) > 200:
                         known = {None: frozenset()}
-                    # a text is fixed if the class below which its class nests is part of the template too
-                    known[c] = frozenset(t for _, below, ts in nest(json.loads(c)) for t in ts if "\n" in t)
+                    known[c] = frozenset(t for _, _, ts in valid(**json.loads(c)) for t in ts)
                 text.append(main_text(x, known[c]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string())], [id_col, url_col, "text"])
 

@@ -210,3 +210,25 @@ def test_markup_in_raw_elements():
         for name in ("script", "STYLE"):
             page = f"<article><p>before</p><{name}>{code}</{name} ><p>after</p></article>"
             assert html_text.main_text(page) == "before\n\nafter", (code, name)
+
+
+def test_html_template_decides(spark):
+    """Boilerplate in an article, an empty article, blocks of optional parts, and copies of a page."""
+    art = "<body><article><p>Story {0} in full</p><p>Sign up today</p></article></body>"
+    shell = "<body><article><p>Welcome, reader</p></article><div><p>Story {0} in full</p></div></body>"
+    part = "<body><p>Story {0} in full</p>{1}</body>"
+    box = lambda i: f"<div class='x'><b>{'Fixed words' if i < 4 else f'Own {i}'}</b></div>" if i < 6 else ""
+    pages = [("a", art.format(i)) for i in range(6)] + [("b", shell.format(i)) for i in range(6)] + [("c", part.format(i, box(i))) for i in range(10)]
+    pages += [("d", art.format(i)) for i in range(5)] + [("d", "<body><article><p>Copied story</p><p>Sign up today</p></article></body>")] * 9
+    rows = [(i, f"http://{h}.org/{i}", x) for i, (h, x) in enumerate(pages)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(6)] == [got[i + 6] for i in range(6)] == [f"Story {i} in full" for i in range(6)]
+    # 4 of 10 pages, yet 4 of the 6 that have the box
+    assert [got[12 + i] for i in (0, 5, 7)] == ["Story 0 in full", "Story 5 in full\n\nOwn 5", "Story 7 in full"]
+    assert got[22] == "Story 0 in full" and {got[i] for i in range(27, 36)} == {"Copied story"}
+
+
+def test_classes_nest():
+    page = {"support": 10, "tokens": ["/body", "/body/p", "/body/div"]}
+    half, rare, lone = ({"support": n, "tokens": t} for n, t in ((6, ["/body/div/b"]), (4, ["/body/div/b\nx"]), (4, ["/body/p\ny"])))
+    assert html_text.valid([lone, rare, half, page], 10) == [(10, None, page["tokens"]), (6, 0, half["tokens"]), (4, 1, rare["tokens"])]
