@@ -3,12 +3,14 @@
 The CGK random walk (Chakraborty, Goldenberg, Koucky 2016) writes a string's symbols out one a step and moves on, or
 stays, by a random function of step and symbol; strings at a small edit distance agree in most places of their
 walks.  Bit sampling hashes a few of those places; several tables with walks of their own raise the recall to
-``recall``, their number being fitted to copies of the items with as many edits as the threshold allows.
+``recall`` in each class of lengths, their number being fitted to the misses on edited copies of the items with as many
+edits as the threshold allows.
 
-Windows have the size of an item and stand where a ``gram`` of 16 bytes of an item of that size occurs, aligned with its
-place in the item; a window within the threshold keeps such a gram unless its edits leave no run of 16 bytes.  Pairs of window
-and item that share a table's key are verified by the exact edit distance of the item to the best part of the text
-around the window.
+Windows have the size of an item and stand where its pieces ask for one.  An item is cut into pieces of four to six
+bytes (at the usual rate); as an edit breaks one of them at most, a part of a text within the threshold holds the rest,
+at shifts that differ by the number of edits at most: where at least so many different pieces lie in so narrow a span,
+each shift has a window.  No match is lost by that.  Windows that share a table's key with their item are verified by the exact
+edit distance of the item to the best part of the text around the window.
 
 Documents stream through one narrow pass; nothing is shuffled.  The benchmark is read in blocks of ``block`` items,
 each of which a task holds in memory: a stated query set against all rows.
@@ -23,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-GRAM = 16
-_K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+SHORT = 32
+_K1 = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = 22
 
 
@@ -58,85 +60,104 @@ def edit_distance(item: bytes, text: bytes) -> tuple[int, int]:
     return best, end
 
 
+def piece_size(m: int, edits: int) -> tuple[int, int]:
+    """The bytes of an item's pieces, and how many of them ``edits`` edits leave at least."""
+    q = next((q for q in range(7, 1, -1) if m // q - edits >= max(4, m // 25)), 1)
+    return q, max(1, m // q - edits)
+
+
 class Matcher:
     """Finds the items of one block in texts."""
 
     def __init__(self, items: list[bytes], rate: float = 0.15, recall: float = 0.99, places: int = 2, seed: int = 23):
-        self.items, self.rate, self.places = items, rate, places
-        self.long = [i for i, x in enumerate(items) if len(x) >= 2 * GRAM]
-        self.short = [i for i, x in enumerate(items) if 0 < len(x) < 2 * GRAM]
+        self.items, self.rate, self.places, self.seed = items, rate, places, seed
+        self.long = [i for i, x in enumerate(items) if len(x) >= SHORT]
+        self.short = [i for i, x in enumerate(items) if 0 < len(x) < SHORT]
         if not self.long:
             return
-        grams, sizes, offsets = [], [], []
+        self.length = np.array([len(x) for x in items])
+        self.edits = np.array([int(rate * len(x)) for x in items])
+        piece, owner, offset = [], [], []
+        self.least = np.ones(len(items), np.int64)
         for i in self.long:
-            h = self._grams(np.frombuffer(items[i], np.uint8))
-            grams.append(h)
-            sizes.append(np.full(len(h), len(items[i])))
-            offsets.append(np.arange(len(h)))
-        rows = np.unique(np.stack([np.concatenate(grams), np.concatenate(sizes).astype(np.uint64), np.concatenate(offsets).astype(np.uint64)], 1), axis=0)
-        self.gram, first = np.unique(rows[:, 0], return_index=True)
-        self.at = np.append(first, len(rows))
-        self.size, self.offset = rows[:, 1].astype(np.int64), rows[:, 2].astype(np.int64)
+            q, self.least[i] = piece_size(len(items[i]), self.edits[i])
+            o = np.arange(0, len(items[i]) - q + 1, q)
+            piece.append(self._grams(np.frombuffer(items[i] + bytes(8), np.uint8), q)[o])
+            owner.append(np.full(len(o), i))
+            offset.append(o)
+        piece, owner, offset = (np.concatenate(x) for x in (piece, owner, offset))
+        order = np.argsort(piece, kind="stable")
+        self.owner, self.offset = owner[order], offset[order]
+        self.piece, first = np.unique(piece[order], return_index=True)
+        self.at = np.append(first, len(piece))
         self.filter = np.zeros(1 << _TABLE, bool)
-        self.filter[self.gram >> np.uint64(64 - _TABLE)] = True
-
-        rng = np.random.default_rng(seed)
-        longest = max(len(items[i]) for i in self.long)
-        far = self._edited(rng)
-        whole = [items[i] for i in self.long]
-        # tables are added until the product of their misses on the edited copies falls below 1 - recall
-        self.moves, self.samples, self.buckets = [], [], []
-        missed = 1.0
-        while missed > 1 - recall and len(self.moves) < 64:
-            self.moves.append(rng.integers(0, 2, (2 * longest, 256), dtype=np.int8))
-            self.samples.append(rng.random(places))
-            new = range(len(self.moves) - 1, len(self.moves))
-            mine, theirs = self._keys(whole, new)[:, 0], self._keys(far, new)[:, 0]
-            missed *= 1 - max((mine == theirs).mean(), 0.02)
-            bucket: dict[int, list[int]] = {}
-            for i, k in zip(self.long, mine.tolist(), strict=True):
-                bucket.setdefault(k, []).append(i)
-            self.buckets.append(bucket)
-
-    def _edited(self, rng) -> list[bytes]:
-        """Each item with as many random edits as the threshold allows, at the item's length."""
-        out = []
+        self.filter[(self.piece * _K1) >> np.uint64(64 - _TABLE)] = True
+        self.sizes = sorted({int(x) >> 56 for x in self.piece})
+        self.base = np.random.default_rng(seed).integers(0, 1 << 40, len(items))
+
+        self.longest = int(self.length.max())
+        self.moves, self.samples = [], []
+        self.mine = np.zeros((len(items), 0), np.int64)
+        self.tables = np.zeros(len(items), np.int64)  # how many tables an item's class needs
+        kinds: dict[int, list[int]] = {}
         for i in self.long:
-            s = bytearray(self.items[i])
-            letters = bytes(s)
-            for _ in range(int(self.rate * len(letters))):
-                at, kind = int(rng.integers(len(s))), int(rng.integers(3))
-                c = letters[int(rng.integers(len(letters)))]
-                if kind == 0:
-                    s[at] = c
-                elif kind == 1:
-                    s.insert(at, c)
-                elif len(s) > 1:
-                    del s[at]
-            out.append(bytes(s)[: len(letters)].ljust(len(letters), b"\0"))
-        return out
+            kinds.setdefault(int(2 * np.log2(self.length[i])), []).append(i)
+        for kind in sorted(kinds):
+            self._fit(kinds[kind], recall, np.random.default_rng([seed, kind]))
+
+    def _fit(self, mine: list[int], recall: float, rng, copies: int = 400) -> None:
+        """As many tables for items of like length as find ``recall`` of edited copies, from the pieces on."""
+        of = rng.permutation(np.resize(mine, max(copies, len(mine))))[: 2 * copies].tolist()
+        texts = []
+        for i in of:
+            around = np.frombuffer(self.items[i], np.uint8)
+            texts.append(rng.choice(around, 40).tobytes() + self._edited(i, rng) + rng.choice(around, 40).tobytes())
+        w = self._windows(texts)
+        w = w[w[:, 1] == np.array(of)[w[:, 0]]]
+        found, n = np.zeros(len(of), bool), 0
+        while found.mean() < recall and len(w):
+            hit = self._meets(texts, w, range(n, n + 4))
+            found[w[hit, 0]] = True
+            w = w[~found[w[:, 0]]]
+            n += 4
+        self.tables[mine] = n
+
+    def _edited(self, i: int, rng) -> bytes:
+        """An item with as many random edits as the threshold allows; no new byte agrees with the item by chance."""
+        s = bytearray(self.items[i])
+        for _ in range(self.edits[i]):
+            at, kind = int(rng.integers(len(s))), int(rng.integers(3))
+            c = int(rng.integers(1, 32))
+            if kind == 0:
+                s[at] = c
+            elif kind == 1:
+                s.insert(at, c)
+            elif len(s) > 1:
+                del s[at]
+        return bytes(s)
+
+    def __getstate__(self):
+        return self.__dict__ | {"moves": [], "samples": []}  # made anew from the seed
 
     @staticmethod
-    def _grams(b: np.ndarray) -> np.ndarray:
-        n = len(b) - GRAM + 1
-        if n <= 0:
-            return np.zeros(0, np.uint64)
-        b = np.ascontiguousarray(b)
-        lo = np.ndarray((n,), "<u8", b, 0, (1,))
-        hi = np.ndarray((n,), "<u8", b, 8, (1,))
-        h = (lo * _K1) ^ (hi * _K2)
-        return (h ^ (h >> np.uint64(29))) * _K1
+    def _grams(b: np.ndarray, q: int) -> np.ndarray:
+        """The q bytes, at most seven, from each place on, and q; the last seven bytes begin none."""
+        got = np.ndarray((max(0, len(b) - 7),), "<u8", np.ascontiguousarray(b), 0, (1,))
+        return (got & np.uint64((1 << 8 * q) - 1)) | np.uint64(q << 56)
 
     def _keys(self, windows: list[bytes], tables: range) -> np.ndarray:
-        """The keys (windows x tables): a window's size and the sampled places of its walk in each table."""
+        """The keys (windows x tables): the sampled places of a window's walk in each table, relative to its size."""
+        while len(self.moves) < tables.stop:
+            rng = np.random.default_rng([self.seed, 0, len(self.moves)])
+            self.samples.append(rng.random(self.places))
+            self.moves.append(rng.integers(0, 2, (2 * self.longest, 256), dtype=np.int8))
         n = np.array([len(w) for w in windows])
         s = np.zeros((len(windows), n.max() + 1), np.uint8)
         for row, w in zip(s, windows, strict=True):
             row[: len(w)] = np.frombuffer(w, np.uint8)
         row, t = (x.ravel() for x in np.indices((len(windows), len(tables))))
-        t += tables.start
-        moves, size = np.stack(self.moves), n[row]
-        place = (np.stack(self.samples)[t] * 2 * size[:, None]).astype(np.int64)
+        moves, size = np.stack(self.moves[tables.start : tables.stop]), n[row]
+        place = (np.stack(self.samples[tables.start : tables.stop])[t] * 2 * size[:, None]).astype(np.int64)
         steps = int(place.max()) + 1
         walk = np.zeros((steps, len(row)), np.uint8)
         at = np.zeros(len(row), np.int64)
@@ -145,8 +166,29 @@ class Matcher:
             walk[j] = c
             at = np.minimum(at + moves[t, j, c], size)
         got = walk[place, np.arange(len(row))[:, None]].astype(np.int64)
-        key = (got << (8 * np.arange(self.places))).sum(1) + (size << (8 * self.places))
-        return key.reshape(len(windows), len(tables))
+        return (got << (8 * np.arange(self.places))).sum(1).reshape(len(windows), len(tables))
+
+    def _meets(self, texts: list[bytes], windows: np.ndarray, tables: range) -> np.ndarray:
+        """Which windows (row, item, start) share a key with their item in one of ``tables``."""
+        if self.mine.shape[1] < tables.stop:
+            more = range(self.mine.shape[1], tables.stop)
+            add = np.zeros((len(self.items), len(more)), np.int64)
+            for lo in range(0, len(self.long), 256):
+                part = self.long[lo : lo + 256]
+                add[part] = self._keys([self.items[i] for i in part], more)
+            self.mine = np.concatenate([self.mine, add], 1)
+        out = np.zeros(len(windows), bool)
+        step = max(1, 50_000_000 // (2 * self.longest * len(tables)))
+        for lo in range(0, len(windows), step):
+            part = windows[lo : lo + step]
+            cut = [texts[r][s : s + n].ljust(n, b"\0") for (r, _, s), n in zip(part.tolist(), self.length[part[:, 1]].tolist(), strict=True)]
+            same = self._keys(cut, tables) == self.mine[part[:, 1], tables.start : tables.stop]
+            out[lo : lo + step] = (same & (np.arange(tables.start, tables.stop) < self._limit(part[:, 1])[:, None])).any(1)
+        return out
+
+    def _limit(self, items: np.ndarray) -> np.ndarray:
+        n = self.tables[items]
+        return np.where(n == 0, np.iinfo(np.int64).max, n)  # not yet fitted
 
     def __call__(self, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
         """(row, item, distance, end) of all matches, at most one for each row and item: the nearest, of those the first."""
@@ -158,52 +200,84 @@ class Matcher:
                 if self.items[i] in t and x in (p := b" " + t + b" "):
                     found[r, i] = (0, p.index(x) + len(self.items[i]))
         if self.long:
-            at = 0
-            while at < len(flat):
-                upto, size = at, 0
-                while upto < len(flat) and (size < 1_000_000 or upto == at):
-                    size += len(flat[upto])
-                    upto += 1
-                self._part(flat, at, upto, found)
-                at = upto
+            w = self._windows(flat)
+            for lo in range(0, int(self.tables.max()), 8):
+                if not len(w):
+                    break
+                hit = self._meets(flat, w, range(lo, min(lo + 8, int(self.tables.max()))))
+                self._verify(flat, w[hit], found)
+                w = w[~hit]
+                w = w[self.tables[w[:, 1]] > lo + 8]
         return [(r, i, d, e) for (r, i), (d, e) in sorted(found.items())]
 
-    def _part(self, flat: list[bytes], at: int, upto: int, found: dict) -> None:
-        gap = b"\0" * GRAM
-        begin = np.cumsum([0] + [len(t) + GRAM for t in flat[at:upto]])
-        h = self._grams(np.frombuffer(gap.join(flat[at:upto]) + gap, np.uint8))
-        p = np.flatnonzero(self.filter[h >> np.uint64(64 - _TABLE)])
-        h = h[p]
-        k = np.minimum(np.searchsorted(self.gram, h), len(self.gram) - 1)
-        hit = self.gram[k] == h
-        p, k = p[hit], k[hit]
-        if not len(p):
-            return
+    def _windows(self, flat: list[bytes]) -> np.ndarray:
+        """(row, item, start) of the windows, by row."""
+        at, out = 0, [np.zeros((0, 3), np.int64)]
+        while at < len(flat):
+            upto, size = at, 0
+            while upto < len(flat) and (size < 250_000 or upto == at):
+                size += len(flat[upto])
+                upto += 1
+            w = self._part(flat[at:upto])
+            w[:, 0] += at
+            out.append(w)
+            at = upto
+        return np.concatenate(out)
+
+    def _part(self, flat: list[bytes]) -> np.ndarray:
+        gap = bytes(8)
+        begin = np.cumsum([0] + [len(t) + len(gap) for t in flat])
+        b = np.frombuffer(gap.join(flat) + gap, np.uint8)
+        places, pieces = [], []
+        for q in self.sizes:
+            h = self._grams(b, q)
+            p = np.flatnonzero(self.filter[(h * _K1) >> np.uint64(64 - _TABLE)])
+            h = h[p]
+            k = np.minimum(np.searchsorted(self.piece, h), len(self.piece) - 1)
+            hit = self.piece[k] == h
+            places.append(p[hit])
+            pieces.append(k[hit])
+        p, k = np.concatenate(places), np.concatenate(pieces)
         n = self.at[k + 1] - self.at[k]
-        e = np.repeat(self.at[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        p = np.repeat(p, n)
-        row = np.searchsorted(begin, p, "right") - 1
-        start = np.maximum(p - self.offset[e], begin[row]) - begin[row]
-        windows = np.unique(np.stack([row, self.size[e], start], 1), axis=0)
-        for lo in range(0, len(windows), 1024):
-            part = windows[lo : lo + 1024]
-            cut = [flat[at + r][s : s + n] for r, n, s in part.tolist()]
-            cut = [w.ljust(n, b"\0") for w, n in zip(cut, part[:, 1].tolist(), strict=True)]
-            pairs = set()
-            for (r, _, s), keys in zip(part.tolist(), self._keys(cut, range(len(self.buckets))).tolist(), strict=True):
-                for bucket, key in zip(self.buckets, keys, strict=True):
-                    pairs.update((r, i, s) for i in bucket.get(key, ()))
-            seen: dict[tuple[int, int], int] = {}
-            for r, i, s in sorted(pairs):
-                item = self.items[i]
-                slack = int(self.rate * len(item))
-                if s <= seen.get((r, i), -1):  # the part verified last reaches beyond this window
-                    continue
-                lo_s = max(0, s - slack)
-                d, end = edit_distance(item, flat[at + r][lo_s : s + len(item) + 2 * slack + 1])
-                seen[r, i] = s + slack
-                if d <= slack and (at + r, i) not in found or d < found.get((at + r, i), (slack + 1,))[0]:
-                    found[at + r, i] = (d, lo_s + end)
+        e = np.repeat(self.at[k] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        item, p = self.owner[e], np.repeat(p, n)
+        shift = p - self.offset[e] + self.longest
+        band = shift // (self.edits[item] + 1)  # the shifts of a match lie in two neighbouring bands
+        # counted first in cells that bands may share, which only adds
+        cells = 1 << max(16, int(4 * len(p)).bit_length())
+        cell = (self.base[item] + band) & (cells - 1)
+        c = np.bincount(cell, minlength=cells)
+        c = c + np.maximum(np.roll(c, 1), np.roll(c, -1))
+        keep = np.flatnonzero(c[cell] >= self.least[item])
+        item, p, shift = item[keep], p[keep], shift[keep]
+        # a match's pieces lie in a span of ``edits`` shifts: different pieces are counted from each hit on
+        offset = self.offset[e[keep]]
+        span = int(self.edits.max()) + 1
+        key = item * (int(begin[-1]) + 2 * self.longest + 2 * span) + shift
+        order = np.argsort(key, kind="stable")
+        key, item, p, shift, offset = (x[order] for x in (key, item, p, shift, offset))
+        reach = np.searchsorted(key, key + self.edits[item], "right")
+        good = np.zeros(len(key) + 1, np.int64)
+        for i in np.flatnonzero(reach - np.arange(len(key)) >= self.least[item]).tolist():
+            if len(np.unique(offset[i : reach[i]])) >= self.least[item[i]]:
+                good[i] += 1
+                good[reach[i]] -= 1
+        keep = np.flatnonzero(np.cumsum(good)[:-1] > 0)
+        row = np.searchsorted(begin, p[keep], "right") - 1
+        start = np.maximum(shift[keep] - self.longest - begin[row], 0)
+        return np.unique(np.stack([row, item[keep], start], 1), axis=0)
+
+    def _verify(self, flat: list[bytes], windows: np.ndarray, found: dict) -> None:
+        seen: dict[tuple[int, int], int] = {}
+        for r, i, s in windows.tolist():
+            item, slack = self.items[i], int(self.edits[i])
+            if s <= seen.get((r, i), -1):  # the part verified last reaches beyond this window
+                continue
+            lo = max(0, s - slack)
+            d, end = edit_distance(item, flat[r][lo : s + len(item) + 3 * slack + 1])
+            seen[r, i] = s + slack
+            if d <= slack and (d, lo + end) < found.get((r, i), (slack + 1, 0)):
+                found[r, i] = (d, lo + end)
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block: int):

@@ -232,3 +232,27 @@ def test_classes_nest():
     page = {"support": 10, "tokens": ["/body", "/body/p", "/body/div"]}
     half, rare, lone = ({"support": n, "tokens": t} for n, t in ((6, ["/body/div/b"]), (4, ["/body/div/b\nx"]), (4, ["/body/p\ny"])))
     assert html_text.valid([lone, rare, half, page], 10) == [(10, None, page["tokens"]), (6, 0, half["tokens"]), (4, 1, rare["tokens"])]
+
+
+def test_decontaminate_recall_by_length():
+    """Copies with all the edits that the threshold allows, in benchmarks of short and long items together."""
+    rng = random.Random(6)
+    pool = [f"{a}{b}{c}" for a in "bcdfg" for b in "aeiou" for c in ("n", "rt", "ssel", "mmo")]
+    sizes = (34, 40, 60, 85, 380, 1200)
+    items = [words(rng, n, pool)[:n].strip().encode().ljust(n, b"x") for n in sizes for _ in range(3)]
+    matcher = decontaminate.Matcher(items)
+    got = {n: [0, 0] for n in sizes}
+    texts, want = [], []
+    for i, item in enumerate(items):
+        for _ in range(30):
+            s = bytearray(item)
+            for _ in range(int(0.15 * len(item))):
+                at, kind = rng.randrange(len(s)), rng.randrange(3)
+                s[at : at + (kind != 1)] = b"" if kind == 2 else rng.choice("etaoinshr").encode()
+            texts.append(f"{words(rng, 30, pool)} {s.decode()} {words(rng, 30, pool)}")
+            want.append(i)
+    found = {(r, i) for r, i, _, _ in matcher(texts)}
+    for r, i in enumerate(want):
+        got[len(items[i])][0] += (r, i) in found
+        got[len(items[i])][1] += 1
+    assert all(hit >= 0.96 * n for hit, n in got.values()), got
