@@ -241,7 +241,6 @@ def test_decontaminate_recall_by_length():
     sizes = (34, 40, 60, 85, 380, 1200)
     items = [words(rng, n, pool)[:n].strip().encode().ljust(n, b"x") for n in sizes for _ in range(3)]
     matcher = decontaminate.Matcher(items)
-    got = {n: [0, 0] for n in sizes}
     texts, want = [], []
     for i, item in enumerate(items):
         for _ in range(30):
@@ -252,7 +251,5 @@ def test_decontaminate_recall_by_length():
             texts.append(f"{words(rng, 30, pool)} {s.decode()} {words(rng, 30, pool)}")
             want.append(i)
     found = {(r, i) for r, i, _, _ in matcher(texts)}
-    for r, i in enumerate(want):
-        got[len(items[i])][0] += (r, i) in found
-        got[len(items[i])][1] += 1
-    assert all(hit >= 0.96 * n for hit, n in got.values()), got
+    within = {(r, i) for r, i in enumerate(want) if decontaminate.edit_distance(items[i], decontaminate.plain(texts[r]))[0] <= int(0.15 * len(items[i]))}
+    assert len(within) >= 0.97 * len(want) and within <= found  # white space made single may add an edit
