@@ -1,7 +1,7 @@
 """Chat formatting by quotation linking, by DataFrame operations only.
 
 Lines that begin with ``>`` are quotes, their number of ``>`` the level.  Adjacent lines of a level are a passage.
-Passages, and their single lines, are normalised (markers off, lower case, one space for white space) and hashed;
+Passages, their paragraphs and their single lines are normalised (markers off, lower case, one space for white space) and hashed;
 messages offer the hashes of their own words: the whole, its paragraphs and its lines.  A passage belongs to the first
 message of the conversation that offers its hash, if that comes before the quoting one.  A message replies to the
 message that its shallowest, then longest passage belongs to.  Replies lead to a root by pointer doubling;
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .common import materialize, release
 
 QUOTE = r"^[ \t]*((?:>[ \t]?)+)"
+PARAGRAPH = r"\n[ \t\r]*\n"
 
 
 def normal(text: Column) -> Column:
@@ -44,12 +45,13 @@ def link_quotes(chat: DataFrame, conv_col: str = "conv_id", turn_col: str = "tur
     passages = lines.withColumn("new", new).withColumn("p", F.sum("new").over(message.rowsBetween(Window.unboundedPreceding, 0))).where("level > 0")
     passages = passages.groupBy("c", "t", "k", "level", "p").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("l"))  # bounded by a message
     x = F.transform("l", lambda s: s["x"])
-    units = F.array_append(F.transform(x, normal), normal(F.array_join(x, " ")))
+    units = F.concat(x, F.split(F.array_join(x, "\n"), PARAGRAPH), F.array(F.array_join(x, " ")))
+    units = F.transform(units, normal)
     passages = passages.select("c", "t", "k", "level", F.explode(F.array_distinct(units)).alias("u")).where("u != ''").select("c", "t", "k", "level", _hashes(F.col("u")).alias("h")).select("c", "t", "k", "level", "h.*")
     passages = materialize(passages, "chat-passages")
 
     some = rows.join(passages.select("c").distinct(), "c", "left_semi").select("c", "t", unquoted(F.col("x")).alias("x"))
-    units = F.concat(F.array(F.col("x")), F.split("x", r"\n[ \t]*\n"), F.split("x", "\n"))
+    units = F.concat(F.array(F.col("x")), F.split("x", PARAGRAPH), F.split("x", "\n"))
     own = some.select("c", "t", F.explode(F.array_distinct(F.transform(units, normal))).alias("u")).where("u != ''").select("c", "t", _hashes(F.col("u")).alias("h")).select("c", "t", "h.h1", "h.h2")
     own = materialize(own.groupBy("c", "h1", "h2").agg(F.min("t").alias("first")), "chat-own")
     links = passages.join(own, ["c", "h1", "h2"]).where("first < t")

@@ -253,3 +253,12 @@ def test_decontaminate_recall_by_length():
     found = {(r, i) for r, i, _, _ in matcher(texts)}
     within = {(r, i) for r, i in enumerate(want) if decontaminate.edit_distance(items[i], decontaminate.plain(texts[r]))[0] <= int(0.15 * len(items[i]))}
     assert len(within) >= 0.97 * len(want) and within <= found  # white space made single may add an edit
+
+
+def test_chat_quoted_paragraphs(spark):
+    """Two of three paragraphs, re-wrapped."""
+    first = "The first paragraph stands on one line.\n\nThe second one does so too.\n\nA third."
+    reply = "> The first paragraph\n> stands on one line.\n>\n> The second one\n> does so too.\nYes"
+    df = spark.createDataFrame([(1, 0, "user", first), (1, 1, "user", "else"), (1, 2, "user", reply), (2, 0, "user", first.replace("\n", "\r\n")), (2, 1, "user", reply.replace("\n", "\r\n"))], "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): (r.reply_to, r.root) for r in chat.thread(df).collect()}
+    assert got[1, 2] == got[2, 1] == (0, 0) and got[1, 1] == (None, 1)
