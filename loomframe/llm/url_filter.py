@@ -37,20 +37,32 @@ def _node(url: Column) -> Column:
     return F.when(url.contains("://"), F.concat(scheme, F.lit("://"), url_host(url), F.when(rest == "", F.lit("/")).otherwise(rest)))
 
 
+def _resolved(page: Column, ref: Column) -> Column:
+    """``ref`` as read on ``page``, by RFC 3986; null for another kind of scheme and for a mere fragment."""
+    base, path = F.regexp_extract(page, r"(?s)^(.*?://[^/?#]*)", 1), url_path(page)
+    path = F.when(path == "", F.lit("/")).otherwise(path)
+    full = F.when(ref.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), ref).when(ref.rlike(r"^([A-Za-z][A-Za-z0-9+.-]*:|#)"), F.lit(None))
+    full = full.when(ref.startswith("//"), F.concat(F.regexp_extract(page, r"(?s)^(.*?:)//", 1), ref)).when(ref.startswith("/"), F.concat(base, ref))
+    full = full.when(ref.startswith("?"), F.concat(base, path, ref)).otherwise(F.concat(base, F.regexp_extract(path, r"(?s)^(.*/)", 1), ref))
+    parts = F.split(url_path(full), "/")
+    kept = F.aggregate(F.slice(parts, 2, F.size(parts)), F.array().cast("array<string>"), lambda a, x: F.when(x == ".", a).when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.array_append(a, x)))
+    clean = F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(F.element_at(parts, -1).isin(".", "..") & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit("")))
+    front, rest = F.regexp_extract(full, r"(?s)^(.*?://[^/?#]*)", 1), F.regexp_extract(full, r"(?s)^.*?://[^/?#]*[^?#]*(.*)", 1)
+    return F.when(url_path(full).rlike(r"/\.\.?(/|$)"), F.concat(front, clean, rest)).otherwise(full)
+
+
 def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``(src, dst)`` of the canonical links and immediate refreshes that pages declare.  Relative targets get the page's scheme and host."""
+    """``(src, dst)`` of the canonical links and refreshes, at any delay, that pages declare.  Relative targets are resolved against the page's URL."""
     tag = r"(?is)<(?:link|meta)\b[^>]*>"
     some = pages.select(F.col(url_col).alias("u"), F.col(html_col).alias("h")).where(F.col("u").contains("://") & F.col("h").rlike(r"(?i)canonical|http-equiv"))
     some = some.select("u", F.explode(F.regexp_extract_all(F.regexp_replace("h", r"(?s)<!--.*?-->|(?i:<script\b.*?</script>)", ""), F.lit(tag), F.lit(0))).alias("t"))
     # few rows; stored, so that each step's expressions are computed once
     tags = materialize(some.where(F.col("t").rlike(r"""(?is)\brel\s*=[^>]*\bcanonical\b|\bhttp-equiv\s*=\s*["']?refresh""")), "url-tags")
     canonical = F.regexp_extract("t", r"""(?is)\bhref\s*=\s*["']?\s*([^"'\s>]+)""", 1)
-    refresh = F.regexp_extract("t", r"""(?is)\bcontent\s*=\s*["']?\s*0*\s*[;,]\s*url\s*=\s*['"]?([^'"\s>]+)""", 1)
+    refresh = F.regexp_extract("t", r"""(?is)\bcontent\s*=\s*["']?\s*[0-9.]*\s*[;,]\s*url\s*=\s*['"]?([^'"\s>]+)""", 1)
     target = tags.select("u", F.replace(F.when(F.lower("t").startswith("<link"), canonical).otherwise(refresh), F.lit("&amp;"), F.lit("&")).alias("d"))
     target = materialize(target.where("d != ''"), "url-targets")
-    base = F.regexp_extract("u", r"(?s)^(.*?://[^/?#]*)", 1)
-    full = F.when(F.col("d").contains("://"), F.col("d")).when(F.col("d").startswith("//"), F.concat(F.regexp_extract("u", r"(?s)^(.*?:)//", 1), "d")).when(F.col("d").startswith("/"), F.concat(base, "d"))
-    out = materialize(target.select(F.col("u").alias("src"), full.alias("dst")), "url-links")
+    out = materialize(target.select(F.col("u").alias("src"), _resolved(F.col("u"), F.col("d")).alias("dst")), "url-links")
     release(tags, target)
     return out.where("dst IS NOT NULL")
 

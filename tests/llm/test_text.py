@@ -262,3 +262,11 @@ def test_chat_quoted_paragraphs(spark):
     df = spark.createDataFrame([(1, 0, "user", first), (1, 1, "user", "else"), (1, 2, "user", reply), (2, 0, "user", first.replace("\n", "\r\n")), (2, 1, "user", reply.replace("\n", "\r\n"))], "conv_id long, turn long, role string, text string")
     got = {(r.conv_id, r.turn): (r.reply_to, r.root) for r in chat.thread(df).collect()}
     assert got[1, 2] == got[2, 1] == (0, 0) and got[1, 1] == (None, 1)
+
+
+def test_relative_links(spark):
+    link = '<link rel="canonical" href="{}">'
+    cases = {"story.html": "http://a.io/x/story.html", "../7": "http://a.io/7", "./../../8?u=http://z/..": "http://a.io/8?u=http://z/..", "?id=7": "http://a.io/x/y?id=7", "/p/./q/..": "http://a.io/p/", "//b.io/c": "http://b.io/c", "https://b.io/c/../d": "https://b.io/d", "mailto:x": None, "#top": None}
+    rows = [("http://a.io/x/y?z#f", link.format(d)) for d in cases] + [("http://r.io", '<meta http-equiv="refresh" content="5; url=next.html">')]
+    got = sorted(r.dst for r in url_filter.page_links(spark.createDataFrame(rows, "url string, html string")).collect())
+    assert got == sorted([x for x in cases.values() if x] + ["http://r.io/next.html"])
