@@ -17,7 +17,12 @@ def scratch_root(spark: SparkSession) -> str:
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = sc._loomframe_scratch = "file://" + tempfile.mkdtemp(prefix="loomframe-")
-    return f"{root.rstrip('/')}/loomframe-{sc.applicationId}"
+    root = f"{root.rstrip('/')}/loomframe-{sc.applicationId}"
+    if not getattr(sc, "_loomframe_doomed", False):  # what is still read at the end goes with the driver's JVM
+        path = sc._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
+        sc._loomframe_doomed = True
+    return root
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -30,6 +35,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` lacks, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for i in range(len(taken) + 1) if (n := f"_{base}{i}") not in taken)
+
+
 def release(*tables: DataFrame | None) -> None:
     """Delete tables of ``materialize`` that no later plan reads."""
     for t in tables:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, materialize, release
+from .common import connected_components, free_name, materialize, release
 
 SEED = 42
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.int64)
@@ -74,7 +74,7 @@ def covering(radius: int) -> list[tuple[int, ...]]:
 
 
 def _linked(keys: np.ndarray, side: np.ndarray, node: np.ndarray, fp: np.ndarray, radius: int, least: int):
-    """Spanning links among the rows of one task, which are sorted by key; fp has a row of 64-bit words for each.
+    """Spanning links, at a distance not told, among the rows of one task, which are sorted by key; fp has a row of 64-bit words for each.
 
     Rows of side 0 are compared with each other, those of side 1 and 2 with the other side only.
     """
@@ -106,11 +106,11 @@ def _linked(keys: np.ndarray, side: np.ndarray, node: np.ndarray, fp: np.ndarray
                 root = root[root]
             a, b = root[a], root[b]
     moved = np.flatnonzero(root != np.arange(len(root)))
-    return value[moved], value[root[moved]]
+    return value[moved], value[root[moved]], np.zeros(len(moved), np.int64)
 
 
-def _links(posts: DataFrame, radius: int, least: int, chunk: int = 200_000) -> DataFrame:
-    """Spanning links ``(a, b)`` of ``posts(key, side, node, fp binary)``."""
+def _links(posts: DataFrame, radius: int, least: int, pick=_linked, chunk: int = 200_000) -> DataFrame:
+    """What ``pick`` makes of the lists of ``posts(key, side, node, fp binary)``, as ``(a, b, far)``."""
 
     def links(it):
         held: list[pa.RecordBatch] = []
@@ -122,14 +122,14 @@ def _links(posts: DataFrame, radius: int, least: int, chunk: int = 200_000) -> D
             start = raw.buffers()[1]
             at = np.frombuffer(start, np.int32)[raw.offset : raw.offset + len(raw) + 1]
             fp = np.frombuffer(raw.buffers()[2], np.uint8)[at[0] : at[-1]].reshape(len(raw), -1)[:upto]
-            a, b = _linked(k[:upto], s[:upto], n[:upto], np.ascontiguousarray(fp).view(np.uint64), radius, least)
+            found = pick(k[:upto], s[:upto], n[:upto], np.ascontiguousarray(fp).view(np.uint64), radius, least)
             rest, keep = upto, []
             for x in held:
                 if rest < len(x):
                     keep.append(x.slice(rest))
                 rest = max(0, rest - len(x))
             held[:] = keep
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["a", "b", "far"])
 
         for batch in it:
             if not len(batch):
@@ -145,7 +145,7 @@ def _links(posts: DataFrame, radius: int, least: int, chunk: int = 200_000) -> D
         if held:
             yield flush(rows)
 
-    return posts.repartition("key").sortWithinPartitions("key").select("key", "side", "node", "fp").mapInArrow(links, "a long, b long")
+    return posts.repartition("key").sortWithinPartitions("key").select("key", "side", "node", "fp").mapInArrow(links, "a long, b long, far long")
 
 
 def _dealt(posts: DataFrame, lists: DataFrame, block: int, how: str) -> DataFrame:
@@ -173,8 +173,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     class_fp names the class of rows whose fingerprints are linked, directly or through others, at ``radius`` or
     fewer differing bits; component_id is the class's smallest id.  Null and empty texts have fingerprint zero and
-    are linked like any other; repeated rows get equal results; a null id never names a class that has another;
-    columns of ``df`` other than the two named play no part.
+    are linked like any other; repeated rows get equal results; a null id never names a class that has another; texts
+    count whole at any length; an empty table gives no row; columns of ``df`` other than the two named play no part.
     """
     rows = materialize(fingerprints(df, id_col, text_col, words), "simhash-rows")
     nodes = materialize(rows.groupBy("fp").agg(F.min(id_col).alias("rep")), "simhash-nodes")
@@ -197,91 +197,210 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 _SPREAD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
 
 
-def wide_fingerprint(text: str | None, words: int = 5) -> bytes:
-    """A 256-bit SimHash of a text's set of word shingles."""
+def shingles(text: str | None, words: int = 5) -> np.ndarray:
+    """The different XXH64 of a text's word shingles; a text of fewer words has one, a text without words none."""
     import xxhash
 
     ws = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not ws:
-        return bytes(32)
-    if len(ws) <= words:
-        shingles = {b" ".join(ws)}
-    else:
-        shingles = set(map(b" ".join, zip(*(ws[i:] for i in range(words)), strict=False)))
-    h = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64, len(shingles))[:, None] * _SPREAD
-    h ^= h >> np.uint64(31)
-    h *= _SPREAD[::-1]
-    h ^= h >> np.uint64(29)
-    seen = np.bincount((h.view(np.uint8).reshape(-1, 32) + np.arange(32) * 256).ravel(), minlength=8192).reshape(32, 256)
-    return np.packbits((2 * (seen @ _BITS) > len(h)).astype(np.uint8), axis=1, bitorder="little").tobytes()
-
-
-def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 48, least: int = 3, recall: float = 0.99, block: int = 2048) -> DataFrame:
-    """``(id_col, key, class, component_id)``: classes of texts of a Jaccard similarity of 0.8 or more, about.
-
-    At that similarity 15 % of SimHash bits differ, 10 of 64: no radius at which shared bytes are guaranteed.  So
-    the fingerprint has 256 bits here, the index posts it under groups of byte positions drawn at random, as many
-    as reach ``recall`` at that share of differing bits, the tally must reach ``least`` of the 32 positional bytes
-    (a pair at 15 % falls below it once in hundreds), and the verified distance is ``radius`` bits, 19 %.
-    Groups have as many bytes as keep a list's expected length within single figures.  Null and empty texts are
-    one class.
+        return np.zeros(0, np.uint64)
+    found = {b" ".join(ws)} if len(ws) <= words else set(map(b" ".join, zip(*(ws[i:] for i in range(words)), strict=False)))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in found), np.uint64, len(found)))
+
+
+def wide_key(h: np.ndarray) -> bytes:
+    """A 256-bit SimHash of a set of hashes, and their sum, which tells sets of equal SimHash apart."""
+    if not len(h):
+        return bytes(40)
+    w = h[:, None] * _SPREAD
+    w ^= w >> np.uint64(31)
+    w *= _SPREAD[::-1]
+    w ^= w >> np.uint64(29)
+    seen = np.bincount((w.view(np.uint8).reshape(-1, 32) + np.arange(32) * 256).ravel(), minlength=8192).reshape(32, 256)
+    bits = np.packbits((2 * (seen @ _BITS) > len(h)).astype(np.uint8), axis=1, bitorder="little").tobytes()
+    return bits + np.add.reduce(h).tobytes()
+
+
+def byte_groups(size: int, radius: int, least: int, similarity: float, recall: float, draws: int = 20_000) -> list[tuple[int, ...]]:
+    """As few groups of ``size`` of 32 byte positions as find the share ``recall`` of pairs at ``similarity``.
+
+    Pairs are drawn: at a Jaccard similarity J of sets of equal size, the hardest case, a SimHash bit differs with
+    probability acos(2J / (1 + J)) / pi.  A pair is found if it shares all bytes of a group and ``least`` of the 32,
+    and differs in at most ``radius`` bits.
+    """
+    rng = np.random.default_rng(SEED)
+    differs = (rng.random((draws, 256)) < np.arccos(2 * similarity / (1 + similarity)) / np.pi).astype(np.uint8)
+    equal = differs.reshape(draws, 32, 8).max(2) == 0
+    able = (equal.sum(1) >= least) & (differs.sum(1) <= radius)
+    if able.mean() < recall:
+        raise ValueError("recall is out of reach at this radius and tally")
+    found, groups = np.zeros(draws, bool), {}
+    while (found & able).mean() < recall:
+        g = tuple(sorted(rng.choice(32, size, replace=False).tolist()))
+        if g not in groups:
+            groups[g] = None
+            found |= equal[:, g].all(1)
+    return list(groups)
+
+
+def _forest(keys: np.ndarray, side: np.ndarray, node: np.ndarray, fp: np.ndarray, radius: int, least: int, hold: int = 2_000_000):
+    """Pairs (node, node, distance) that span what ``_linked`` links, near pairs first."""
+    value, own = np.unique(node, return_inverse=True)
+    root = np.arange(len(value))
+    at = np.arange(len(keys))
+    size = 8 * fp.shape[1]
+    out, held, count, d = [], [], 0, 0
+
+    def merge():
+        nonlocal root
+        a, b, far = (np.concatenate(x) for x in zip(*held, strict=True))
+        for upto in range(radius // 4, radius + 8, 8):
+            use = np.flatnonzero((far <= upto) & (root[a] != root[b]))
+            while len(use):
+                x, y = root[a[use]], root[b[use]]
+                low, high = np.minimum(x, y), np.maximum(x, y)
+                order = np.lexsort((far[use], low, high))
+                first = order[np.flatnonzero(np.diff(high[order], prepend=-1))]  # the nearest pair of each larger root's least partner
+                pick = use[first]
+                out.append((a[pick], b[pick], far[pick]))
+                root[high[first]] = low[first]
+                while (root[root] != root).any():
+                    root = root[root]
+                use = use[root[a[use]] != root[b[use]]]
+        held.clear()
+
+    while len(at):
+        d += 1
+        at = at[at + d < len(keys)]
+        at = at[keys[at] == keys[at + d]]
+        i, j = at, at + d
+        a, b = own[i], own[j]
+        use = (((side[i] | side[j]) == 0) | ((side[i] | side[j]) == 3) & (side[i] != side[j])) & (root[a] != root[b])
+        i, j, a, b = i[use], j[use], a[use], b[use]
+        x = fp[i] ^ fp[j]
+        z = x | (x >> np.uint64(4))
+        z |= z >> np.uint64(2)
+        z |= z >> np.uint64(1)
+        ok = size - np.bitwise_count(z & np.uint64(0x0101010101010101)).sum(1, dtype=np.int64) >= least
+        far = np.bitwise_count(x[ok]).sum(1, dtype=np.int64)
+        near = far <= radius
+        held.append((a[ok][near], b[ok][near], far[near]))
+        count += len(held[-1][0])
+        if count > hold:
+            merge()
+            count = 0
+    if held:
+        merge()
+    a, b, far = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+    return np.minimum(value[a], value[b]), np.maximum(value[a], value[b]), far
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``(a, b)`` of the pairs whose shingle sets have the Jaccard similarity, exactly."""
+    one, two = (sets.select(F.col("node").alias(n), F.col("set").alias(s)) for n, s in (("a", "s"), ("b", "t")))
+    common = F.size(F.array_intersect("s", "t"))
+    return pairs.select("a", "b").join(one, "a").join(two, "b").where(common * (1 + similarity) >= similarity * (F.size("s") + F.size("t")) - 1e-6).select("a", "b")
+
+
+def _similar_links(pairs: DataFrame, sets: DataFrame, similarity: float, rounds: int = 3) -> DataFrame:
+    """Links ``(a, b)`` among ``pairs(a, b, far)`` that hold exactly and connect all that such links connect.
+
+    In each of ``rounds`` rounds every class tries its nearest pair to another class; then what is left is tried.
+    """
+    good = None
+    left = materialize(pairs.groupBy("a", "b").agg(F.min("far").alias("far")).select("a", "b", "far", F.col("a").alias("ca"), F.col("b").alias("cb")), "simhash-left")
+    for last in [False] * rounds + [True]:
+        if left.isEmpty():
+            break
+        tried = left
+        if not last:
+            ends = left.select(F.explode(F.array("ca", "cb")).alias("c"), "far", "a", "b")
+            tried = ends.groupBy("c").agg(F.min(F.struct("far", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+            tried = materialize(tried, "simhash-tried")
+        new = _verified(tried, sets, similarity)
+        more = materialize(new if good is None else good.unionAll(new), "simhash-good")
+        release(good)
+        good = more
+        if last:
+            break
+        comp = materialize(connected_components(good), "simhash-comp")
+        rest = left.select("a", "b", "far").join(tried, ["a", "b"], "left_anti")
+        for end in "ab":
+            rest = rest.join(comp.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
+        rest = materialize(rest.where("ca != cb").select("a", "b", "far", "ca", "cb"), "simhash-left")
+        release(left, tried, comp)
+        left = rest
+    release(left)
+    return good if good is not None else pairs.select("a", "b").limit(0)
+
+
+def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, recall: float = 0.95, size: int = 2, radius: int = 56, least: int = 3, block: int = 2048) -> DataFrame:
+    """``(id_col, key, class, component_id)``: classes of texts linked by a Jaccard similarity of ``similarity`` or more.
+
+    At 0.8 some 15 % of SimHash bits differ, 10 of 64: no radius at which shared bytes are guaranteed.  So the
+    fingerprint has 256 bits here, and the index posts it under groups of ``size`` byte positions drawn at random,
+    as many as find the share ``recall`` of pairs at that similarity, tally (``least`` of the 32 positional bytes)
+    and distance (``radius`` bits) included; see ``byte_groups``.  Nothing depends on the number of texts: lists
+    hold about texts / 256 ** size, so that ``size`` is to be 2 up to some 10 million different texts and one more
+    for each 256 times as many.  Pairs found span their list, nearest first, and link only if their shingle sets
+    have the similarity exactly, up to 32-bit collisions.
+
+    Null and empty texts, and texts without words, are one class; repeated rows get equal results; a null id never
+    names a class that has another; an empty table gives no row; texts of any length count whole; columns of ``df``
+    other than the two named play no part.
     """
 
     def batches(it):
         for b in it:
-            got = [wide_fingerprint(t, words) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary())], [id_col, "key"])
+            got = [shingles(t, words) for t in b.column(1).to_pylist()]
+            sets = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, got)]), pa.int32()), pa.array(np.concatenate([*got, np.zeros(0, np.uint64)]).astype(np.uint32).view(np.int32)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(wide_key, got), pa.binary()), sets], [id_col, "key", "set"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    rows = materialize(df.select(id_col, text_col).mapInArrow(batches, f"`{id_col}` {kind}, key binary"), "simhash-rows")
+    rows = materialize(df.select(id_col, text_col).mapInArrow(batches, f"`{id_col}` {kind}, key binary, set array<int>"), "simhash-rows")
     nodes = rows.groupBy("key").agg(F.min(id_col).alias("rep")).select(F.monotonically_increasing_id().alias("node"), "key", "rep")
     nodes = materialize(nodes, "simhash-nodes")
-    n = nodes.count()
-    size = 2 if n < 1 << 19 else 3 if n < 1 << 27 else 4
-    tables = int(np.ceil(np.log(1 - recall) / np.log(1 - 0.848 ** (8 * size))))
-    rng = np.random.default_rng(SEED)
-    groups = sorted({tuple(sorted(rng.choice(32, size, replace=False).tolist())) for _ in range(50 * tables)}, key=hash_group)[:tables]
+    groups = byte_groups(size, radius, least, similarity, recall)
     keys = F.array(*(F.xxhash64(F.lit(t), *(F.substring("key", p + 1, 1) for p in g)) for t, g in enumerate(groups)))
-    posts = nodes.select("node", F.col("key").alias("fp"), F.explode(keys).alias("key"))
+    posts = nodes.where(F.col("key") != F.lit(bytes(40))).select("node", F.substring("key", 1, 32).alias("fp"), F.explode(keys).alias("key"))
     hot = materialize(posts.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block), "simhash-lists")
-    pairs = _links(_dealt(posts, hot, block, "left"), radius, least)
-    known = _classes(nodes, pairs, "key")
-    release(hot)
+    pairs = materialize(_links(_dealt(posts, hot, block, "left"), radius, least, _forest), "simhash-pairs")
+    linked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node")
+    sets = rows.alias("r").join(linked.alias("n"), (F.col("r.key") == F.col("n.key")) & F.col(f"r.{id_col}").eqNullSafe(F.col("n.rep")))
+    sets = materialize(sets.groupBy("n.node").agg(F.any_value("r.set").alias("set")), "simhash-sets")
+    known = _classes(nodes, _similar_links(pairs, sets, similarity), "key")
+    release(hot, pairs, sets)
     return rows.join(known, "key").select(id_col, "key", "class", "component_id")
 
 
-def hash_group(group: tuple[int, ...]) -> int:
-    import xxhash
-
-    return xxhash.xxh64_intdigest(bytes(group), SEED)
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row, all columns, of each class of near copies: that of the smallest id; of rows that repeat it, one of least text.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """One row, all columns, of each class of ``similar_classes``: that of the smallest id; of rows that repeat it, one of least text.
 
     Rows without an id are kept, one of each class that has no id at all.
     """
-    found = similar_classes(docs, id_col, text_col)
+    found = similar_classes(docs, id_col, text_col, **how)
+    one, key, count = (free_name(docs, n) for n in ("id", "key", "n"))
     heads = found.where(F.col(id_col).eqNullSafe(F.col("component_id")))
-    heads = heads.groupBy("class", F.col(id_col).alias("_id")).agg(F.min("key").alias("_key"), F.count("*").alias("_n")).select("_id", "_key", "_n")
+    heads = heads.groupBy("class", F.col(id_col).alias(one)).agg(F.min("key").alias(key), F.count("*").alias(count)).select(one, key, count)
     heads = materialize(heads, "simhash-heads")
     # an id heads one class with one row, unless rows repeat it; those few are told apart by their texts
-    ids = heads.groupBy("_id").agg(F.sum("_n").alias("_n"))
-    once, many = (materialize(ids.where(f"_n {op} 1").select("_id"), "simhash-ids") for op in ("=", ">"))
+    ids = heads.groupBy(one).agg(F.sum(count).alias(count))
+    once, many = (materialize(ids.where(F.col(count) == 1 if single else F.col(count) > 1).select(one), "simhash-ids") for single in (True, False))
     # one plan at every size, as the ids grow with the corpus
-    kept = docs.join(once.hint("merge"), docs[id_col].eqNullSafe(once["_id"]), "left_semi")
+    kept = docs.join(once.hint("merge"), docs[id_col].eqNullSafe(once[one]), "left_semi")
     if many.isEmpty():
         return kept
+    words = how.get("words", 5)
 
     def keyed(it):
         for b in it:
-            key = [wide_fingerprint(x) for x in b.column(b.schema.get_field_index(text_col)).to_pylist()]
-            yield b.append_column("_key", pa.array(key, pa.binary()))
+            got = [wide_key(shingles(x, words)) for x in b.column(b.schema.get_field_index(text_col)).to_pylist()]
+            yield b.append_column(key, pa.array(got, pa.binary()))
 
-    rows = docs.join(many, docs[id_col].eqNullSafe(many["_id"]), "left_semi")
-    rows = rows.mapInArrow(keyed, T.StructType([*docs.schema.fields, T.StructField("_key", T.BinaryType())])).alias("r")
-    rows = rows.join(heads.alias("h"), F.col(f"r.{id_col}").eqNullSafe(F.col("h._id")) & (F.col("r._key") == F.col("h._key")), "left_semi")
-    rows = rows.groupBy(id_col, "_key").agg(F.min_by(F.struct(*docs.columns), text_col).alias("_row")).select("_row.*")
+    rows = docs.join(many, docs[id_col].eqNullSafe(many[one]), "left_semi")
+    rows = rows.mapInArrow(keyed, T.StructType([*docs.schema.fields, T.StructField(key, T.BinaryType())])).alias("r")
+    rows = rows.join(heads.alias("h"), F.col(f"r.{id_col}").eqNullSafe(F.col(f"h.{one}")) & (F.col(f"r.{key}") == F.col(f"h.{key}")), "left_semi")
+    rows = rows.groupBy(id_col, key).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), text_col).alias(one)).select(*(F.col(one)[c].alias(c) for c in docs.columns))
     return kept.unionAll(rows)
 
 
