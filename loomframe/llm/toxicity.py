@@ -1,10 +1,12 @@
 """Toxicity by weak supervision.
 
-1. Mining: over the labelled rows that may be learned from, document counts of words and word beginnings give
-   candidate lexicon and pattern voters (distributed counts; the driver gets the best ``voters`` only).
-2. Label model: every voter, the human mark among them, votes or is silent on each row of the sample.  A two-class
-   generative model estimates by EM how often each voter fires on either class; pairwise correlations of the
-   voters' residuals, given the class, then discount voters that repeat each other.
+1. Mining: over all labelled rows that may be learned from, document counts of words and word beginnings give
+   lexicon and pattern voters for either class: all that pass a test at a false discovery rate, without those that
+   tell no more than a longer or shorter one of their kind.  Counts are distributed; the driver gets the voters.
+2. Label model: every voter, the human mark among them, fires or is silent on each row of a sample.  A generative
+   model of two classes, in which a voter depends on the class and on the one other voter it is most correlated
+   with (a tree, so that voters that repeat each other count once), estimates by EM how often each fires on either
+   class, and how often the mark is right.
 3. Classifier: logistic regression on the voters' counts in a text, fitted to the posterior labels.
 
 A score depends on the text alone.
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 
 _SKIP = re.compile(r"[\W\d_]+")
 #: Lengths of word beginnings that serve as patterns.
@@ -37,36 +39,72 @@ def _patterns(text: str | None) -> set[str]:
     return {f" {w} " for w in words if len(w) > 2} | {f" {w[:n]}" for w in words for n in STEMS if len(w) > n}
 
 
-def mine(train: DataFrame, voters: int = 200) -> list[str]:
-    """The most telling words (`` word ``) and beginnings (`` begi``) of ``train(text, toxic)``, best first."""
+def _gain(pos, n, prior: float, log=np.log):
+    """Nats that rows with a pattern, ``pos`` of ``n`` of them toxic, tell about their labels."""
+    p = (pos + prior / 2) / (n + 0.5)
+    return n * (p * log(p / prior) + (1 - p) * log((1 - p) / (1 - prior)))
+
+
+def mine(train: DataFrame, rate: float = 0.05, held: int = 300_000) -> list[str]:
+    """The telling words (`` word ``) and beginnings (`` begi``) of ``train(text, toxic)``, most telling first.
+
+    A voter must be right more often than not where it votes toxic, and halve the share of toxic rows where it votes
+    clean.  It is taken if its gain is beyond log(patterns / (rate * taken)): by Chernoff's bound at most the share
+    ``rate`` of those taken tell nothing.  Of patterns that contain each other those stay that tell as much again.
+    """
 
     def count(it):
         pos, all_ = Counter(), Counter()
+
+        def flush():
+            keys = list(all_)
+            for at in range(0, len(keys), 50_000):
+                part = keys[at : at + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([pos[k] for k in part], pa.int64()), pa.array([all_[k] for k in part], pa.int64())], ["pattern", "pos", "n"])
+            pos.clear()
+            all_.clear()
+
         for b in it:
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 got = _patterns(text)
                 all_.update(got)
                 if toxic:
                     pos.update(got)
-        keys = list(all_)
-        for at in range(0, len(keys), 50_000):
-            part = keys[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([pos[k] for k in part], pa.int64()), pa.array([all_[k] for k in part], pa.int64())], ["pattern", "pos", "n"])
+                if len(all_) > held:
+                    yield from flush()
+        yield from flush()
 
     rows, toxic = train.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not toxic or toxic == rows:
         return []
+    prior = toxic / rows
     c = train.select("text", "toxic").mapInArrow(count, "pattern string, pos long, n long").groupBy("pattern").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
-    p, prior = (F.col("pos") + 0.5 * toxic / rows) / (F.col("n") + 0.5), toxic / rows
-    gain = F.col("n") * (p * F.log(p / prior) + (1 - p) * F.log((1 - p) / (1 - prior)))  # nats that the rows with the pattern tell
-    best = c.where("pos >= 3").where(p > 2 * prior).select("pattern", gain.alias("gain"), "pos", "n").orderBy(F.desc("gain"), "pattern").limit(4 * voters)
-    # of beginnings that occur in the same rows the longest stays
-    longest: dict[tuple, str] = {}
-    for r in best.collect():
-        key = (r["pattern"][:5], r["pos"], r["n"])
-        if len(r["pattern"]) > len(longest.get(key, "")):
-            longest[key] = r["pattern"]
-    return list(longest.values())[:voters]
+    p = (F.col("pos") + prior / 2) / (F.col("n") + 0.5)
+    c = materialize(c.where((F.col("n") >= 3) & ((p > 0.5) | (p < prior / 2))).withColumn("gain", _gain(F.col("pos"), F.col("n"), prior, F.log)), "tox-patterns")
+    patterns, taken, need = c.count(), 1, 0.0
+    for _ in range(20):
+        need = float(np.log(max(2, patterns) / (rate * max(1, taken))))
+        now = c.where(F.col("gain") > need).count()
+        if now == taken:
+            break
+        taken = now
+    best = c.where(F.col("gain") > need).orderBy(F.desc("gain"), F.desc(F.length("pattern")), "pattern").select("pattern", "pos", "n").toLocalIterator()
+    kept: dict[str, tuple[int, int]] = {}
+    inside: dict[str, list[str]] = {}  # kept patterns by each of their beginnings
+    for pattern, pos, n in ((r["pattern"], r["pos"], r["n"]) for r in best):
+        above = [kept[pattern[:k]] for k in range(4, len(pattern)) if pattern[:k] in kept]
+        below = inside.get(pattern, [])
+        below = [kept[x] for x in below if not any(x != y and x.startswith(y) for y in below)]
+        pos_, n_ = max(0, pos - sum(x for x, _ in below)), max(0, n - sum(y for _, y in below))
+        if below and (n_ == 0 or _gain(pos_, n_, prior) <= need):
+            continue
+        if above and _gain(pos, n, min(max((x + 0.5) / (y + 1) for x, y in above), 1 - 1e-9)) <= need:
+            continue
+        kept[pattern] = (pos, n)
+        for k in range(4, len(pattern)):
+            inside.setdefault(pattern[:k], []).append(pattern)
+    release(c)
+    return list(kept)
 
 
 def _automaton(voters: list[str]):
@@ -81,7 +119,7 @@ def _automaton(voters: list[str]):
 
 def _counts(texts: list[str | None], auto, n: int) -> np.ndarray:
     """How often each voter fires on each text; in the last column the number of words."""
-    out = np.zeros((len(texts), n + 1), np.float32)
+    out = np.zeros((len(texts), n + 1))
     for row, text in zip(out, texts, strict=True):
         plain = _plain(text)
         for _, i in auto.iter(plain):
@@ -90,103 +128,145 @@ def _counts(texts: list[str | None], auto, n: int) -> np.ndarray:
     return out
 
 
-def label_model(votes: np.ndarray, human: np.ndarray, trust: float = 0.98, rounds: int = 30) -> np.ndarray:
-    """P(label 1) of each row from binary votes (rows x voters) and the human mark, which is right with probability ``trust``."""
-    n = len(votes)
-    mark = np.where(human > 0, 1, -1) * np.log(trust / (1 - trust))
-    q = np.where(human > 0, trust, 1 - trust)
+def _parents(rest: np.ndarray, least: float) -> np.ndarray:
+    """For each column the one that it hangs on in the tree of largest correlations, or -1."""
+    corr = np.abs(rest.T @ rest) / len(rest)
+    np.fill_diagonal(corr, 0)
+    v = len(corr)
+    parent, near, free = np.full(v, -1), np.zeros(v), np.ones(v, bool)
+    for _ in range(v):
+        at = np.flatnonzero(free)[near[free].argmax()]
+        free[at] = False
+        if near[at] < least:
+            parent[at] = -1
+        closer = free & (corr[at] > near)
+        near[closer], parent[closer] = corr[at][closer], at
+    return parent
+
+
+def label_model(votes: np.ndarray, human: np.ndarray, trust: float = 0.95, weight: float = 50, least: float = 0.1, rounds: int = 40) -> tuple[np.ndarray, float]:
+    """P(label 1) of each row from binary votes (rows x voters) and the human mark, and the mark's estimated accuracy.
+
+    ``trust`` is where the estimate of the mark's accuracy starts, with the weight of ``weight`` rows.
+    """
+    votes = votes.astype(np.float32)
+    h = (human > 0).astype(np.float64)
+    q = np.where(h > 0, trust, 1 - trust)
+    fire = np.stack([(1 - q) @ votes / (1 - q).sum(), q @ votes / q.sum()])
+    rest = votes - (np.outer(q, fire[1]) + np.outer(1 - q, fire[0])).astype(np.float32)
+    rest /= np.sqrt((rest**2).mean(0)) + 1e-9
+    parent = _parents(rest, least)
+    del rest
+    up = votes[:, parent] * (parent >= 0)  # a voter without another hangs on one that never fires
+    both = votes * up
+    right = trust
     for _ in range(rounds):
-        fire = np.stack([((1 - q) @ votes + 0.5) / ((1 - q).sum() + 1), (q @ votes + 0.5) / (q.sum() + 1)])
-        rest = votes - np.outer(q, fire[1]) - np.outer(1 - q, fire[0])
-        rest /= np.sqrt((rest**2).mean(0)) + 1e-9
-        corr = np.abs(rest.T @ rest) / n
-        corr[corr < 0.1] = 0
-        weight = 1 / np.maximum(1, corr.sum(1))  # a voter that k others repeat counts 1 / (1 + k)
-        on, off = np.log(fire[1] / fire[0]), np.log((1 - fire[1]) / (1 - fire[0]))
-        logit = np.log(q.mean() / (1 - q.mean())) + mark + (weight * off).sum() + votes @ (weight * (on - off))
+        table = []
+        for w in (1 - q, q):
+            v, u, vu, n = w @ votes, w @ up, w @ both, w.sum()
+            mean = (v + 0.5) / (n + 1)
+            p0, p1 = (v - vu + mean) / (n - u + 1), (vu + mean) / (u + 1)
+            table.append((p0, p1))
+        (a0, a1), (b0, b1) = (tuple(np.clip(x, 1e-6, 1 - 1e-6) for x in t) for t in table)
+        on0, on1, off0, off1 = np.log(b0 / a0), np.log(b1 / a1), np.log((1 - b0) / (1 - a0)), np.log((1 - b1) / (1 - a1))
+        logit = off0.sum() + votes @ (on0 - off0) + up @ (off1 - off0) + both @ (on1 - on0 - off1 + off0)
+        right = ((q * h + (1 - q) * (1 - h)).sum() + trust * weight) / (len(h) + weight)
+        logit = logit + np.log(q.mean() / (1 - q.mean())) + np.where(h > 0, 1, -1) * np.log(right / (1 - right))
         new = 1 / (1 + np.exp(-np.clip(logit, -9, 9)))
         if np.abs(new - q).max() < 1e-4:
             break
         q = new
-    return q
+    return q, float(right)
 
 
 def _features(counts: np.ndarray) -> np.ndarray:
     fires, words = counts[:, :-1], counts[:, -1]
     total = fires.sum(1)
-    return np.column_stack([np.log1p(fires), fires > 1, np.log1p(total), np.log1p((fires > 0).sum(1)), np.sqrt(total / np.maximum(1, words)), np.ones(len(counts))]).astype(np.float64)
+    return np.column_stack([np.log1p(fires), np.log1p(total), np.log1p((fires > 0).sum(1)), np.sqrt(total / np.maximum(1, words)), np.ones(len(counts))]).astype(np.float64)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 25) -> np.ndarray:
-    w = np.zeros(x.shape[1])
-    keep = np.full(x.shape[1], ridge)
+def _logistic(counts: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 25, block: int = 2000) -> np.ndarray:
+    size = counts.shape[1] + 3
+    w = np.zeros(size)
+    keep = np.full(size, ridge)
     keep[-1] = 1e-6
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(keep)
-        step = np.linalg.solve(h, x.T @ (y - p) - keep * w)
+        h, g = np.diag(keep), -keep * w
+        for at in range(0, len(counts), block):
+            x = _features(counts[at : at + block])
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            h += (x * (p * (1 - p) + 1e-6)[:, None]).T @ x
+            g += x.T @ (y[at : at + block] - p)
+        step = np.linalg.solve(h, g)
         w += step
         if np.abs(step).max() < 1e-6:
             break
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 20_000, voters: int = 200) -> dict:
-    """A model from the labelled rows.  About ``sample`` of them, chosen by a hash of the id, fit it: the one bound here.
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 20_000, rate: float = 0.05) -> dict:
+    """A model from the labelled rows: voters from all of them, its weights from about ``sample``, chosen by a hash of the text.
 
-    Rows without a label or id are not learned from; of several labels of an id the highest counts.  Without both
-    labels among the rows the model scores every text by their share.
+    Rows without a label or id are not learned from; of several labels of an id or of equal texts the highest counts,
+    and equal texts teach once; columns of ``docs`` and ``labels`` other than those named play no part.  Without
+    both labels among the rows, as in empty tables, the model scores every text by their share.
     """
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("toxic"))
-    marks = materialize(marks, "tox-marks")
-    n = marks.count()
-    chosen = marks.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / max(1, n))))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id").select("text", "toxic")
-    rows = materialize(rows.groupBy("text").agg(F.max("toxic").alias("toxic")), "tox-train")  # copies teach once
-    found = mine(rows, voters)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(marks, "id").select("text", "toxic")
+    rows = materialize(rows.groupBy("text").agg(F.max("toxic").alias("toxic")), "tox-train")
+    found = mine(rows, rate)
     if not found:
         share = rows.agg(F.avg("toxic")).first()[0] or 0.0
         share = min(max(share, 1e-3), 1 - 1e-3)
-        return {"voters": [], "weights": np.array([0.0, 0.0, 0.0, np.log(share / (1 - share))])}
+        release(rows)
+        return {"voters": [], "weights": np.array([0.0, 0.0, 0.0, np.log(share / (1 - share))]), "mark": None}
 
     def fired(it):
         auto = _automaton(found)
         for b in it:
-            c = np.minimum(_counts(b.column(0).to_pylist(), auto, len(found)), 65535).astype("<u2")
+            c = _counts(b.column(0).to_pylist(), auto, len(found)).astype("<u4")
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in c], pa.binary()), b.column(1)], ["counts", "toxic"])
 
-    got = rows.mapInArrow(fired, "counts binary, toxic int").toArrow()
-    counts = np.frombuffer(b"".join(got["counts"].to_pylist()), "<u2").reshape(-1, len(found) + 1).astype(np.float32)
+    some = rows.where(F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / max(1, rows.count()))))
+    got = some.mapInArrow(fired, "counts binary, toxic int").toArrow()
     human = got["toxic"].to_numpy()
-    votes = np.column_stack([counts[:, :-1] > 0, counts[:, :-1] > 1]).astype(np.float64)
-    posterior = label_model(votes[:, votes.any(0)], human)
-    return {"voters": found, "weights": _logistic(_features(counts), posterior)}
+    counts = np.frombuffer(b"".join(got["counts"].to_pylist()), "<u4").reshape(-1, len(found) + 1)
+    del got
+    release(rows)
+    votes = counts[:, :-1] > 0
+    posterior, mark = label_model(votes[:, votes.any(0)], human)
+    return {"voters": found, "weights": _logistic(counts, posterior), "mark": mark}
+
+
+def scores(texts: list[str | None], model: dict, auto=None) -> np.ndarray:
+    n = len(model["voters"])
+    c = _counts(texts, auto or _automaton(model["voters"]), n) if n else np.zeros((len(texts), 1))
+    return 1 / (1 + np.exp(-np.clip(_features(c) @ model["weights"], -30, 30)))
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id_col, score)`` for every row; null and empty texts get the score of a text on which no voter fires."""
+    """``(id_col, score)`` for every row.
+
+    Null and empty texts get the score of a text on which no voter fires; equal texts, and so repeated rows, get
+    equal scores; a text of any length counts whole; other columns play no part; an empty table gives no row.
+    """
 
     def batches(it):
-        auto, n = _automaton(model["voters"]) if model["voters"] else None, len(model["voters"])
+        auto = _automaton(model["voters"]) if model["voters"] else None
         for b in it:
-            texts = b.column(1).to_pylist()
-            c = np.minimum(_counts(texts, auto, n), 65535) if n else np.zeros((len(texts), 1), np.float32)
-            s = 1 / (1 + np.exp(-np.clip(_features(c) @ model["weights"], -30, 30)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s)], [id_col, "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores(b.column(1).to_pylist(), model, auto))], [id_col, "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(batches, f"`{id_col}` {kind}, score double")
 
 
 def keep_clean(docs: DataFrame, model: dict, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """The rows of ``docs``, all columns, with a score under ``threshold``."""
+    """The rows of ``docs``, all columns, with a score under ``threshold``; a score equal to it is rejected.  See ``score``."""
 
     def batches(it):
-        auto, n = _automaton(model["voters"]) if model["voters"] else None, len(model["voters"])
+        auto = _automaton(model["voters"]) if model["voters"] else None
         for b in it:
-            texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
-            c = np.minimum(_counts(texts, auto, n), 65535) if n else np.zeros((len(texts), 1), np.float32)
-            yield b.filter(pa.array(1 / (1 + np.exp(-np.clip(_features(c) @ model["weights"], -30, 30))) < threshold))
+            yield b.filter(pa.array(scores(b.column(b.schema.get_field_index(text_col)).to_pylist(), model, auto) < threshold))
 
     return docs.mapInArrow(batches, docs.schema)
 
