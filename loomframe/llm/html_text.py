@@ -39,13 +39,30 @@ MAIN = frozenset("article main".split())
 BESIDE = frozenset("ad ads advert advertisement adverts banner banners breadcrumb breadcrumbs comment comments cookie cookies disqus footer header masthead menu menubar modal nav navbar navigation newsletter notice notices popup promo promos promotion related share sharing sidebar sidebars signup skip social sponsor sponsored subscribe tags toolbar widget widgets".split())
 
 
+# Words before which a word of BESIDE names what a part has or lacks, not what it is.
+HAVING = frozenset("has have with without no not is hide show".split())
+
+
+def _beside(label: str) -> int:
+    """2 if a whole word of a class, id or role names a part beside the main text, 1 if such a word is part of one, else 0."""
+    words = label.split()
+    if BESIDE.intersection(words):
+        return 2
+    parts = [_WORD.findall(w) for w in words]
+    return int(any(p and p[0] not in HAVING and BESIDE.intersection(p) for p in parts))
+
+
 class _Parser:
-    """Blocks of a page: (path, text, beside, main), in page order."""
+    """Blocks of a page: (path, text, beside, main), in page order.
+
+    beside is 2 in a part that its element's name or a whole class word sets beside the main text, 1 in one that a part
+    of a class word or a form does, which an article within undoes, else 0.
+    """
 
     def __init__(self, page: str):
-        self.blocks: list[tuple[str, str, bool, bool]] = []
+        self.blocks: list[tuple[str, str, int, bool]] = []
         self.paths: list[str] = []
-        self.open: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # name, path, beside, main
+        self.open: list[tuple[str, str, int, bool]] = [("", "", 0, False)]  # name, path, beside, main
         self.text: list[str] = []
         at = 0
         while at < len(page):
@@ -80,28 +97,33 @@ class _Parser:
                     self.flush()
                 self.text.append(" ")
             return
-        words, label = set(), name
+        words, label, rank = set(), name, 0
         if "=" in tag:
             for a in _ATTR.finditer(tag):
                 value = (a[2] or a[3] or a[4] or "").lower()
                 words.update(_WORD.findall(value))
+                rank = max(rank, _beside(value))
                 if a[1].lower() in ("class", "id"):
                     label += "." + value
         if name not in INLINE:
             self.flush()
             while self.open[-1][0] == "p" or (name in ("li", "dt", "dd", "tr", "td", "th", "option") and self.open[-1][0] == name):
                 self.open.pop()  # an end tag left out
-        beside = name in OUTSIDE or (bool(words & BESIDE) and name not in ("html", "body"))
-        main = not beside and (name in MAIN or "main" in words or "articlebody" in words)
+        if name in MAIN or name in ("html", "body"):
+            rank = 2 if rank == 2 and name == "article" and any(w.startswith("comment") for w in words) else 0
+        beside = max(rank, 1 if name == "form" else 2 if name in OUTSIDE else 0)
         up = self.open[-1]
+        if name in MAIN and not beside and up[2] == 1:  # what wraps an article is no part beside it
+            up = (*up[:2], 0, up[3])
+        main = not beside and (name in MAIN or "main" in words or "articlebody" in words)
         if name in INLINE:
             if beside and not up[2]:
                 self.flush()
-            self.open.append((name, up[1] if not words else f"{up[1]}/{label}", up[2] or beside, up[3] or main))
+            self.open.append((name, up[1] if not words else f"{up[1]}/{label}", max(up[2], beside), up[3] or main))
             return
         path = f"{up[1]}/{label}"
         self.paths.append(path)
-        self.open.append((name, path, up[2] or beside, up[3] or main))
+        self.open.append((name, path, max(up[2], beside), up[3] or main))
 
     def close(self, name: str):
         if name == "p" or name not in INLINE:
@@ -201,7 +223,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """``(id_col, url_col, text)`` for every row; an empty text for null or empty html or if nothing is left.
 
     Pages without a host, or of hosts with few pages, have no template: element names alone decide there.
-    Repeated rows get equal texts; other columns play no part.
+    Repeated rows and null ids get the texts of their pages; html of any length is read whole; an empty table gives
+    no row; other columns play no part.
     """
     found = templates(pages, id_col, url_col, html_col)
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), url_host(F.col(url_col)).alias("host"))
