@@ -1,11 +1,12 @@
 """Packing of documents into windows by Karmarkar-Karp multiway differencing.
 
-A document's ids are cut into full windows first; what is left is cut into items of at most ``item`` ids.  The
-items of a group of documents are partitioned into k windows by multiway differencing: partial partitions with
+A document's ids are cut into full windows first; what is left is cut into pieces of at most ``item`` ids, and
+neighbouring pieces shorter than ``bundle`` ids make up one item together.  The items of a group of documents are partitioned into k windows by multiway differencing: partial partitions with
 the largest spread are merged again and again, the fullest window of one with the emptiest of the other, until one
 partition with near-equal windows is left.  k starts at the least number that could hold the items and rises by
 one whenever the fullest window exceeds the capacity.  A group is a run of rows of one input partition holding
-about ``group_tokens`` ids, so nothing is shuffled and a task's memory does not grow with the table.
+about ``group_tokens`` ids, so nothing is shuffled and a task's memory does not grow with the table: a group has at
+most 2 * ``group_tokens`` / ``bundle`` items, however short its texts are.
 """
 
 from __future__ import annotations
@@ -94,6 +95,14 @@ def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def bundles(sizes: np.ndarray, least: int) -> np.ndarray:
+    """The number of each piece's item: pieces of ``least`` and more are items, shorter ones join till they reach it."""
+    small = sizes < least
+    before = np.cumsum(np.where(small, sizes, 0)) - np.where(small, sizes, 0)
+    key = np.where(small, before // least, np.cumsum(~small) + (1 << 40))
+    return np.unique(key, return_inverse=True)[1]
+
+
 def windows(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
     """The window of each item and the number of windows; raises that number whenever a window exceeds the capacity."""
     k = max(1, -(-int(sizes.sum()) // capacity))
@@ -104,11 +113,12 @@ def windows(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
         k += 1
 
 
-def pack(df: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = 1, item: int = 512, group_tokens: int = 1 << 20) -> DataFrame:
+def pack(df: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = 1, item: int = 512, group_tokens: int = 1 << 20, bundle: int = 64) -> DataFrame:
     """Pieces of all rows: ``(id_col, start, length, doc_tokens, sequence_id, offset, ids)``; ids is binary, 4 bytes an id.
 
     Every id of a row's text, and ``end_id`` after them, lies in exactly one piece.  A null or empty text gives a
-    piece with ``end_id`` alone; repeated rows are packed each for itself; an empty table gives no piece.
+    piece with ``end_id`` alone; repeated rows and null ids are packed each for itself; a text of any length is
+    encoded whole; other columns play no part; an empty table gives no piece.
     """
     kind = df.schema[id_col].dataType.simpleString()
 
@@ -133,7 +143,9 @@ def pack(df: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", te
             nth_i = np.arange(len(doc_i)) - np.repeat(np.cumsum(per) - per, per)
             start_i = full[doc_i] * window + nth_i * item
             len_i = np.minimum(item, n[doc_i] - start_i)
-            at, k = windows(len_i, window) if len(len_i) else (np.zeros(0, np.int64), 0)
+            of = bundles(len_i, bundle)
+            at, k = windows(np.bincount(of, len_i).astype(np.int64), window) if len(len_i) else (np.zeros(0, np.int64), 0)
+            at = at[of]
             order = np.argsort(at, kind="stable")
             doc_i, start_i, len_i, at = doc_i[order], start_i[order], len_i[order], at[order]
             before = np.cumsum(len_i) - len_i
