@@ -21,7 +21,7 @@ from .common import connected_components, materialize, release
 
 def plan(n: int, cosine: float, recall: float = 0.999, bucket: int = 100) -> tuple[int, int]:
     """Sign bits a table and tables, so that a pair at ``cosine`` meets in one of them with probability ``recall``."""
-    bits = max(1, min(30, math.ceil(math.log2(max(2, n / bucket)))))
+    bits = max(1, math.ceil(math.log2(max(2, n / bucket))))
     p = (1 - math.acos(cosine) / math.pi) ** bits
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - p))
 
@@ -47,12 +47,16 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, and vectors of
     different length never with each other.  n_links counts other rows linked directly; component_id is the
-    smallest id reachable.  Equal rows link with each other.  Other columns play no part.
+    smallest id reachable.  Equal rows link with each other, those of null id too; a cosine equal to ``cosine`` in
+    doubles links; an empty table gives no row; other columns play no part.  A linked pair at ``cosine`` meets with
+    probability ``recall`` at every number of vectors, as the tables follow from the bits.
     """
     vec = F.col(vec_col).cast("array<double>")
     bad = F.coalesce(F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(True)) | ~F.exists(vec, lambda x: x != 0)
     # -0.0 and 0.0 are the same component
     vec = F.transform(vec, lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x))
+    if "array<float>" == df.schema[vec_col].dataType.simpleString():
+        vec = vec.cast("array<float>")  # half the shuffle; tasks compute in doubles
     rows = df.select(F.col(id_col).alias("id"), F.when(~bad, vec).alias("v"))
     rows = materialize(rows.select("id", "v", F.when(F.col("v").isNotNull(), F.struct(F.xxhash64("v", F.lit(1)).alias("h1"), F.xxhash64("v", F.lit(2)).alias("h2"))).alias("key")), "emb-rows")
     # node: the smallest id of equal vectors, or a number of its own where ids repeat or are null
@@ -63,10 +67,10 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
 
     def hashes(it):
         planes: dict[int, np.ndarray] = {}
-        power = 1 << np.arange(bits, dtype=np.int64)
+        power = 1 << np.arange(bits, dtype=np.int64)  # beyond 31 bits keys and lengths may mix, which only adds candidates
         for b in it:
             size = np.diff(b.column(1).offsets.to_numpy())
-            flat = b.column(1).flatten().to_numpy()
+            flat = b.column(1).flatten().to_numpy().astype(np.float64)
             at = np.concatenate([[0], np.cumsum(size)])
             keys = np.zeros((len(b), tables), np.int64)
             for d in np.unique(size).tolist():
@@ -89,7 +93,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     def compare(it):
         def group(x):
             node, t, side, mult = x["node"], x["t"][0], x["side"], x["mult"]
-            keys, v = np.stack(x["keys"]), np.stack(x["v"])
+            keys, v = np.stack(x["keys"]), np.stack(x["v"]).astype(np.float64)
             v = v / np.abs(v).max(1, keepdims=True)
             v /= np.sqrt((v * v).sum(1, keepdims=True))
             total = np.zeros(len(node), np.int64)
