@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 from .common import connected_components, materialize, release
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rules compile into one expression; more than this many should come in several calls.
-MAX_RULES = 1000
+#: As many rules as this compile into one expression; more are joined on the hosts that they fit.
+COMPILED = 200
+# Character references that occur in addresses.
+REFERENCES = (("&#38;", "&"), ("&#x26;", "&"), ("&#47;", "/"), ("&#x2f;", "/"), ("&#x2F;", "/"), ("&sol;", "/"), ("&#58;", ":"), ("&colon;", ":"), ("&#61;", "="), ("&equals;", "="), ("&quest;", "?"), ("&num;", "#"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&"))
 CONTRACT_RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
 
 
@@ -60,7 +62,10 @@ def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     tags = materialize(some.where(F.col("t").rlike(r"""(?is)\brel\s*=[^>]*\bcanonical\b|\bhttp-equiv\s*=\s*["']?refresh""")), "url-tags")
     canonical = F.regexp_extract("t", r"""(?is)\bhref\s*=\s*["']?\s*([^"'\s>]+)""", 1)
     refresh = F.regexp_extract("t", r"""(?is)\bcontent\s*=\s*["']?\s*[0-9.]*\s*[;,]\s*url\s*=\s*['"]?([^'"\s>]+)""", 1)
-    target = tags.select("u", F.replace(F.when(F.lower("t").startswith("<link"), canonical).otherwise(refresh), F.lit("&amp;"), F.lit("&")).alias("d"))
+    named = F.when(F.lower("t").startswith("<link"), canonical).otherwise(refresh)
+    for ref, sign in REFERENCES:
+        named = F.replace(named, F.lit(ref), F.lit(sign))
+    target = tags.select("u", named.alias("d"))
     target = materialize(target.where("d != ''"), "url-targets")
     out = materialize(target.select(F.col("u").alias("src"), _resolved(F.col("u"), F.col("d")).alias("dst")), "url-links")
     release(tags, target)
@@ -69,8 +74,6 @@ def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 
 def _rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> tuple[Column, Column]:
     """The longest fitting rule and its verdict; of equally long ones an allowing rule."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"at most {MAX_RULES} rules a call")
     name, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for h, p, v in sorted(rules, key=lambda r: (len(r[0]) + len(r[1]), r[2] == "allow")):
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
@@ -78,16 +81,34 @@ def _rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) ->
     return name, verdict
 
 
+def _ruled(urls: DataFrame, rules: Sequence[tuple[str, str, str]], *keep: str) -> DataFrame:
+    """``urls(host, path, ...)``, of it the columns ``keep``, with ``rule`` and ``own``, the fitting rule and its verdict."""
+    if len(rules) <= COMPILED:
+        name, verdict = _rule(F.col("host"), F.col("path"), rules)
+        return urls.select(*keep, name.alias("rule"), verdict.alias("own"))
+    table = urls.sparkSession.createDataFrame([(h, p, v) for h, p, v in rules], "rh string, rp string, v string")
+    table = table.groupBy("rh").agg(F.collect_set(F.struct("rp", "v")).alias("rs"))  # as long as the rules for a host
+    parts = F.split("host", r"\.")
+    tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    fits = F.filter("rs", lambda r: F.col("path").startswith(r["rp"]))
+    fits = F.transform(fits, lambda r: F.struct((F.length("rh") + F.length(r["rp"])).alias("n"), (r["v"] == "allow").alias("a"), F.concat("rh", r["rp"]).alias("rule"), r["v"].alias("v")))
+    asked = urls.select("host", "path").distinct()
+    said = asked.select("host", "path", F.explode(tails).alias("rh")).join(table, "rh").select("host", "path", F.array_max(fits).alias("r"))
+    said = said.groupBy("host", "path").agg(F.max("r").alias("r")).where("r IS NOT NULL")
+    said = materialize(said.select("host", "path", F.col("r.rule").alias("rule"), F.col("r.v").alias("own")), "url-ruled")
+    return urls.join(said, ["host", "path"], "left").select(*keep, "rule", "own")
+
+
 def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], redirects: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html") -> DataFrame:
     """``(id_col, host, path, rule, verdict)`` for every row of ``pages``.
 
     ``redirects`` holds further edges ``(src, dst)``; canonical links and refreshes are read from ``html_col`` if
     it is given.  A URL that is null or has no ``://`` has an empty host and path, fits no rule and is allowed;
-    null html declares no link; repeated rows get equal results; other columns play no part.
+    null html declares no link; repeated rows and null ids get the results of their URLs; URLs and html of any length
+    are read whole; an empty table gives no row; other columns play no part.
     """
     seen = pages.select(F.col(id_col).alias("id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"), _node(F.col(url_col)).alias("node"))
-    name, verdict = _rule(F.col("host"), F.col("path"), rules)
-    seen = seen.select("id", "host", "path", name.alias("rule"), verdict.alias("own"), "node")
+    seen = _ruled(seen, rules, "id", "host", "path", "node")
     edges = page_links(pages, url_col, html_col) if html_col else None
     if redirects is not None:
         more = redirects.select("src", "dst")
@@ -98,8 +119,8 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], redirec
         if not edges.isEmpty():
             # the target of a link need not be a page; its rule counts all the same
             comp = materialize(connected_components(edges), "url-comp")
-            own = _rule(url_host(F.col("node")), url_path(F.col("node")), rules)[1]
-            said = comp.select("component", own.alias("own")).groupBy("component").agg(F.max(F.col("own") == "allow").alias("allow"), F.max(F.col("own") == "block").alias("block"))
+            ruled = _ruled(comp.select("component", url_host(F.col("node")).alias("host"), url_path(F.col("node")).alias("path")), rules, "component")
+            said = ruled.groupBy("component").agg(F.max(F.col("own") == "allow").alias("allow"), F.max(F.col("own") == "block").alias("block"))
             said = said.select("component", F.when(F.col("allow"), F.lit("allow")).when(F.col("block"), F.lit("block")).otherwise(F.lit("allow")).alias("class_verdict"))
             classed = materialize(comp.join(said, "component").select("node", "class_verdict").where("class_verdict = 'block'"), "url-blocked")
             release(comp)
