@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, release
 
-QUOTE = r"^[ \t]*((?:>[ \t]?)+)"
+QUOTE = r"^[ \t]*(>[> \t]*)"
 PARAGRAPH = r"\n[ \t\r]*\n"
 
 
@@ -25,7 +25,7 @@ def normal(text: Column) -> Column:
 
 def unquoted(text: Column) -> Column:
     """The text without quote lines, and without a line that introduces them."""
-    bare = F.regexp_replace(text, r"(?m)^[^\n>][^\n]{0,300}\bwrote:[ \t]*\r?\n(?=[ \t]*>)", "")
+    bare = F.regexp_replace(text, r"(?m)^[^\n>][^\n]*\bwrote:[ \t]*\r?\n(?=[ \t]*>)", "")
     return F.when(text.rlike(r"(?m)^[ \t]*>"), F.trim(F.regexp_replace(bare, r"(?m)^[ \t]*>[^\n]*(?:\n|\z)", ""), F.lit(" \n\r\t"))).otherwise(text)
 
 
@@ -68,7 +68,8 @@ def thread(chat: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", r
     the first turn of its thread, its own turn if it quotes nothing.  formatted is ``<|role|>``, a line end, the
     text and ``<|end|>``.  A null text stays null and is formatted as an empty one; a null role is ``user``; rows
     with a null conversation or turn are kept and link with nothing; rows that repeat a turn are linked each by
-    its own quotes, and share the turn's first root; other columns play no part.  Conversations are not gathered:
+    its own quotes, and share the turn's first root; texts of any length count whole, and an empty table gives no
+    row; of passages that link equally well the one of the latest message counts; other columns play no part.  Conversations are not gathered:
     rows come range-partitioned and sorted by (conversation, root, turn).
     """
     links = link_quotes(chat, conv_col, turn_col, text_col)
