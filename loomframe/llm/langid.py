@@ -46,7 +46,11 @@ def codewords(n: int, seed: int = 5) -> np.ndarray:
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = 5_000) -> dict:
-    """A model from all rows with a language.  About ``sample`` rows, chosen by a hash of the text, weigh the bits."""
+    """A model from all rows with a language.  About ``sample`` rows, chosen by a hash of the text, weigh the bits.
+
+    Rows of null text or language teach nothing, repeated rows teach each; columns other than the two named play no
+    part.  An empty table gives a model that answers ``und``.
+    """
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
 
     def count(it):
@@ -96,7 +100,11 @@ def margin(text: str | None, weights: np.ndarray) -> np.ndarray:
 
 
 def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", unsure: float = 0.6) -> DataFrame:
-    """``(id_col, lang_pred, score, ambiguous)`` for every row; ``und`` and score 0 for a null text or one without letters."""
+    """``(id_col, lang_pred, score, ambiguous)`` for every row; ``und`` and score 0 for a null text or one without letters.
+
+    Of languages at equal loss the first by name is answered, and flagged; equal texts, and so repeated rows, get equal
+    answers; texts count whole at any length; null ids are kept; other columns play no part; an empty table gives no row.
+    """
 
     def batches(it):
         for b in it:

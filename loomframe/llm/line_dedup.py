@@ -21,6 +21,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize, release
 
@@ -39,6 +40,8 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     d is the id, k the XXH64 of the text.  Lines end at \\n and compare trimmed; blank lines are no part of the
     sequence and go with the lines around them; words are what single spaces separate.
     """
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} must be an integer column, not {docs.schema[id_col].dataType.simpleString()}")
     spark = docs.sparkSession
     numbered = F.transform(F.split("t", "\n"), lambda x, i: F.struct(i.alias("i"), F.trim(x).alias("x")))
     lines = docs.select(F.col(id_col).alias("d"), F.xxhash64(text_col).alias("k"), F.col(text_col).alias("t")).where("t != ''")
@@ -101,7 +104,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     All rows and columns stay; a text of which nothing is left is empty.  ``removed_col``, if given, is added and
     holds the runs that went, as an array of (first, last).  Null and empty texts stay as they are.  The id must be
-    an integer; null ids count as last; rows with equal id and text are one document and get equal results.
+    an integer (else a TypeError at the call); null ids count as last; rows with equal id and text are one document
+    and get equal results; lines and texts count whole at any length; an empty table gives no row; extra columns of
+    any name are carried along.
     """
     d, k, gone = (next(n for i in range(len(docs.columns) + 1) if (n := f"{x}{i}") not in docs.columns) for x in ("_doc", "_key", "_gone"))
     runs = repeated_runs(docs, id_col, text_col, min_words).groupBy(F.col("d").alias(d), F.col("k").alias(k)).agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias(gone))
