@@ -191,3 +191,75 @@ def test_line_dedup_odd_rows(spark):
     # of the rows with id 1 one text is first, and stays whole with its repeats
     assert (texts.count(f"{long}\nb"), texts.count("c")) == (2, 1) or (texts.count("b"), texts.count(f"c\n{long}")) == (2, 1)
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
+
+
+def test_byte_groups_reach_their_recall():
+    rng = np.random.default_rng(8)
+    groups = simhash.byte_groups(2, 56, 3, 0.8, 0.95)
+    flips = rng.random((4000, 256)) < np.arccos(1.6 / 1.8) / np.pi
+    equal = ~flips.reshape(4000, 32, 8).any(2)
+    found = np.any([equal[:, g].all(1) for g in groups], 0) & (flips.sum(1) <= 56) & (equal.sum(1) >= 3)
+    assert 0.93 <= found.mean() <= 0.99
+    with pytest.raises(ValueError):
+        simhash.byte_groups(2, 30, 3, 0.8, 0.95)
+
+
+def test_similar_classes_verify_exactly(spark):
+    """Chains and crowds of texts about the similarity: classes hold by exact links only."""
+    rng = random.Random(12)
+    pool = [f"w{i}" for i in range(3000)]
+    texts = []
+    for edits in (2, 3, 4, 6, 9):
+        base = [rng.choice(pool) for _ in range(120)]
+        texts.append(" ".join(base))
+        for _ in range(12):
+            t = list(base)
+            for _ in range(edits):
+                t[rng.randrange(len(t))] = rng.choice(pool)
+            texts.append(" ".join(t))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_classes(df, block=16).collect()}
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    links = [(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))]
+    want = components(len(texts), links)
+    assert all(want[i] == want[got[i]] for i in range(len(texts)))  # nothing is joined that exact links don't join
+    assert sum(got[i] == want[i] for i in range(len(texts))) >= 0.95 * len(texts)
+
+
+def test_near_copies_with_clashing_columns(spark):
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = [("b", text, 1), ("a", text + " end", 2), ("a", text + " end", 2), ("a", "other words", 3), (None, "lone", 4), (None, "lone", 5)]
+    df = spark.createDataFrame([(*r, 0, 0, 0) for r in rows], "doc_id string, text string, _key int, _id0 int, _KEY0 int, node int")
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id or "", r.text) for r in kept.collect()) == [("", "lone"), ("a", "other words"), ("a", text + " end")]
+    with pytest.raises(TypeError):
+        line_dedup.dedup_lines(df)
+
+
+@pytest.mark.parametrize("bits", [6, 10, 14])
+def test_embedding_recall(bits):
+    """Planted pairs at cosine 0.9 meet in the tables that the plan asks for."""
+    rng = np.random.default_rng(bits)
+    n = 100 << bits
+    assert embeddings.plan(n, 0.9)[0] == bits
+    tables = embeddings.plan(n, 0.9)[1]
+    u, w = rng.standard_normal((2, 3000, 32))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    w -= (w * u).sum(1, keepdims=True) * u
+    v = 0.9 * u + np.sqrt(1 - 0.81) * w / np.linalg.norm(w, axis=1, keepdims=True)
+    planes = rng.standard_normal((32, tables * bits))
+    same = ((u @ planes > 0) == (v @ planes > 0)).reshape(-1, tables, bits).all(2).any(1)
+    assert same.mean() >= 0.99
+
+
+def test_embeddings_in_many_tables(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((60, 24)).astype("f4")
+    v = np.concatenate([base, base + 0.25 * rng.standard_normal((60, 24)).astype("f4"), base[:3]])
+    monkeypatch.setattr(embeddings, "plan", lambda n, cosine, recall: (10, 29))
+    df = spark.createDataFrame([(i if i else None, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r.n_links for r in embeddings.near_vectors(df).collect()}
+    u = v.astype("f8") / np.linalg.norm(v.astype("f8"), axis=1, keepdims=True)
+    near = (u @ u.T >= 0.9).sum(1) - 1
+    assert sum(got[i or None] == near[i] for i in range(len(v))) >= len(v) - 2 and all(got[i or None] <= near[i] for i in range(len(v)))

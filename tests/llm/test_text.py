@@ -52,7 +52,7 @@ def test_label_model_trusts_good_voters():
     rng = np.random.default_rng(0)
     y = rng.random(2000) < 0.3
     v = np.stack([np.where(rng.random(2000) < p, y, ~y) for p in (0.9, 0.85, 0.5)] * 2, 1).astype(float)
-    q = toxicity.label_model(v, np.where(rng.random(2000) < 0.9, y, ~y).astype(int), trust=0.9)
+    q, _ = toxicity.label_model(v, np.where(rng.random(2000) < 0.9, y, ~y).astype(int), trust=0.9)
     assert ((q > 0.5) == y).mean() > 0.95
 
 
@@ -270,3 +270,170 @@ def test_relative_links(spark):
     rows = [("http://a.io/x/y?z#f", link.format(d)) for d in cases] + [("http://r.io", '<meta http-equiv="refresh" content="5; url=next.html">')]
     got = sorted(r.dst for r in url_filter.page_links(spark.createDataFrame(rows, "url string, html string")).collect())
     assert got == sorted([x for x in cases.values() if x] + ["http://r.io/next.html"])
+
+
+def test_toxicity_by_brute_force(spark, corpus):
+    model = toxicity.train(corpus, corpus.where("doc_id IS NOT NULL"))
+    assert model["voters"] and 0.5 < model["mark"] <= 1
+    texts = [None, "", "gronkle", "Scumbag! scumbag", "gronkle " * 70_000, "gronkle " * 65_535, "alpha gronka"]
+    for t, got in zip(texts, toxicity.scores(texts, model), strict=True):
+        words_ = "".join(c if c.isalpha() else " " for c in (t or "").lower()).split()
+        plain = f" {' '.join(words_)} "
+        fires = [sum(plain.startswith(v, k) for k in range(len(plain))) for v in model["voters"]]
+        x = [np.log1p(f) for f in fires] + [np.log1p(sum(fires)), np.log1p(sum(f > 0 for f in fires)), (sum(fires) / max(1, len(words_))) ** 0.5, 1]
+        assert abs(got - 1 / (1 + np.exp(-np.dot(x, model["weights"])))) < 1e-9, t
+    # every voter passes the test on all labelled rows, counted anew
+    rows = {}
+    for r in corpus.where("doc_id IS NOT NULL AND toxic IS NOT NULL").collect():
+        rows[r.text] = max(rows.get(r.text, 0), r.toxic)
+    for v in model["voters"]:
+        on = [y for t, y in rows.items() if v in toxicity._plain(t)]
+        assert sum(on) / len(on) > 0.5 or sum(on) / len(on) < sum(rows.values()) / len(rows) / 2
+
+
+def test_label_model_estimates_the_mark_and_copied_voters():
+    rng = np.random.default_rng(1)
+    y = rng.random(6000) < 0.25
+    lone = [np.where(rng.random(6000) < p, y, ~y) for p in (0.85, 0.8, 0.8, 0.75)]
+    noise = rng.random(6000) < 0.25
+    copied = [np.where(rng.random(6000) < 0.97, noise, ~noise) for _ in range(12)]  # a dozen voters that repeat each other
+    marks = np.where(rng.random(6000) < 0.9, y, ~y).astype(int)
+    q, right = toxicity.label_model(np.stack(lone + copied, 1), marks)
+    assert abs(right - 0.9) < 0.03 and ((q > 0.5) == y).mean() > (marks == y).mean()
+
+
+def test_langid_by_brute_force(spark, corpus):
+    model = langid.train(corpus)
+    rows = corpus.unionAll(corpus).select("doc_id", "text").collect() + [(900, "é" * 200_000), (901, "alpha")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.lang_pred, round(r.score, 9)) for r in langid.predict(df, model).collect()}
+    for i, t in rows:
+        raw = " ".join("".join(c if c.isalpha() else " " for c in (t or "").lower()).split())
+        if not raw:
+            assert (i, "und", 0.0) in got
+        elif len(raw) < 2000:
+            b = f" {raw} ".encode()
+            f = np.mean([model["weights"][_gram(b[k : k + 3])] for k in range(len(b) - 2)], axis=0)
+            loss = np.array([sum(a * np.log1p(np.exp(-c * model["scale"] * x)) for a, c, x in zip(model["alpha"], code, f, strict=True)) for code in model["code"]])
+            best, score = model["langs"][int(loss.argmin())], 1 / np.exp(loss.min() - loss).sum()
+            assert any(k == i and lang == best and abs(s - score) < 1e-4 for k, lang, s in got), t
+
+
+def _gram(b):
+    h = (b[0] * 0x9E3779B1 ^ b[1] * 0x85EBCA77 ^ b[2] * 0xC2B2AE3D) % 2**32 * 0x27D4EB2F % 2**32
+    return h >> (32 - langid.BITS)
+
+
+def test_html_class_words():
+    for tag in ('article class="post has-sidebar"', 'article class="ad-free"', 'div class="layout with-sidebar"', 'form id="aspnetForm" class="nav-less"'):
+        page = f'<{tag}><article class="x"><p>Body</p></article></{tag.split()[0]}>'
+        assert html_text.main_text(page) == "Body", tag
+    for tag in ('div class="ad-slot"', 'div class="x site-footer"', 'article class="comment"', 'div role="navigation"', 'form class="search"', 'div id="cookie_notice"'):
+        assert html_text.main_text(f"<article><p>Body</p><{tag}><p>Other</p></{tag.split()[0]}></article>") == "Body", tag
+
+
+def test_html_classes_by_brute_force(spark):
+    rng = random.Random(3)
+    pages = []
+    for i in range(24):
+        parts = [f"<p>{rng.choice(['Fixed', 'Also fixed'])}</p>" for _ in range(rng.randrange(3))] + [f"<div class='k{rng.randrange(2)}'><b>Own {i}</b></div>"]
+        pages.append((i, f"http://{'ab'[i % 2]}.org/{i}", f"<body>{''.join(parts)}<p>Foot</p></body>"))
+    pages += [(24, "http://a.org/x", pages[0][2]), (25, "http://c.org/", pages[0][2]), (None, "http://a.org/n", None)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.host: {(c.support, tuple(sorted(c.tokens))) for c in r.classes} for r in html_text.templates(df).collect()}
+    for host in "ab":
+        own = sorted({h or "" for _, u, h in pages if u.startswith(f"http://{host}.")} )
+        counts = [html_text.tokens(h) for h in own]
+        vectors = {}
+        for t in {t for c in counts for t in c}:
+            vectors.setdefault(tuple(c.count(t) for c in counts), []).append(t)
+        want = {(sum(x > 0 for x in v), tuple(sorted(ts))) for v, ts in vectors.items()}
+        assert got[f"{host}.org"] == {x for x in want if x[0] >= 4 and x[0] >= len(own) / 4}
+    assert "c.org" not in got
+
+
+def test_long_items_and_texts():
+    item = ("abcab " * 5000).encode()
+    matcher = decontaminate.Matcher([item, b"short one here"])
+    text = "z " * 500 + item.decode().replace("abcab abcab abcab", "abcab axcab abcab", 30) + " q" * 500
+    assert {(r, i) for r, i, _, _ in matcher([text, None, ""])} == {(0, 0)}
+
+
+def test_cgk_loses_copies():
+    """Why windows aren't found by CGK walks and bit sampling: at 15 % edits few tables in a hundred hit, at any key size."""
+    rng = random.Random(7)
+    items = [bytes(rng.choices(b"etaoinshrdlu ", k=90)) for _ in range(200)]
+    copies = []
+    for x in items:
+        s = bytearray(x)
+        for _ in range(13):
+            at, kind = rng.randrange(len(s)), rng.randrange(3)
+            s[at : at + (kind != 1)] = b"" if kind == 2 else bytes(rng.choices(b"etaoinshr", k=1))
+        copies.append(bytes(s))
+    hits = 0
+    for seed in range(20):
+        a, b = (decontaminate.cgk(t, 180, seed) for t in (items, copies))
+        at = np.random.default_rng(seed).integers(0, 135, 6)
+        hits += (a[:, at] == b[:, at]).all(1).mean() / 20
+    assert hits < 0.1
+    assert (decontaminate.cgk(items, 180, 3) == decontaminate.cgk(items, 180, 3)).all()
+
+
+def test_packing_of_tiny_texts():
+    sizes = np.ones(200_000, np.int64)
+    of = packing.bundles(sizes, 64)
+    got = np.bincount(of)
+    assert got.max() <= 127 and len(got) <= 200_000 // 63
+    mixed = np.random.default_rng(0).integers(1, 513, 3000)
+    of = packing.bundles(mixed, 64)
+    assert np.bincount(of, mixed).max() <= 512 and all(len({*of[mixed >= 64]}) == (mixed >= 64).sum() for _ in range(1))
+
+
+def test_packing_of_odd_rows(spark):
+    rows = [(None, "a"), (None, "a"), (1, None), (1, None)] + [(i, "x") for i in range(2, 3000)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
+    assert sum(r.length for r in got) == 2 * 2 + 2 + 2 * 2998 and all(r.offset + r.length <= 2048 for r in got)
+
+
+def test_chat_by_brute_force(spark):
+    rng = random.Random(11)
+    pool = ["alpha beta", "Gamma  delta", "one\n\ntwo three", "same line", "x y z\nsame line"]
+    rows, want = [], {}
+    for c in range(12):
+        own = []
+        for t in range(8):
+            text, reply = rng.choice(pool) + f" {t}", None
+            if t and rng.random() < 0.7:
+                k = rng.randrange(t)
+                body = own[k]
+                quote = "\n".join(f"> {x}" for x in body.split("\n"))
+                head = rng.choice(["", f"On {'long ' * 200}day, A wrote:\n"])
+                whole = " ".join(body.lower().split())
+                reply = next((j for j in range(t) if " ".join(own[j].lower().split()) == whole), None)
+                rows.append((c, t, f"{head}{quote}\n{text}"))
+            else:
+                rows.append((c, t, text))
+            own.append(text)
+            want[c, t] = (reply, text)
+    rows += [(50, 0, ">" * 20_000 + " deep"), (50, 1, "w" * 300_000), (50, 2, "> " + "w" * 300_000 + "\nyes")]
+    want |= {(50, 2): (1, "yes"), (50, 1): (None, "w" * 300_000), (50, 0): (None, "")}
+    df = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): (r.reply_to, r.text) for r in chat.thread(df).collect()}
+    assert got == want
+
+
+def test_many_rules_are_joined(spark, monkeypatch):
+    rows = [(1, "https://A.com/en/x"), (2, "https://a.b.example.com/en/7"), (3, None), (4, "http://notnet/de/"), (5, "http://example.net/de/8?x"), (5, "http://example.net/de/8?x"), (None, "http://x.org/es/" + "q" * 100_000), (7, "x://")]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    rules = [*url_filter.CONTRACT_RULES, ("example.com", "/en/7", "block")]
+    want = sorted(map(str, url_filter.filter_urls(df, rules, html_col=None).collect()))
+    monkeypatch.setattr(url_filter, "COMPILED", 2)
+    assert sorted(map(str, url_filter.filter_urls(df, rules, html_col=None).collect())) == want
+    many = [(f"h{i}.org", "/", "block") for i in range(3000)]
+    assert url_filter.filter_urls(spark.createDataFrame([(1, "http://www.h7.org/x")], "page_id long, url string"), many, html_col=None).first().verdict == "block"
+
+
+def test_link_references(spark):
+    rows = [("http://a.io/", '<link rel=canonical href="/out?u&#61;https:&#x2F;&#x2F;q.com&#47;1&amp;v=2">'), ("http://b.io/x/", '<link rel=canonical href="y.html">')]
+    got = sorted(r.dst for r in url_filter.page_links(spark.createDataFrame(rows, "url string, html string")).collect())
+    assert got == ["http://a.io/out?u=https://q.com/1&v=2", "http://b.io/x/y.html"]
