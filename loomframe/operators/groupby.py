@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ordered, scalars
 from ..functions.datetimes import interval
-from .frame import Frame, Series, spark_type
+from .frame import Frame, Series, _native, _vector, spark_type
 
 
 class Grouper:
@@ -59,6 +59,9 @@ class GroupBy:
                 keys["key"] = m[F.col(frame.index[0])]
             elif isinstance(b, Column):
                 keys[f"key_{n}"] = b
+            elif callable(b):  # of the labels
+                frame, mapped = frame.labelled(), True
+                keys["key"] = _labels(b, frame)
             else:
                 raise TypeError(f"can't group by {type(b).__name__}")
         # keys get names of their own, so that transforms may replace the columns that they come from
@@ -191,7 +194,9 @@ class GroupBy:
         return g._result(out)
 
     def quantile(self, q=0.5):
-        return self._result([F.percentile(self.frame.col(c), q).alias(c) for c in self._numeric()])
+        """A quantile of each column; of a list of them each, as ``column_q``, in one pass."""
+        many = q if isinstance(q, (list, tuple)) else [q]
+        return self._result([F.percentile(self.frame.col(c), p).alias(c if many is not q else f"{c}_{p}") for c in self._numeric() for p in many])
 
     def describe(self):
         out = []
@@ -250,40 +255,50 @@ class GroupBy:
         g.frame = Frame(a.sdf.join(right, [a.sdf[i].eqNullSafe(right[f"__j{n}"]) for n, i in enumerate(a.index)]), a.columns, a.index, a.order)
         return g._result([F.corr(g.frame.col(c), F.col(f"__o_{c}")).alias(c) for c in cols])
 
-    # -- transforms: windows of a group; the group of a key is one task's, as its running values are a chain
+    # -- transforms: ranges of (key, order), so that a hot group is many tasks'
     def _window(self, descending=False):
         return Window.partitionBy(*self._k).orderBy(*ordered._order(self.frame.order, descending))
 
-    def _transform(self, f, cols=None, numeric=True) -> Frame:
+    def _transform(self, make, cols=None, numeric=True) -> Frame:
+        """``make(frame's Spark frame with cleaned columns __c_*, order, cols)`` adds the columns ``__t_*`` that replace ``cols``."""
         g = self._ordered()
         cols = cols or (g._numeric() if numeric else g.columns)
         clash = [c for c in cols if c in g.frame.order]
-        w = g._window()
-        sdf = g.frame.sdf.withColumns({f"__t_{c}": f(g.frame.col(c), w) for c in cols})
+        src = g.frame.sdf.select(*dict.fromkeys([*g.frame._keep(), *g._k])).withColumns({f"__c_{c}": g.frame.col(c) for c in cols})
+        sdf = make(src, g.frame.order, cols).drop(*(f"__c_{c}" for c in cols))
         order = g.frame.order
         if clash:
             sdf = sdf.withColumns({f"__o_{c}": F.col(c) for c in clash})
             order = [f"__o_{c}" if c in clash else c for c in order]
         return Frame(sdf.withColumns({c: F.col(f"__t_{c}") for c in cols}).drop(*(f"__t_{c}" for c in cols)), cols, g.frame.index, order)
 
-    def _running(self, f) -> Frame:
-        return self._transform(lambda c, w: F.when(c.isNotNull(), f(c).over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    def _running(self, how: str) -> Frame:
+        return self._transform(lambda src, order, cols: ordered.running(src, order, {f"__t_{c}": (how, f"__c_{c}") for c in cols}, self._k))
+
+    def _moving(self, f, before: int, after: int, numeric=True) -> Frame:
+        return self._transform(lambda src, order, cols: ordered.moving(src, order, {f"__t_{c}": (lambda w, c=c: f(F.col(f"__c_{c}"), w)) for c in cols}, before, after, self._k), numeric=numeric)
 
     def cumsum(self):
-        return self._running(F.sum)
+        return self._running("sum")
 
     def cumprod(self):
-        return self._running(F.product)
+        return self._running("prod")
 
     def cummin(self):
-        return self._running(F.min)
+        return self._running("min")
 
     def cummax(self):
-        return self._running(F.max)
+        return self._running("max")
 
     def cumcount(self, ascending=True) -> Series:
         g = self._ordered()
-        f = g.frame.sdf.withColumn("cumcount", F.row_number().over(g._window(not ascending)).cast("long") - 1)
+        src = g.frame.sdf.withColumn("__one", F.lit(1))
+        f = ordered.running(src, g.frame.order, {"cumcount": ("sum", "__one")}, g._k).drop("__one")
+        if ascending:
+            f = f.withColumn("cumcount", F.col("cumcount").cast("long") - 1)
+        else:
+            n = g.frame.sdf.groupBy(*(F.col(k).alias(f"{k}_") for k in g._k)).agg(F.count("*").alias("__n"))
+            f = f.join(n, [f[k].eqNullSafe(n[f"{k}_"]) for k in g._k]).withColumn("cumcount", F.col("__n") - F.col("cumcount")).drop("__n", *(f"{k}_" for k in g._k))
         return Series(Frame(f, ["cumcount"], g.frame.index, g.frame.order), F.col("cumcount"), "cumcount")
 
     def ngroup(self, ascending=True) -> Series:
@@ -297,24 +312,17 @@ class GroupBy:
         return Series(Frame(f, ["ngroup"], g.frame.index, g.frame.order), F.col("ngroup"), "ngroup")
 
     def rank(self, method="average", ascending=True, na_option="keep", pct=False):
-        def f(c, _):
-            key = c.asc_nulls_last() if ascending else c.desc_nulls_last()
-            if na_option == "top":
-                key = c.asc_nulls_first() if ascending else c.desc_nulls_first()
-            w = Window.partitionBy(*self._k).orderBy(key)
-            same = F.count("*").over(Window.partitionBy(*self._k, c))
-            got = {"average": lambda: F.rank().over(w) + (same - 1) / 2.0, "min": lambda: F.rank().over(w), "max": lambda: F.rank().over(w) + same - 1, "dense": lambda: F.dense_rank().over(w), "first": lambda: F.row_number().over(Window.partitionBy(*self._k).orderBy(key, *ordered._order(g_order)))}[method]()
-            if pct:
-                whole = Window.partitionBy(*self._k)
-                got = got / (F.max(F.dense_rank().over(w)).over(whole) if method == "dense" else F.count(c).over(whole) if na_option == "keep" else F.count("*").over(whole))
-            return F.when(c.isNotNull(), got) if na_option == "keep" else got
+        def make(src, order, cols):
+            for c in cols:
+                src = ordered.ranked(src, f"__c_{c}", {f"__t_{c}": method}, ascending, order, na_option, pct, self._k)
+            return src
 
-        g = self._ordered()
-        g_order = g.frame.order
-        return g._transform(f)
+        return self._transform(make)
 
     def shift(self, periods=1, fill_value=None):
-        return self._transform(lambda c, w: F.lag(c, periods, fill_value).over(w) if periods >= 0 else F.lead(c, -periods, fill_value).over(w), numeric=False)
+        if periods >= 0:
+            return self._moving(lambda c, w: F.lag(c, periods, fill_value).over(w), periods, 0, numeric=False)
+        return self._moving(lambda c, w: F.lead(c, -periods, fill_value).over(w), 0, -periods, numeric=False)
 
     def tshift(self, periods=1, freq="D", on=None):
         """The time column, or index, moved by ``periods`` of ``freq``."""
@@ -323,24 +331,36 @@ class GroupBy:
         step = F.expr(f"INTERVAL '{n * periods}' {unit}")
         return self.frame._new(self.frame.sdf.withColumn(c, F.col(c) + step))
 
+    @staticmethod
+    def _back(c, w, periods: int):
+        return F.lag(c, periods).over(w) if periods >= 0 else F.lead(c, -periods).over(w)
+
     def diff(self, periods=1):
-        return self._transform(lambda c, w: c - F.lag(c, periods).over(w))
+        return self._moving(lambda c, w: c - self._back(c, w, periods), max(0, periods), max(0, -periods))
 
     def pct_change(self, periods=1):
-        return self.ffill_then(lambda c, w: F.try_divide(c, F.lag(c, periods).over(w)) - 1)
+        h = self[self._numeric()]
+        h.frame = h.ffill()
+        return h._moving(lambda c, w: F.try_divide(c, self._back(c, w, periods)) - 1, max(0, periods), max(0, -periods))
 
-    def ffill_then(self, f):
-        g = self._ordered()
-        filled = g._transform(lambda c, w: F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        h = self[g._numeric()]
-        h.frame = filled
-        return h._transform(f)
+    def _filled(self, back: bool, limit: int | None) -> Frame:
+        if limit is not None:
+            frame = (0, limit) if back else (-limit, 0)
+            return self._moving(lambda c, w: (F.first if back else F.last)(c, ignorenulls=True).over(w.rowsBetween(*frame)), 0 if back else limit, limit if back else 0, numeric=False)
+        if not back:
+            return self._transform(lambda src, order, cols: ordered.running(src, order, {f"__t_{c}": ("last", f"__c_{c}") for c in cols}, self._k), numeric=False)
+
+        def make(src, order, cols):
+            pos = ordered.with_position(src, [*self._k, *order]).withColumn("__neg", -F.col("__pos"))
+            return ordered.running(pos, ["__neg"], {f"__t_{c}": ("last", f"__c_{c}") for c in cols}, self._k).drop("__pos", "__neg")
+
+        return self._transform(make, numeric=False)
 
     def ffill(self, limit=None):
-        return self._transform(lambda c, w: F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding if limit is None else -limit, 0)), numeric=False)
+        return self._filled(False, limit)
 
     def bfill(self, limit=None):
-        return self._transform(lambda c, w: F.first(c, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing if limit is None else limit)), numeric=False)
+        return self._filled(True, limit)
 
     pad, backfill = ffill, bfill
 
@@ -350,10 +370,27 @@ class GroupBy:
         out = self.frame.fillna(value)
         return out._new(out.sdf, columns=self.columns)
 
-    def transform(self, how: str):
-        """A group's aggregate beside each of its rows."""
-        whole = Window.partitionBy(*self._k)
-        return self._transform(lambda c, _: scalars.AGGREGATES[how](c).over(whole), numeric=how in scalars.NUMERIC_ONLY or how == "sum")
+    def transform(self, how, dtype="double"):
+        """A group's aggregate, by name, beside each of its rows; or a Python function of each group's column, of the same length."""
+        if callable(how):
+            g = self._labelled()
+            cols, order = g._numeric(), g.frame.order
+            names = list(dict.fromkeys([*g.frame.index, *order]))
+            src = g.frame.sdf.select(*g._k, *(F.col(n) for n in names if n not in cols), *(g.frame.col(c).alias(f"__c_{c}") for c in cols))
+            kept = [n for n in names if n not in cols]
+            schema = ", ".join([*(f"`{n}` {src.schema[n].dataType.simpleString()}" for n in kept), *(f"`{c}` {spark_type(dtype)}" for c in cols)])
+
+            def one(pdf: pd.DataFrame) -> pd.DataFrame:
+                pdf = pdf.sort_values([o for o in order if o in kept])
+                return pdf[kept].assign(**{c: how(pdf[f"__c_{c}"]) for c in cols})
+
+            return Frame(src.groupBy(*g._k).applyInPandas(one, schema), cols, [i for i in g.frame.index if i in kept], [o for o in order if o in kept])
+
+        def make(src, order, cols):
+            got = src.groupBy(*(F.col(k).alias(f"{k}_") for k in self._k)).agg(*(scalars.AGGREGATES[how](F.col(f"__c_{c}")).alias(f"__t_{c}") for c in cols))
+            return src.join(got, [src[k].eqNullSafe(got[f"{k}_"]) for k in self._k]).drop(*(f"{k}_" for k in self._k))
+
+        return self._transform(make, numeric=how in scalars.NUMERIC_ONLY or how == "sum")
 
     # -- selections
     def _pick(self, cond, descending=False) -> Frame:
@@ -379,21 +416,56 @@ class GroupBy:
     def sample(self, n=None, frac=None, random_state=0):
         """Random rows of each group, by a hash of their order: the same rows for the same state."""
         g = self._ordered()
-        w = Window.partitionBy(*self._k).orderBy(F.xxhash64(F.lit(random_state), *g.frame.order), *g.frame.order)
-        limit = F.lit(n) if n is not None else F.round(F.count("*").over(Window.partitionBy(*self._k)) * frac)
-        sdf = g.frame.sdf.withColumns({"__rn": F.row_number().over(w), "__lim": limit}).where("__rn <= __lim").drop("__rn", "__lim")
+        at = F.xxhash64(F.lit(random_state), *g.frame.order)
+        if n is not None:  # a top-n of each group, cut ahead of the shuffle
+            w = Window.partitionBy(*self._k).orderBy(at, *g.frame.order)
+            sdf = g.frame.sdf.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= n).drop("__rn")
+        else:
+            src = g.frame.sdf.withColumns({"__at": at, "__one": F.lit(1)})
+            run = ordered.running(src, ["__at", *g.frame.order], {"__rn": ("sum", "__one")}, g._k)
+            size = g.frame.sdf.groupBy(*(F.col(k).alias(f"{k}_") for k in self._k)).agg(F.round(F.count("*") * frac).alias("__lim"))
+            sdf = run.join(size, [run[k].eqNullSafe(size[f"{k}_"]) for k in self._k]).where("__rn <= __lim").drop("__rn", "__lim", "__at", "__one", *(f"{k}_" for k in self._k))
         return Frame(sdf, g.frame.columns, g.frame.index, g.frame.order)
 
     def filter(self, pred) -> Frame:
-        """Rows of groups for which an aggregate expression holds, e.g. ``lambda g: F.count('*') > 10``; a hot group is not gathered."""
-        e = pred(self) if callable(pred) else pred
+        """Rows of groups for which an aggregate expression holds, e.g. ``lambda g: F.count('*') > 10``; a hot group is not gathered.
+
+        A predicate of a group's pandas frame works too, a group in one task.
+        """
+        e = pred
+        if callable(pred) and not isinstance(pred, Column):
+            try:
+                e = pred(self)
+            except (TypeError, ValueError, AttributeError, KeyError):
+                e = None
+        if not isinstance(e, Column):
+            cols = [c for c in self.frame.columns if not c.startswith("__g")]
+            src = self.frame.sdf
+
+            def one(pdf: pd.DataFrame) -> pd.DataFrame:
+                return pdf if bool(pred(pdf[cols])) else pdf.iloc[:0]
+
+            return Frame(src.groupBy(*self._k).applyInPandas(one, src.schema), self.frame.columns, self.frame.index, self.frame.order)
         kept = self.frame.sdf.groupBy(*(F.col(k).alias(f"{k}_") for k in self._k)).agg(e.alias("__p")).where("__p")
         sdf = self.frame.sdf.join(kept, [self.frame.sdf[k].eqNullSafe(kept[f"{k}_"]) for k in self._k], "left_semi")
         return Frame(sdf, self.frame.columns, self.frame.index, self.frame.order)
 
     # -- functions of the user
-    def apply(self, func, schema: str) -> DataFrame:
-        """A Python function of each group's pandas frame."""
+    def apply(self, func, schema: str | None = None, probe: int = 1000) -> DataFrame:
+        """A Python function of each group's pandas frame; without ``schema`` it is read off the result for the first ``probe`` rows."""
+        if schema is None:
+            some = self.frame.sdf.select(*self.frame.columns).limit(probe).toPandas()
+            got = func(some)
+            got = got if isinstance(got, pd.DataFrame) else pd.DataFrame({"value": [got]} if not isinstance(got, pd.Series) else {"value": got})
+            schema = self.frame.sdf.sparkSession.createDataFrame(got.reset_index(drop=True)).schema if len(got) else None
+            if schema is None:
+                raise ValueError("give the schema: the function returned no row to read it from")
+            inner = func
+
+            def func(pdf):
+                out = inner(pdf)
+                return out if isinstance(out, pd.DataFrame) else pd.DataFrame({"value": [out]} if not isinstance(out, pd.Series) else {"value": out})
+
         cols = list(dict.fromkeys(self.keys + self.frame.columns))
         src = self.frame.sdf.select(*self._k, *(F.col(c) for c in cols if c in self.frame.columns))
         return src.groupBy(*self._k).applyInPandas(lambda pdf: func(pdf[[c for c in pdf.columns if not c.startswith("__g")]]), schema)
@@ -420,6 +492,16 @@ class GroupBy:
         return out
 
 
+def _labels(func, frame: Frame) -> Column:
+    """A function of the labels: of their column expression, else of each label, its type read off the first."""
+    c = F.col(frame.index[0])
+    try:
+        return _native(func, c)
+    except (TypeError, ValueError):
+        first = frame.sdf.select(c).head()
+        return _vector(func, spark_type(type(func(first[0]))) if first else "string")(c)
+
+
 def _aggregates():
     for how in ("sum", "prod", "count", "min", "max", "mean", "median", "std", "var", "sem", "skew", "nunique", "all", "any"):
         setattr(GroupBy, how, lambda self, how=how, **k: self._named(how, **k))
