@@ -18,6 +18,8 @@ from ..functions import ordered, scalars
 from ..plans.store import store
 
 ORD = "__ord"
+#: Order of joined rows: those of the left frame as they stood, then those of the right only.
+_ORDERED = ("__oa IS NULL AS __z0", "__oa AS __z1", "__ob AS __z2")
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType, T.BooleanType)
 # Dtype names and Spark types.
 DTYPES = {"int": "bigint", "int64": "bigint", "int32": "int", "int16": "smallint", "int8": "tinyint", "float": "double", "float64": "double", "float32": "float", "str": "string", "object": "string", "string": "string", "category": "string", "bool": "boolean", "datetime64[ns]": "timestamp_ntz", "datetime": "timestamp_ntz"}
@@ -65,7 +67,7 @@ class Frame:
         return scalars.clean(F.col(f"`{c}`"), self.type(c).simpleString())
 
     def to_spark(self, index: bool = False) -> DataFrame:
-        return self.sdf.select(*(self.index if index else []), *self.columns)
+        return self.sdf.select(*(F.col(f"`{c}`") for c in [*(self.index if index else []), *self.columns]))
 
     # -- 2.1 conversion
     def to_pandas(self):
@@ -81,13 +83,14 @@ class Frame:
     values = property(lambda self: self.to_numpy())
     __array__ = to_numpy
 
-    def to_csv(self, path=None, sep=",", na_rep="", columns=None, header=True, index=True, mode="w", single=False, **options):
+    def to_csv(self, path=None, sep=",", na_rep="", columns=None, header=True, index=True, mode="w", single=False, float_format=None, **options):
         """CSV parts under ``path``; the text itself, by way of the driver, if path is None.  ``single`` writes one file by one task."""
         cols = list(columns or self.columns)
         if path is None:
-            return self[cols].to_pandas().to_csv(sep=sep, na_rep=na_rep, header=header, index=index, **options)
+            return self[cols].to_pandas().to_csv(sep=sep, na_rep=na_rep, header=header, index=index, float_format=float_format, **options)
         rename = {"quotechar": "quote", "escapechar": "escape", "date_format": "timestampFormat", "encoding": "encoding", "compression": "compression"}
-        sdf = self.sdf.select(*(self.index if index else []), *cols)
+        out = lambda c: F.format_string(float_format, F.col(c).cast("double")) if float_format and isinstance(self.type(c), (T.FloatType, T.DoubleType, T.DecimalType)) else F.col(c)
+        sdf = self.sdf.select(*(self.index if index else []), *(F.when(F.col(c).isNotNull(), out(c)).alias(c) for c in cols))
         w = (sdf.coalesce(1) if single else sdf).write.mode({"w": "overwrite", "a": "append"}[mode]).option("sep", sep).option("nullValue", na_rep).option("header", header)
         for k, v in options.items():
             w = w.option(rename.get(k, k), v)
@@ -131,7 +134,7 @@ class Frame:
         if isinstance(key, str):
             if key not in self.columns:
                 raise KeyError(key)
-            return Series(self, self.col(key), key)
+            return Series(self._new(self.sdf), self.col(key), key)  # of this frame as it is now
         if isinstance(key, slice):
             return self.iloc[key]
         if isinstance(key, Series):
@@ -142,7 +145,10 @@ class Frame:
         missing = [k for k in key if k not in self.columns]
         if missing:
             raise KeyError(missing)
-        return self._new(self.sdf, columns=key)
+        out = self._new(self.sdf, columns=key)
+        if hasattr(self, "_made"):
+            out._made = self._made
+        return out
 
     def __getattr__(self, name):
         if not name.startswith("_") and name in self.__dict__.get("columns", ()):
@@ -179,6 +185,26 @@ class Frame:
             out = out._new(out.sdf.withColumn(name, e), columns=out.columns if name in out.columns else [*out.columns, name])
         return out
 
+    def _become(self, new: Frame) -> None:
+        self.__dict__.pop("_made", None)
+        self.__dict__.update({k: v for k, v in new.__dict__.items() if k != "_made"})
+
+    def __setitem__(self, key, value) -> None:
+        """``f[name] = v``, ``f[[names]] = v`` (a scalar, a value or series a column, a frame) and ``f[mask] = v``: this object then stands for the new frame."""
+        if isinstance(key, str):
+            return self._become(self.assign(**{key: value}))
+        if isinstance(key, (Series, Frame)):
+            return self._become(self.mask(key, value))
+        names = list(key)
+        if isinstance(value, Frame):
+            if len(value.columns) != len(names):
+                raise ValueError(f"{len(value.columns)} columns for {len(names)} names")
+            value = [Series(value, value.col(c), c) for c in value.columns]
+        values = list(value) if isinstance(value, (list, tuple)) else [value] * len(names)
+        if len(values) != len(names):
+            raise ValueError(f"{len(values)} values for {len(names)} names")
+        self._become(self.assign(**dict(zip(names, values, strict=True))))
+
     def insert(self, loc: int, column: str, value, allow_duplicates: bool = False) -> Frame:
         if column in self.columns:
             raise ValueError(f"cannot insert {column}, already exists")
@@ -187,7 +213,7 @@ class Frame:
         out = self.assign(**{column: value})
         return out._new(out.sdf, columns=[*self.columns[:loc], column, *self.columns[loc:]])
 
-    def drop(self, labels=None, axis=0, index=None, columns=None, errors="raise") -> Frame:
+    def drop(self, labels=None, axis=0, index=None, columns=None, level=None, errors="raise") -> Frame:
         as_list = lambda x: [] if x is None else list(x) if isinstance(x, (list, tuple, set)) else [x]
         cols, rows = as_list(columns), as_list(index)
         (cols if axis in (1, "columns") else rows).extend(as_list(labels))
@@ -197,11 +223,12 @@ class Frame:
         out = self._new(self.sdf, columns=[c for c in self.columns if c not in cols])
         if rows:
             o = out.labelled()
+            at = o.index[0] if level is None else o.index[level] if isinstance(level, int) else level
             if errors == "raise":
-                found = {r[0] for r in o.sdf.where(F.col(o.index[0]).isin(rows)).select(o.index[0]).distinct().collect()}
+                found = {r[0] for r in o.sdf.where(F.col(at).isin(rows)).select(at).distinct().collect()}
                 if set(rows) - found:
                     raise KeyError(sorted(set(rows) - found, key=str))
-            out = o._new(o.sdf.where(~scalars.isin(F.col(o.index[0]), rows)))
+            out = o._new(o.sdf.where(~scalars.isin(F.col(at), rows)))
         return out
 
     def rename(self, mapper=None, *, index=None, columns=None, axis=0) -> Frame:
@@ -217,7 +244,7 @@ class Frame:
             o = out.labelled()
             i = F.col(o.index[0])
             if callable(index):
-                e = F.udf(index, o.type(o.index[0]))(i)
+                e = _vector(index, o.type(o.index[0]).simpleString())(i)
             else:
                 e = F.coalesce(F.create_map(*(F.lit(x) for kv in index.items() for x in kv))[i], i)
             order = o.order
@@ -311,7 +338,17 @@ class Frame:
     # -- 2.3 predicates
     def _each(self, f, cols=None) -> Frame:
         cols = self.columns if cols is None else cols
-        return self._new(self.sdf.withColumns({c: f(c) for c in cols}))
+        made = {c: f(c) for c in cols}
+        out = self._new(self.sdf.withColumns(made))
+        out._made = (self.sdf, made)
+        return out
+
+    def _of(self, parent: Frame) -> dict[str, Column] | None:
+        """This frame's columns as expressions over ``parent``, if it was made from it column by column."""
+        if self.sdf is parent.sdf:
+            return {c: self.col(c) for c in self.columns}
+        source, made = getattr(self, "_made", (None, None))
+        return {c: made.get(c, parent.col(c)) for c in self.columns if c in made or c in parent.columns} if source is parent.sdf else None
 
     def isna(self) -> Frame:
         return self._each(lambda c: self.col(c).isNull())
@@ -339,20 +376,41 @@ class Frame:
         least = thresh if thresh is not None else len(cols) if how == "any" else 1
         return self._new(self.sdf.where(full >= least))
 
+    def _choose(self, cond, other, turned: bool) -> Frame:
+        """Cells where ``cond`` holds (or doesn't, if turned), else those of ``other``: scalars, series or frames, aligned on labels where they are of another frame."""
+        cond, other = (x(self) if callable(x) and not isinstance(x, (Frame, Series, Column)) else x for x in (cond, other))
+        base, sides = self, {}
+        for name, x in (("c", cond), ("o", other)):
+            if isinstance(x, Series):
+                if x.frame.sdf is self.sdf or getattr(x.frame, "_made", (None,))[0] is self.sdf:
+                    sides[name] = lambda c, e=x.expr: e
+                    continue
+                x = Frame(x.frame.sdf.withColumn("__v", x.expr).select(*dict.fromkeys([*x.frame.index, *x.frame.order]), *(F.col("__v").alias(c) for c in self.columns)), self.columns, x.frame.index, x.frame.order)
+            if isinstance(x, Frame):
+                of = x._of(self)
+                if of is None:
+                    b = x.labelled()
+                    base = base.labelled()
+                    right = b.sdf.select(*(F.col(i).alias(f"__{name}i{n}") for n, i in enumerate(b.index)), *(b.col(c).alias(f"__{name}_{c}") for c in x.columns))
+                    sdf = base.sdf.join(right, [base.sdf[i].eqNullSafe(right[f"__{name}i{n}"]) for n, i in enumerate(base.index)], "left")
+                    base = base._new(sdf)
+                    of = {c: F.col(f"__{name}_{c}") for c in x.columns}
+                missing = F.lit(False) if name == "c" else F.lit(None)
+                sides[name] = lambda c, of=of, missing=missing: of.get(c, missing)
+            else:
+                sides[name] = lambda c, e=x if isinstance(x, Column) else F.lit(x): e
+        hold = lambda c: F.coalesce(sides["c"](c).cast("boolean"), F.lit(False))
+        keep = (lambda c: ~hold(c)) if turned else hold
+        return base._each(lambda c: F.when(keep(c), self.col(c)).otherwise(sides["o"](c)), self.columns)._new_from(self)
+
+    def _new_from(self, parent: Frame) -> Frame:
+        return Frame(self.sdf.select(*dict.fromkeys([*parent.columns, *self.index, *self.order])), parent.columns, self.index, self.order)
+
     def where(self, cond, other=None) -> Frame:
-        cond = cond(self) if callable(cond) else cond
-        e = cond.expr if isinstance(cond, Series) else cond
-        pick = lambda c: other(self)[c].expr if callable(other) else F.lit(other)
-        if isinstance(cond, Frame) and cond.sdf is not self.sdf:
-            return self._zip(cond, lambda a, b: F.when(F.coalesce(b, F.lit(False)), a).otherwise(F.lit(other)), how="left")
-        return self._each(lambda c: F.when(e, self.col(c)).otherwise(pick(c)))
+        return self._choose(cond, other, False)
 
     def mask(self, cond, other=None) -> Frame:
-        cond = cond(self) if callable(cond) else cond
-        e = cond.expr if isinstance(cond, Series) else cond
-        if isinstance(cond, Frame):
-            return self._zip(cond, lambda a, b: F.when(F.coalesce(b, F.lit(False)), F.lit(other)).otherwise(a), how="left")
-        return self._each(lambda c: F.when(e, F.lit(other)).otherwise(self.col(c)))
+        return self._choose(cond, other, True)
 
     def __invert__(self) -> Frame:
         return self._each(lambda c: ~F.col(c) if isinstance(self.type(c), T.BooleanType) else F.bitwise_not(c))
@@ -366,24 +424,33 @@ class Frame:
         return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
     # -- labels meet
-    def _zip(self, other: Frame, op, how="full") -> Frame:
-        """``op`` on the columns of two frames aligned on labels; columns of one side only meet NULL."""
+    def _zip(self, other: Frame, op, how="full", level=None) -> Frame:
+        """``op`` on the columns of two frames aligned on labels, or on one level of them; columns of one side only meet NULL."""
         a, b = self.labelled(), other.labelled()
+        if level is not None:
+            how, at = "left", a.index[level] if isinstance(level, int) else level
         cols = list(dict.fromkeys([*self.columns, *(other.columns if how == "full" else [])]))
         left = a.sdf.select(*(F.col(i).alias(f"__i{n}") for n, i in enumerate(a.index)), *(a.col(c).alias(f"__a_{c}") for c in a.columns), F.struct(*a.order).alias("__oa"))
         right = b.sdf.select(*(F.col(i).alias(f"__j{n}") for n, i in enumerate(b.index)), *(b.col(c).alias(f"__b_{c}") for c in b.columns), F.struct(*b.order).alias("__ob"))
-        cond = [left[f"__i{n}"].eqNullSafe(right[f"__j{n}"]) for n in range(len(a.index))]
+        cond = [left[f"__i{n}"].eqNullSafe(right[f"__j{n}"]) for n in range(len(a.index))] if level is None else [left[f"__i{a.index.index(at)}"].eqNullSafe(right["__j0"])]
         j = left.join(right, cond, how)
         side = lambda s, c, f: F.col(f"__{s}_{c}") if c in f.columns else F.lit(None)
-        idx = [F.coalesce(f"__i{n}", f"__j{n}").alias(i) for n, i in enumerate(a.index)]
-        sdf = j.select(*idx, *(op(side("a", c, self), side("b", c, other)).alias(c) for c in cols))
-        return Frame(sdf, cols, a.index, a.index)
-
-    def _binary(self, other, op, fill=None) -> Frame:
+        idx = [(F.coalesce(f"__i{n}", f"__j{n}") if level is None else F.col(f"__i{n}")).alias(i) for n, i in enumerate(a.index)]
+        sdf = j.select(*idx, *(op(side("a", c, self), side("b", c, other)).alias(c) for c in cols), *map(F.expr, _ORDERED))
+        return Frame(sdf, cols, a.index, ["__z0", "__z1", "__z2"])
+
+    def _binary(self, other, op, fill=None, axis=None, level=None) -> Frame:
+        """``axis`` says what a series' labels are: rows (the default for one of this frame), or names of columns."""
+        if isinstance(other, Series) and axis in (1, "columns"):
+            other = other.to_dict()  # a value a column
         if isinstance(other, Frame):
-            if other.sdf is self.sdf:
+            if other.sdf is self.sdf and level is None:
                 return self._each(lambda c: scalars.filled(op, self.col(c), other.col(c), fill))
-            return self._zip(other, lambda a, b: scalars.filled(op, a, b, fill))
+            return self._zip(other, lambda a, b: scalars.filled(op, a, b, fill), level=level)
+        if isinstance(other, Series) and (level is not None or (axis in (0, "index") and other.frame.sdf is not self.sdf)):
+            v = other.frame.sdf.withColumn("__v", other.expr)
+            wide = Frame(v.select(*dict.fromkeys([*other.frame.index, *other.frame.order]), *(F.col("__v").alias(c) for c in self.columns)), self.columns, other.frame.index, other.frame.order)
+            return self._zip(wide, lambda a, b: scalars.filled(op, a, b, fill), level=level)
         if isinstance(other, Series):
             e = other.expr if other.frame.sdf is self.sdf else None
             if e is None:
@@ -447,8 +514,12 @@ class Frame:
         return Frame(sdf, cols, index, keys if sort or how == "outer" else [])
 
     # -- 2.5 aggregation
-    def stat(self, how: str, axis=0, skipna=True, numeric_only=None, ddof=1, min_count=0):
-        """A named aggregate: of each column as a dict, or of each row as a series."""
+    def stat(self, how: str, axis=0, skipna=True, numeric_only=None, ddof=1, min_count=0, level=None):
+        """A named aggregate: of each column as a dict, of each row as a series, or by a level of the labels as a frame."""
+        if level is not None:
+            g = self.groupby(level=level)
+            cols = [c for c in self.columns if c in (self.numeric() if how in scalars.NUMERIC_ONLY or how == "sum" or numeric_only else self.columns)]
+            return g._result([self._agg(how, self.col(c), ddof, min_count, skipna).alias(c) for c in cols])
         cols = self.numeric() if how in scalars.NUMERIC_ONLY or numeric_only else self.columns
         if axis in (1, "columns"):
             return Series(self, _across(how, [self.col(c) for c in cols], skipna, ddof), how)
@@ -489,38 +560,94 @@ class Frame:
         return GroupBy(self, by, level, as_index, sort, dropna)
 
     # -- 2.8 windows
-    def _cum(self, how: str, cols=None) -> Frame:
+    def _cum(self, how: str, axis=None, skipna=True, cols=None) -> Frame:
         cols = cols or (self.numeric() if how in ("sum", "prod") else self.columns)
+        if axis in (1, "columns"):
+            join = {"sum": lambda a, b: a + b, "prod": lambda a, b: a * b, "min": F.least, "max": F.greatest}[how]
+            made, so_far, holes = {}, None, F.lit(False)
+            for c in cols:
+                e = self.col(c)
+                so_far = e if so_far is None else F.coalesce(join(so_far, e), so_far, e)
+                holes = holes | e.isNull()
+                made[c] = F.when(~(e.isNull() if skipna else holes), so_far)
+            return self._each(lambda c: made[c], cols)
         o = self.ordered()
-        src = o.sdf.select(*o._keep()).withColumns({f"__c_{c}": o.col(c) for c in cols})
-        out = ordered.running(src, o.order, {f"__n_{c}": (how, f"__c_{c}") for c in cols})
-        new = o._new(out.drop(*(f"__c_{c}" for c in cols)))
         if set(cols) & set(o.order):
             raise ValueError("a column that orders the frame can't be replaced; order it by another")
-        return new._each(lambda c: F.col(f"__n_{c}"), cols)
+        src = o.sdf.select(*o._keep()).withColumns({f"__c_{c}": o.col(c) for c in cols} | ({} if skipna else {f"__h_{c}": o.col(c).isNull().cast("long") for c in cols}))
+        jobs = {f"__n_{c}": (how, f"__c_{c}") for c in cols} | ({} if skipna else {f"__s_{c}": ("sum", f"__h_{c}") for c in cols})
+        out = ordered.running(src, o.order, jobs)
+        new = o._new(out.drop(*(f"__c_{c}" for c in cols)))
+        new = new._each(lambda c: F.col(f"__n_{c}") if skipna else F.when(F.col(f"__s_{c}") == 0, F.col(f"__n_{c}")), cols)
+        return new._new_from(o)
+
+    def running(self, **named: tuple[str, str]) -> Frame:
+        """Columns ``new=(column, how)``, how being sum, prod, min, max or last, over all rows up to each: all in one pass."""
+        o = self.ordered()
+        src = o.sdf.select(*o._keep()).withColumns({f"__c_{c}": o.col(c) for c, _ in named.values()})
+        out = ordered.running(src, o.order, {n: (how, f"__c_{c}") for n, (c, how) in named.items()})
+        return o._new(out.drop(*(f"__c_{c}" for c, _ in named.values())), columns=[*(c for c in self.columns if c not in named), *named])
+
+    def ranks(self, column: str, ascending=True, na_option="keep", **named: str) -> Frame:
+        """Columns ``new=method`` with ranks of one column: all in one pass."""
+        o = self.ordered()
+        src = o.sdf.select(*o._keep()).withColumn("__rv", o.col(column))
+        return o._new(ordered.ranked(src, "__rv", named, ascending, o.order, na_option).drop("__rv"), columns=[*self.columns, *named])
 
     def cumsum(self, axis=None, skipna=True):
-        return self._cum("sum")
+        return self._cum("sum", axis, skipna)
 
     def cumprod(self, axis=None, skipna=True):
-        return self._cum("prod")
+        return self._cum("prod", axis, skipna)
 
     def cummin(self, axis=None, skipna=True):
-        return self._cum("min")
+        return self._cum("min", axis, skipna)
 
     def cummax(self, axis=None, skipna=True):
-        return self._cum("max")
+        return self._cum("max", axis, skipna)
 
     def rank(self, axis=0, method="average", numeric_only=None, na_option="keep", ascending=True, pct=False) -> Frame:
+        if axis in (1, "columns"):
+            return self._rank_across(self.numeric() if numeric_only else self.columns, method, na_option, ascending, pct)
         out = self.ordered()
         for c in self.numeric() if numeric_only else self.columns:
-            sdf = ordered.ranked(out.sdf, c, f"__r_{c}", method, ascending, out.order, na_option, pct)
+            sdf = ordered.ranked(out.sdf.withColumn("__rv", out.col(c)), "__rv", {f"__r_{c}": method}, ascending, out.order, na_option, pct).drop("__rv")
             order = out.order
             if c in order:
                 sdf, order = sdf.withColumn(f"__o_{c}", F.col(c)), [f"__o_{c}" if x == c else x for x in order]
             out = out._new(sdf.withColumn(c, F.col(f"__r_{c}")).drop(f"__r_{c}"), order=order)
         return out
 
+    def _rank_across(self, cols, method, na_option, ascending, pct) -> Frame:
+        """Ranks within each row."""
+        e = {c: self.col(c).cast("double") for c in cols}
+        ahead = (lambda a, b: a < b) if ascending else (lambda a, b: a > b)
+        count = lambda conds: sum((F.coalesce(x, F.lit(False)).cast("int") for x in conds), F.lit(0))
+        nulls = count(x.isNull() for x in e.values())
+
+        def one(c):
+            v = e[c]
+            low = count(ahead(e[d], v) for d in cols)
+            same = count(e[d] == v for d in cols)
+            dense = F.size(F.array_distinct(F.array_compact(F.array(*(F.when(ahead(e[d], v), e[d]) for d in cols)))))
+            got = {"min": low + 1, "max": low + same, "average": low + (same + 1) / 2.0, "dense": dense + 1, "first": low + 1 + count(e[d] == v for d in cols[: cols.index(c)])}[method]
+            of = F.lit(len(cols)) - nulls
+            if na_option == "top":
+                got, of = got + F.when(nulls > 0, F.lit(1) if method == "dense" else nulls).otherwise(0), F.lit(len(cols))
+            at = F.when(nulls > 0, 1)
+            if na_option == "bottom":
+                of = F.lit(len(cols))
+            lost = F.lit(None) if na_option == "keep" else {"min": F.lit(1), "max": nulls, "average": (nulls + 1) / 2.0, "dense": F.lit(1), "first": 1 + count(e[d].isNull() for d in cols[: cols.index(c)])}[method]
+            if na_option == "bottom":
+                lost = lost + (F.size(F.array_distinct(F.array_compact(F.array(*e.values())))) if method == "dense" else F.lit(len(cols)) - nulls)
+            out = F.when(v.isNotNull(), got).otherwise(lost if na_option != "keep" else F.lit(None)).cast("double")
+            if pct:
+                of = F.size(F.array_distinct(F.array_compact(F.array(*e.values())))) + (F.coalesce(at, F.lit(0)) if na_option != "keep" else 0) if method == "dense" else of
+                out = F.try_divide(out, of)
+            return out
+
+        return self._each(one, cols)
+
     def fillna(self, value=None, method=None, limit=None) -> Frame:
         if method is None:
             values = value if isinstance(value, dict) else {c: value for c in self.columns if _fits(self.type(c), value)}
@@ -570,20 +697,21 @@ class Frame:
     # -- 2.9 order
     def sort_values(self, by, axis=0, ascending=True, na_position="last", ignore_index=False, key=None) -> Frame:
         """The frame ordered by ``by``; stable: ties keep their order.  Nothing is moved until rows are asked for in order."""
+        if axis in (1, "columns"):  # columns by the values of a row
+            row = self.loc[[by] if not isinstance(by, list) else by].sdf.select(*self.columns).first()
+            known, null = [c for c in self.columns if row[c] is not None], [c for c in self.columns if row[c] is None]
+            known = sorted(known, key=lambda c: row[c], reverse=not ascending)
+            return self._new(self.sdf, columns=known + null if na_position == "last" else null + known)
         by = [by] if isinstance(by, str) else list(by)
         up = [ascending] * len(by) if isinstance(ascending, bool) else list(ascending)
-        o = self.ordered()
+        o = self.ordered() if ignore_index else self.labelled()
         keys = []
         sdf = o.sdf
         for n, (c, a) in enumerate(zip(by, up, strict=True)):
             e = key(o.col(c)) if key else o.col(c)
             keys.append(e.asc_nulls_last() if a and na_position == "last" else e.asc_nulls_first() if a else e.desc_nulls_last() if na_position == "last" else e.desc_nulls_first())
         keys += ordered._order(o.order)
-        r = ordered.ranged(sdf, keys)
-        offsets = ordered._before(r.groupBy(ordered.PART).agg(F.count("*").alias("n")), {"n": "sum"})
-        at = F.row_number().over(Window.partitionBy(ordered.PART).orderBy(*keys))
-        sdf = r.withColumn("__sorted", at.cast("long")).join(F.broadcast(offsets), ordered.PART).withColumn("__sorted", F.col("__sorted") - 1 + F.coalesce("__in_n", F.lit(0))).drop(ordered.PART, "__in_n")
-        return Frame(sdf, self.columns, [] if ignore_index else o.index, ["__sorted"])
+        return Sorted(o, keys, self.columns, [] if ignore_index else o.index)
 
     def sort_index(self, axis=0, ascending=True, na_position="last") -> Frame:
         if axis in (1, "columns"):
@@ -635,7 +763,7 @@ class Frame:
         """A function of column expressions stays in the JVM; a Python function of values runs in Arrow batches and needs ``dtype``."""
         try:
             return self._each(lambda c: _native(func, F.col(c)))
-        except Exception:
+        except (TypeError, ValueError):  # it takes values, not column expressions
             one = _vector(func, spark_type(dtype), na_action)
             return self._each(lambda c: one(F.col(c)))
 
@@ -698,6 +826,10 @@ class Frame:
         if isinstance(func, (str, list, dict)):
             return self.agg(func, axis)
         if axis in (1, "columns"):
+            try:  # a function of a row's column expressions stays in the JVM
+                return Series(self, _native(func, {c: self.col(c) for c in self.columns}, *args), "apply")
+            except (TypeError, ValueError, AttributeError, KeyError):
+                pass
 
             def rows(pdf: pd.DataFrame) -> pd.Series:
                 return pd.Series([func(r if not raw else r.to_numpy(), *args) for _, r in pdf.iterrows()], index=pdf.index)
@@ -724,6 +856,28 @@ class Frame:
         return self._new(self.sdf.repartition(n if isinstance(n, int) else n[0]))
 
 
+class Sorted(Frame):
+    """A frame in the order of sort keys: numbered and stored when it is read whole, while ``head`` is a top-k."""
+
+    def __init__(self, base: Frame, keys: list, columns: list[str], index: list[str]):
+        self.base, self.keys, self.index, self.columns, self.order = base, keys, list(index), list(columns), ["__sorted"]
+
+    def __getattr__(self, name):
+        if name == "sdf":
+            r = ordered.ranged(self.base.sdf, self.keys)
+            offsets = ordered._before(r.groupBy(ordered.PART).agg(F.count("*").alias("n")), {"n": "sum"})
+            at = F.row_number().over(Window.partitionBy(ordered.PART).orderBy(*self.keys)).cast("long")
+            self.sdf = r.withColumn("__sorted", at).join(F.broadcast(offsets), ordered.PART).withColumn("__sorted", F.col("__sorted") - 1 + F.coalesce("__in_n", F.lit(0))).drop(ordered.PART, "__in_n")
+            return self.sdf
+        return super().__getattr__(name)
+
+    def head(self, n=5) -> Frame:
+        if n < 0 or "sdf" in self.__dict__:
+            return super().head(n)
+        top = self.base.sdf.orderBy(*self.keys).limit(n)
+        return Frame(top.withColumn("__sorted", F.row_number().over(Window.orderBy(*self.keys)).cast("long") - 1), self.columns, self.index, ["__sorted"])  # a window over n rows
+
+
 def _native(func, c: Column, *args) -> Column:
     out = func(c, *args)
     if not isinstance(out, Column):
@@ -851,6 +1005,15 @@ class Series:
         f = self._frame()
         return self._back(f.iloc[key]) if isinstance(key, slice) else self._back(f.loc[key if isinstance(key, list) else [key]])
 
+    def __setitem__(self, key, value) -> None:
+        """By a boolean series, a label, or a list or slice as ``loc`` takes them: this object then stands for the new series."""
+        f = self._frame()
+        if isinstance(key, Series):
+            f = Frame(self.frame.sdf.withColumn("__v", F.when(key.expr, F.lit(value)).otherwise(self.expr)), ["__v"], self.frame.index, self.frame.order)
+        else:
+            f = f.loc.set(key, value)
+        self.frame, self.expr = f, F.col("__v")
+
     def stat(self, how: str, skipna=True, ddof=1, min_count=0):
         return self.frame.sdf.agg(Frame._agg(how, self.expr, ddof, min_count, skipna)).first()[0]
 
@@ -904,20 +1067,20 @@ class Series:
     def apply(self, func, dtype="double", args=()):
         try:
             return Series(self.frame, _native(func, self.expr, *args), self.name)
-        except Exception:
+        except (TypeError, ValueError):  # it takes values, not column expressions
             return Series(self.frame, _vector((lambda x: func(x, *args)) if args else func, spark_type(dtype))(self.expr), self.name)
 
     def cumsum(self, axis=None, skipna=True):
-        return self._back(self._frame()._cum("sum"))
+        return self._back(self._frame()._cum("sum", skipna=skipna))
 
     def cumprod(self, axis=None, skipna=True):
-        return self._back(self._frame()._cum("prod"))
+        return self._back(self._frame()._cum("prod", skipna=skipna))
 
     def cummin(self, axis=None, skipna=True):
-        return self._back(self._frame()._cum("min"))
+        return self._back(self._frame()._cum("min", skipna=skipna))
 
     def cummax(self, axis=None, skipna=True):
-        return self._back(self._frame()._cum("max"))
+        return self._back(self._frame()._cum("max", skipna=skipna))
 
     def rank(self, **k):
         return self._back(self._frame().rank(**k))
@@ -962,9 +1125,9 @@ class Series:
     def equals(self, other) -> bool:
         return self._frame().equals(other._frame())
 
-    def _op(self, other, op, fill=None, flip=False):
-        if isinstance(other, Series) and other.frame.sdf is not self.frame.sdf:
-            z = self._frame()._zip(other._frame(), lambda a, b: scalars.filled(op, a, b, fill))
+    def _op(self, other, op, fill=None, flip=False, level=None):
+        if isinstance(other, Series) and (level is not None or other.frame.sdf is not self.frame.sdf):
+            z = self._frame()._zip(other._frame(), lambda a, b: scalars.filled(op, a, b, fill), level=level)
             return self._back(z)
         b = other.expr if isinstance(other, Series) else F.lit(other)
         a, b = (b, self.expr) if flip else (self.expr, b)
@@ -1014,10 +1177,22 @@ class Rolling:
         raise AttributeError(how)
 
 
+def _values(value, cols: list[str]) -> dict[str, Column]:
+    """What is set to each of ``cols``: a scalar, a series of the frame, or one of either for each column."""
+    if isinstance(value, (list, tuple)):
+        if len(value) != len(cols):
+            raise ValueError(f"{len(value)} values for {len(cols)} columns")
+        return {c: v.expr if isinstance(v, Series) else F.lit(v) for c, v in zip(cols, value, strict=True)}
+    return dict.fromkeys(cols, value.expr if isinstance(value, Series) else F.lit(value))
+
+
 class _ILoc:
     def __init__(self, frame: Frame):
         self.f = frame
 
+    def __setitem__(self, key, value) -> None:
+        self.f._become(self.set(key, value))
+
     def _split(self, key):
         rows, cols = key if isinstance(key, tuple) else (key, slice(None))
         names = self.f.columns
@@ -1058,14 +1233,17 @@ class _ILoc:
         rows, names = self._split(key)
         o = self.f.ordered()
         p = ordered.with_position(o.sdf, o.order)
-        m = self._mask(rows, p.count)
-        return o._new(p.withColumns({c: F.when(m, F.lit(value)).otherwise(F.col(c)) for c in names}))
+        m, new = self._mask(rows, p.count), _values(value, names)
+        return o._new(p.withColumns({c: F.when(m, new[c]).otherwise(F.col(c)) for c in names}))
 
 
 class _Loc:
     def __init__(self, frame: Frame):
         self.f = frame
 
+    def __setitem__(self, key, value) -> None:
+        self.f._become(self.set(key, value))
+
     def _resolve(self, key):
         rows, cols = key if isinstance(key, tuple) else (key, slice(None))
         names = self.f.columns
@@ -1107,14 +1285,14 @@ class _Loc:
     def set(self, key, value) -> Frame:
         """The frame with the cells at ``key`` replaced; new columns are added."""
         f, mask, cols = self._resolve(key)
-        new = {c: F.when(mask, F.lit(value)).otherwise(F.col(c)) if c in f.columns else F.when(mask, F.lit(value)) for c in cols}
+        new = {c: F.when(mask, v).otherwise(F.col(c)) if c in f.columns else F.when(mask, v) for c, v in _values(value, cols).items()}
         return f._new(f.sdf.withColumns(new), columns=f.columns + [c for c in cols if c not in f.columns])
 
 
 def _operators():
     for name, op in {**scalars.BINARY, **scalars.COMPARE}.items():
-        setattr(Frame, name, lambda self, other, axis="columns", fill_value=None, op=op: self._binary(other, op, fill_value))
-        setattr(Series, name, lambda self, other, fill_value=None, op=op: self._op(other, op, fill_value))
+        setattr(Frame, name, lambda self, other, axis=None, level=None, fill_value=None, op=op: self._binary(other, op, fill_value, axis, level))
+        setattr(Series, name, lambda self, other, level=None, fill_value=None, axis=0, op=op: self._op(other, op, fill_value, level=level))
     dunder = {"add": "add", "sub": "sub", "mul": "mul", "truediv": "div", "floordiv": "floordiv", "mod": "mod", "pow": "pow", "eq": "eq", "ne": "ne", "lt": "lt", "le": "le", "gt": "gt", "ge": "ge"}
     both = {**scalars.BINARY, **scalars.COMPARE}
     for d, name in dunder.items():
@@ -1126,7 +1304,7 @@ def _operators():
     Frame.__hash__ = object.__hash__
     for how in ("max", "min", "sum", "prod", "mean", "median", "count", "std", "var", "all", "any", "sem", "skew", "nunique"):
         setattr(Frame, how, lambda self, axis=0, how=how, **k: self.stat(how, axis, **k))
-        setattr(Series, how, lambda self, axis=None, how=how, **k: self.stat(how, **k))
+        setattr(Series, how, lambda self, axis=None, how=how, level=None, **k: self.stat(how, **k) if level is None else self.to_frame().stat(how, level=level, **k))
     Frame.product, Series.product = Frame.prod, Series.prod
 
 
@@ -1143,11 +1321,11 @@ def concat(objs, axis=0, join="outer", ignore_index=False, verify_integrity=Fals
         out = frames[0]
         for f in frames[1:]:
             a, b = out.labelled(), f.labelled()
-            left = a.sdf.select(*(F.col(i).alias(f"__i{n}") for n, i in enumerate(a.index)), *(F.col(c) for c in out.columns))
-            right = b.sdf.select(*(F.col(i).alias(f"__j{n}") for n, i in enumerate(b.index)), *(F.col(c).alias(c if c not in out.columns else f"{c}_{len(out.columns)}") for c in f.columns))
-            cols = out.columns + [c for c in right.columns if not c.startswith("__j")]
+            left = a.sdf.select(*(F.col(i).alias(f"__i{n}") for n, i in enumerate(a.index)), *(F.col(c) for c in out.columns), F.struct(*a.order).alias("__oa"))
+            right = b.sdf.select(*(F.col(i).alias(f"__j{n}") for n, i in enumerate(b.index)), *(F.col(c).alias(c if c not in out.columns else f"{c}_{len(out.columns)}") for c in f.columns), F.struct(*b.order).alias("__ob"))
+            cols = out.columns + [c for c in right.columns if not c.startswith("__")]
             j = left.join(right, [left[f"__i{n}"].eqNullSafe(right[f"__j{n}"]) for n in range(len(a.index))], "full" if join == "outer" else "inner")
-            out = Frame(j.select(*(F.coalesce(f"__i{n}", f"__j{n}").alias(i) for n, i in enumerate(a.index)), *cols), cols, a.index, a.index)
+            out = Frame(j.select(*(F.coalesce(f"__i{n}", f"__j{n}").alias(i) for n, i in enumerate(a.index)), *cols, *map(F.expr, _ORDERED)), cols, a.index, ["__z0", "__z1", "__z2"])
         return out
     cols = list(dict.fromkeys(c for f in frames for c in f.columns)) if join == "outer" else [c for c in frames[0].columns if all(c in f.columns for f in frames)]
     labelled = not ignore_index and (any(f.index for f in frames) or keys or verify_integrity)
