@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rewrite rules that can be switched off, by the name of what they rewrite.
@@ -53,10 +55,53 @@ def set_adaptive_concurrency(spark: SparkSession, adaptive: bool) -> None:
     spark.conf.set("spark.sql.adaptive.enabled", str(bool(adaptive)).lower())
 
 
+def get_min_block_size(spark: SparkSession) -> str:
+    return spark.conf.get("spark.sql.adaptive.coalescePartitions.minPartitionSize")
+
+
+def get_adaptive_concurrency(spark: SparkSession) -> bool:
+    return spark.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
+def get_process_mode(spark: SparkSession) -> str:
+    return "local" if spark.sparkContext.master.startswith("local") else "cluster"
+
+
 def set_lazy_mode(flag: bool) -> None:
     """Plans are always lazy."""
 
 
+_TIMED: dict[str, list[float]] = {}
+_BENCHMARK = False
+
+
+def set_benchmark_mode(flag: bool) -> None:
+    """While set, ``timed`` runs its plan to the end, so that its seconds are the plan's own."""
+    global _BENCHMARK
+    _BENCHMARK = bool(flag)
+
+
+def get_benchmark_mode() -> bool:
+    return _BENCHMARK
+
+
+def timed(name: str, df: DataFrame) -> DataFrame:
+    """``df``; in benchmark mode it is run first, and its seconds are kept for ``snapshot``."""
+    if _BENCHMARK:
+        start = time.perf_counter()
+        benchmark(df)
+        _TIMED.setdefault(name, []).append(time.perf_counter() - start)
+    return df
+
+
+def snapshot(reset: bool = False) -> dict[str, dict[str, float]]:
+    """Runs, total and mean seconds of what ``timed`` has run, by name."""
+    out = {n: {"runs": len(t), "total": sum(t), "mean": sum(t) / len(t)} for n, t in _TIMED.items()}
+    if reset:
+        _TIMED.clear()
+    return out
+
+
 def benchmark(df: DataFrame) -> None:
     """Run a plan to the end and drop its rows."""
     df.write.format("noop").mode("overwrite").save()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.frame import Frame, Series
 
@@ -21,14 +22,21 @@ def read_csv(spark: SparkSession, path: str, sep=",", header="infer", names=None
     if na_values is not None:
         r = r.option("nullValue", na_values if isinstance(na_values, str) else na_values[0])
     r = r.schema(schema) if schema else r.option("inferSchema", True)
-    sdf = r.csv(path)
+    if skiprows:  # lines, ahead of the header; quoted line ends aren't looked into
+        text = spark.read.option("encoding", encoding).text(path).withColumn("__at", F.monotonically_increasing_id())
+        first = [x["__at"] for x in text.orderBy("__at").select("__at").head(skiprows)]
+        text = text.where(~F.col("__at").isin(first)).select("value")
+        lines = getattr(text._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+        sdf = DataFrame(r._jreader.csv(lines), spark)
+    else:
+        sdf = r.csv(path)
     if names is not None:
         sdf = sdf.toDF(*names)
     if usecols is not None:
         sdf = sdf.select(*(sdf.columns[c] if isinstance(c, int) else c for c in usecols))
     f = Frame(sdf, order=order)
-    if skiprows or nrows is not None:
-        f = f.iloc[skiprows : None if nrows is None else skiprows + nrows]
+    if nrows is not None:
+        f = f.iloc[:nrows]
     if dtype is not None:
         f = f.astype(dtype)
     if index_col is not None:
