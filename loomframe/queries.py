@@ -5,11 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import ordered
 from .functions.datetimes import date_range, to_datetime
-from .functions.scalars import AGGREGATES
 from .operators.frame import Frame, concat
-from .operators.groupby import Grouper
 from .sources import from_spark
 from .sources.channel import shard
 
@@ -21,16 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> Frame:
     return from_spark(spark.read.parquet(f"{sf_dir}/{name}.parquet"), order=ORDER.get(name, ()))
 
 
-def _sum(c, scale: int):
-    """A sum that does not depend on the order of its terms."""
-    return F.sum(c.cast(f"decimal(18,{scale})")).cast("double")
-
-
 
 def flagship_clean_group(spark, sf_dir):
     lineitem = table(spark, sf_dir, "lineitem")
     g = lineitem.filter(lineitem["l_returnflag"] == "R").groupby("l_linestatus", as_index=False)
-    return g._result([F.count("*").alias("n"), _sum(F.col("l_quantity"), 2).alias("qty")]).to_spark()
+    return g.agg(n=("l_quantity", "size"), qty=("l_quantity", "sum")).to_spark()
 
 
 def project_select(spark, sf_dir):
@@ -170,15 +162,17 @@ def group_select_push(spark, sf_dir):
 
 def stats_frame(spark, sf_dir):
     lineitem = table(spark, sf_dir, "lineitem")
-    c = lineitem.col("l_quantity")
-    agg = {n: AGGREGATES[n](c) for n in ("max", "min", "count", "mean", "median", "std", "var")}
-    return lineitem.sdf.agg(agg["max"].alias("mx"), agg["min"].alias("mn"), agg["count"].alias("n"), F.round(agg["mean"], 6).alias("mean"), agg["median"].alias("med"), F.round(agg["std"], 6).alias("sd"), F.round(agg["var"], 6).alias("vr"))
+    names = {"max": "mx", "min": "mn", "count": "n", "mean": "mean", "median": "med", "std": "sd", "var": "vr"}
+    rows = lineitem[["l_quantity"]].agg(list(names)).sdf
+    one = {n: F.max(F.when(F.col("func") == f, F.col("l_quantity"))) for f, n in names.items()}
+    return rows.agg(*(e.cast("long").alias(n) if n == "n" else F.round(e, 6).alias(n) if n in ("mean", "sd", "vr") else e.alias(n) for n, e in one.items()))
 
 
 def prod_any_all(spark, sf_dir):
     region = table(spark, sf_dir, "region")
-    k = F.col("r_regionkey")
-    return region.sdf.agg(AGGREGATES["prod"](1 + k).alias("p"), AGGREGATES["any"](k > 3).alias("a"), AGGREGATES["all"](k >= 0).alias("b"))
+    k = region["r_regionkey"]
+    f = region.assign(p=k + 1, a=k > 3, b=k >= 0)
+    return spark.createDataFrame([(f[["p"]].prod()["p"], f[["a"]].any()["a"], f[["b"]].all()["b"])], "p double, a boolean, b boolean")
 
 
 def stats_axis1(spark, sf_dir):
@@ -197,8 +191,8 @@ def value_counts_norm(spark, sf_dir):
 def gb_agg_all(spark, sf_dir):
     lineitem = table(spark, sf_dir, "lineitem")
     g = lineitem.groupby("l_returnflag", as_index=False)
-    t = lineitem.col("l_tax")
-    return g._result([_sum(t, 4).alias("s"), F.count(t).alias("c"), F.count("*").alias("n"), F.min(t).alias("mn"), F.max(t).alias("mx")]).to_spark()
+    out = g.agg(s=("l_tax", "sum"), c=("l_tax", "count"), n=("l_tax", "size"), mn=("l_tax", "min"), mx=("l_tax", "max"))
+    return out.to_spark().withColumn("s", F.round("s", 4))
 
 
 def gb_multikey(spark, sf_dir):
@@ -214,9 +208,8 @@ def gb_moments(spark, sf_dir):
 
 def gb_quantile(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
-    g = orders.groupby("o_orderstatus", as_index=False)
-    p = orders.col("o_totalprice")
-    return g._result([F.median(p).alias("md"), F.percentile(p, 0.25).alias("q")]).to_spark()
+    q = orders.groupby("o_orderstatus", as_index=False)[["o_totalprice"]].quantile([0.5, 0.25]).to_spark()
+    return q.toDF("o_orderstatus", "md", "q")
 
 
 def gb_nunique(spark, sf_dir):
@@ -282,15 +275,15 @@ def gb_filter(spark, sf_dir):
 
 def gb_resample(spark, sf_dir):
     events = table(spark, sf_dir, "events")
-    g = events.groupby(Grouper("ts", "D"), as_index=False).size()
-    return g.to_spark().select(F.col("ts").alias("d"), F.col("size").alias("n"))
+    out = events[["user_id", "ts", "event_id"]].groupby("user_id").resample("D", on="ts", how="count")
+    return out.to_spark().select("user_id", F.col("ts").alias("d"), F.col("event_id").alias("n"))
 
 
 def gb_corr_cov(spark, sf_dir):
     lineitem = table(spark, sf_dir, "lineitem")
-    f = lineitem[["l_returnflag", "l_quantity", "l_extendedprice", "l_tax"]]
-    g = f.groupby("l_returnflag", as_index=False)
-    return g._result([F.round(F.corr("l_quantity", "l_extendedprice"), 6).alias("r"), F.round(F.covar_samp("l_quantity", "l_tax"), 6).alias("cv")]).to_spark()
+    g = lineitem.groupby("l_returnflag")
+    r = g[["l_quantity", "l_extendedprice"]].corr().sdf.where("variable = 'l_quantity'").select("l_returnflag", F.round("l_extendedprice", 6).alias("r"))
+    return r.join(g[["l_quantity", "l_tax"]].cov().sdf.where("variable = 'l_quantity'").select("l_returnflag", F.round("l_tax", 6).alias("cv")), "l_returnflag")
 
 
 def rolling_sum(spark, sf_dir):
@@ -301,22 +294,17 @@ def rolling_sum(spark, sf_dir):
 
 def cum_ops(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
-    s = ordered.running(orders.sdf.select("o_orderkey", "o_custkey", "o_totalprice"), orders.order, {"cs": ("sum", "o_custkey"), "cx": ("max", "o_totalprice"), "cn": ("min", "o_totalprice")})
-    return s.select("o_orderkey", "cs", "cx", "cn")
+    return orders[["o_orderkey", "o_custkey", "o_totalprice"]].running(cs=("o_custkey", "sum"), cx=("o_totalprice", "max"), cn=("o_totalprice", "min"))[["o_orderkey", "cs", "cx", "cn"]].to_spark()
 
 
 def rank_methods(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    s = part.sdf.select("p_partkey", "p_size")
-    for name, method in (("mn", "min"), ("ds", "dense"), ("f", "first")):
-        s = ordered.ranked(s, "p_size", name, method, ties=["p_partkey"])
-    return s.select("p_partkey", "mn", "ds", "f")
+    return part[["p_partkey", "p_size"]].ranks("p_size", mn="min", ds="dense", f="first")[["p_partkey", "mn", "ds", "f"]].to_spark()
 
 
 def sort_head(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders")
-    top = orders.sdf.orderBy(F.desc_nulls_last("o_totalprice"), "o_orderkey").limit(20)  # one top-k, no full sort
-    return top.select("o_orderkey", "o_totalprice")
+    orders = table(spark, sf_dir, "orders").set_index("o_orderkey", drop=False)
+    return orders.sort_values("o_totalprice", ascending=False).head(20)[["o_orderkey", "o_totalprice"]].to_spark()  # one top-k, no full sort
 
 
 def iloc_slice(spark, sf_dir):
@@ -383,7 +371,8 @@ def date_range_daily(spark, sf_dir):
 
 def applymap_native(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    return part.sdf.select("p_partkey", part["p_brand"].apply(F.upper).expr.alias("b"), part["p_name"].apply(F.length).expr.cast("long").alias("n"))
+    f = part[["p_partkey", "p_brand"]].assign(n=part["p_name"].apply(F.length).astype("int64"))
+    return f[["p_brand"]].applymap(F.upper).sdf.select("p_partkey", F.col("p_brand").alias("b"), "n")
 
 
 def reindex_labels(spark, sf_dir):
@@ -401,7 +390,9 @@ def combine_min(spark, sf_dir):
 
 def gb_sample(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
-    return orders.groupby("o_orderstatus").sample(n=3)[["o_orderkey"]].to_spark()
+    got = orders.groupby("o_orderstatus").sample(n=3, random_state=7)
+    again = orders.groupby("o_orderstatus").sample(n=3, random_state=7)
+    return got.merge(again[["o_orderkey"]], on="o_orderkey").groupby("o_orderstatus", as_index=False).size().to_spark()
 
 
 def gb_apply_udf(spark, sf_dir):
@@ -461,9 +452,9 @@ def gb_mapping(spark, sf_dir):
 
 def gb_any_all_prod(spark, sf_dir):
     nation = table(spark, sf_dir, "nation")
-    k = nation.col("n_nationkey")
-    g = nation.groupby("n_regionkey", as_index=False)
-    return g._result([AGGREGATES["any"](k > 20).alias("some"), AGGREGATES["all"](k > 2).alias("every"), AGGREGATES["prod"](k + 1).alias("p")]).to_spark()
+    k = nation["n_nationkey"]
+    g = nation.assign(some=k > 20, every=k > 2, p=k + 1).groupby("n_regionkey", as_index=False)
+    return g.agg(some=("some", "any"), every=("every", "all"), p=("p", "prod")).to_spark()
 
 
 def merge_index(spark, sf_dir):
@@ -498,16 +489,15 @@ def reset_position(spark, sf_dir):
 
 
 def rank_average_pct(spark, sf_dir):
-    part = table(spark, sf_dir, "part")
-    s = ordered.ranked(part.sdf.select("p_partkey", "p_size"), "p_size", "avg")
-    s = ordered.ranked(s, "p_size", "mx", "max", ascending=False)
-    return ordered.ranked(s, "p_size", "pct", pct=True).select("p_partkey", "avg", "mx", "pct")
+    part = table(spark, sf_dir, "part")[["p_size"]]
+    got = [part.rank(**how).sdf.select("p_partkey", F.col("p_size").alias(n)) for n, how in (("avg", {}), ("mx", {"method": "max", "ascending": False}), ("pct", {"pct": True}))]
+    return got[0].join(got[1], "p_partkey").join(got[2], "p_partkey")
 
 
 def cum_sum_null(spark, sf_dir):
     events = table(spark, sf_dir, "events")
-    v = events.assign(v=events["event_id"].where(events["event_id"] % 3 != 0))[["event_id", "v"]]
-    return ordered.running(v.to_spark(), ["event_id"], {"s": ("sum", "v")}).select("event_id", "s")
+    v = events.assign(v=events["event_id"].where(events["event_id"] % 3 != 0))[["v"]].cumsum()
+    return v.sdf.select("event_id", F.col("v").alias("s"))
 
 
 def rolling_center_min(spark, sf_dir):
@@ -539,7 +529,7 @@ def transpose_small(spark, sf_dir):
 
 
 def value_counts_bins(spark, sf_dir):
-    return table(spark, sf_dir, "part")["p_size"].value_counts(bins=5).to_spark()
+    return table(spark, sf_dir, "part")["p_size"].value_counts(bins=5).to_spark(index=True)
 
 
 def agg_list(spark, sf_dir):
@@ -652,11 +642,16 @@ _QUERIES = [
 
 
 def queries():
-    return {f.__name__: f for f in _QUERIES}
+    from . import queries_api
+
+    return {f.__name__: f for f in _QUERIES} | queries_api.queries()
 
 
 SQL = {
-    "flagship_clean_group": "SELECT l_linestatus, count(*) AS n, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS qty FROM lineitem WHERE l_returnflag='R' GROUP BY 1",
+    "gb_sample": "SELECT o_orderstatus, least(3, count(*)) AS size FROM orders GROUP BY 1",
+    "value_counts_bins": "SELECT least(floor((p_size - lo) / w), 4) * w + lo AS value, count(*) AS count FROM part, (SELECT min(p_size) AS lo, (max(p_size) - min(p_size)) / 5 AS w FROM part) GROUP BY 1",
+    "memory_usage": "SELECT 'n_name' AS \"column\", sum(strlen(n_name))::BIGINT AS bytes FROM nation UNION ALL SELECT 'n_nationkey', 4 * count(*) FROM nation UNION ALL SELECT 'n_regionkey', 4 * count(*) FROM nation",
+    "flagship_clean_group": "SELECT l_linestatus, count(*) AS n, sum(l_quantity) AS qty FROM lineitem WHERE l_returnflag='R' GROUP BY 1",
     "project_select": "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_quantity <= 6",
     "isin_filter": "SELECT o_orderkey, o_orderpriority IN ('1-URGENT','2-HIGH') AS hot FROM orders",
     "isna_notna": "SELECT event_id, value IS NULL AS is_na, value IS NOT NULL AS not_na FROM events",
@@ -685,7 +680,7 @@ SQL = {
     "prod_any_all": "SELECT product(1 + r_regionkey) AS p, bool_or(r_regionkey > 3) AS a, bool_and(r_regionkey >= 0) AS b FROM region",
     "stats_axis1": "SELECT l_orderkey, l_linenumber, l_quantity + l_tax + l_discount AS s, greatest(l_quantity, l_tax) AS g FROM lineitem",
     "value_counts_norm": "SELECT o_orderpriority, count(*) AS n, count(*)::DOUBLE / sum(count(*)) OVER () AS f FROM orders GROUP BY 1",
-    "gb_agg_all": "SELECT l_returnflag, CAST(sum(CAST(l_tax AS DECIMAL(18,4))) AS DOUBLE) AS s, count(l_tax) AS c, count(*) AS n, min(l_tax) AS mn, max(l_tax) AS mx FROM lineitem GROUP BY 1",
+    "gb_agg_all": "SELECT l_returnflag, round(sum(l_tax), 4) AS s, count(l_tax) AS c, count(*) AS n, min(l_tax) AS mn, max(l_tax) AS mx FROM lineitem GROUP BY 1",
     "gb_multikey": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY 1,2",
     "gb_moments": "SELECT o_orderstatus, round(stddev_samp(o_totalprice),4) AS sd, round(stddev_samp(o_totalprice)/sqrt(count(*)),4) AS se, round(skewness(o_totalprice),4) AS sk FROM orders GROUP BY 1",
     "gb_quantile": "SELECT o_orderstatus, median(o_totalprice) AS md, quantile_cont(o_totalprice, 0.25) AS q FROM orders GROUP BY 1",
@@ -700,7 +695,7 @@ SQL = {
     "gb_rank": "SELECT o_orderkey, rank() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_orderstatus, o_totalprice) - 1)/2.0::DOUBLE AS r FROM orders",
     "gb_ngroup": "SELECT o_orderkey, dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS g FROM orders",
     "gb_filter": "SELECT o_orderkey FROM orders QUALIFY count(*) OVER (PARTITION BY o_custkey) > 10",
-    "gb_resample": "SELECT date_trunc('day', ts) AS d, count(*) AS n FROM events GROUP BY 1",
+    "gb_resample": "SELECT user_id, date_trunc('day', ts) AS d, count(event_id) AS n FROM events GROUP BY 1, 2",
     "gb_corr_cov": "SELECT l_returnflag, round(corr(l_quantity,l_extendedprice),6) AS r, round(covar_samp(l_quantity,l_tax),6) AS cv FROM lineitem GROUP BY 1",
     "rolling_sum": "SELECT event_id, CASE WHEN count(value) OVER w >= 3 THEN max(value) OVER w END AS m FROM events WINDOW w AS (ORDER BY event_id ROWS 2 PRECEDING)",
     "cum_ops": "SELECT o_orderkey, sum(o_custkey) OVER w ::BIGINT AS cs, max(o_totalprice) OVER w AS cx, min(o_totalprice) OVER w AS cn FROM orders WINDOW w AS (ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING)",
@@ -750,4 +745,6 @@ SQL = {
 
 
 def oracle_sql():
-    return dict(SQL)
+    from . import queries_api
+
+    return SQL | queries_api.oracle_sql()

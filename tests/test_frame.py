@@ -82,7 +82,7 @@ def test_running_over_many_ranges(spark):
     assert (pos.__pos == np.arange(n)).all() if hasattr(pos, "__pos") else (pos["__pos"].to_numpy() == np.arange(n)).all()
     assert pos[["v", "i"]].apply(tuple, axis=1).is_monotonic_increasing
     for method in ("average", "min", "max", "dense", "first"):
-        r = ordered.ranked(df, "v", "r", method, ties=["i"]).orderBy("i").toPandas().r
+        r = ordered.ranked(df, "v", {"r": method}, ties=["i"]).orderBy("i").toPandas().r
         assert (r == pd.Series(v).rank(method=method)).all(), method
     w = ordered.moving(df, ["i"], {"w": lambda w: F.sum("v").over(w.rowsBetween(-2, 1))}, 2, 1).orderBy("i").toPandas().w
     assert w.tolist() == [int(v[max(0, i - 2) : i + 2].sum()) for i in range(n)]
@@ -345,3 +345,143 @@ def test_empty(spark):
     assert f.empty and len(f.head()) == 0 and f.sum() == {"a": 0, "b": 0} and f.count() == {"a": 0, "b": 0}
     assert len(f.groupby("a").sum()) == 0 and len(f.sort_values("a")) == 0 and vals(f["a"].cumsum()) == [] and vals(f["b"].rank()) == []
     assert len(f.drop_duplicates()) == 0 and len(concat([f, f])) == 0
+
+
+@pytest.fixture(scope="module")
+def keyed(spark):
+    rng = np.random.default_rng(5)
+    n = 3000
+    pdf = pd.DataFrame({"k": np.where(rng.random(n) < 0.8, "hot", rng.choice(list("abc"), n)), "v": rng.integers(0, 40, n).astype(float), "w": rng.integers(-5, 5, n).astype(float)})
+    pdf.loc[rng.random(n) < 0.1, "v"] = np.nan
+    pdf.loc[rng.random(n) < 0.01, "k"] = None
+    return pdf, from_pandas(spark, pdf)
+
+
+def _same(got, want):
+    got, want = pd.Series(got).reset_index(drop=True).astype(float), pd.Series(want).reset_index(drop=True).astype(float)
+    pd.testing.assert_series_equal(got, want, check_names=False)
+
+
+def test_hot_groups_over_many_ranges(spark, keyed):
+    """A group in most of the ranges: running values, ranks, shifts and fills go on from range to range."""
+    pdf, f = keyed
+    some = pdf[pdf.k.notna()]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        want, g = some.groupby("k"), f.groupby("k")
+        for how in ("cumsum", "cummin", "cummax"):
+            _same(getattr(g[["v"]], how)()["v"].to_list(), getattr(want.v, how)())
+        for kw in ({}, {"method": "min", "ascending": False}, {"method": "first"}, {"method": "dense", "pct": True}, {"method": "max", "na_option": "bottom"}, {"na_option": "top", "ascending": False}):
+            _same(g[["v"]].rank(**kw)["v"].to_list(), want.v.rank(**kw))
+        for n in (1, 3, -2):
+            _same(g[["v"]].shift(n)["v"].to_list(), want.v.shift(n))
+            _same(g[["w"]].diff(n)["w"].to_list(), want.w.diff(n))
+        _same(g[["v"]].ffill()["v"].to_list(), want.v.ffill())
+        _same(g[["v"]].bfill()["v"].to_list(), want.v.bfill())
+        _same(g[["v"]].bfill(limit=1)["v"].to_list(), want.v.bfill(limit=1))
+        _same(g.cumcount().to_list(), want.cumcount())
+        _same(g.cumcount(ascending=False).to_list(), want.cumcount(ascending=False))
+        _same(g[["v"]].transform("mean")["v"].to_list(), want.v.transform("mean"))
+        assert g.sample(frac=0.1).groupby("k").size().to_pandas().to_dict() == {k: round(0.1 * n) for k, n in want.size().items()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_rank_descending_and_ties(keyed):
+    pdf, f = keyed
+    for kw in ({"ascending": False}, {"ascending": False, "method": "dense", "pct": True}, {"ascending": False, "na_option": "top"}, {"ascending": False, "na_option": "bottom", "method": "max"}, {"method": "first", "ascending": False}, {"pct": True, "na_option": "bottom"}):
+        _same(f[["v"]].rank(**kw)["v"].to_list(), pdf.v.rank(**kw))
+    across = pdf[["v", "w"]]
+    for kw in ({}, {"method": "dense"}, {"method": "first", "ascending": False}, {"na_option": "top"}, {"na_option": "bottom", "method": "min"}, {"pct": True}):
+        got, want = f[["v", "w"]].rank(axis=1, **kw), across.rank(axis=1, **kw)
+        for c in across:
+            _same(got[c].to_list(), want[c])
+
+
+def test_alignment_keeps_order(spark):
+    a, b = from_dict(spark, {"v": [1, 2, 3]}, index=["c", "a", "b"]), from_dict(spark, {"v": [30, 10, 20]}, index=["b", "c", "a"])
+    assert vals((a + b)["v"]) == [11, 22, 33] and [k for k, _ in (a + b).iterrows()] == ["c", "a", "b"]
+    assert vals(((a + b) + a)["v"]) == [12, 24, 36]
+    both = concat([a, b.rename(columns={"v": "w"})], axis=1)
+    assert vals(both["v"]) == [1, 2, 3] and vals(both["w"]) == [10, 20, 30]
+
+
+def test_cumulative_axis_and_skipna(spark):
+    pdf = pd.DataFrame({"a": [1.0, np.nan, 3.0], "b": [np.nan, 2.0, 5.0], "c": [4.0, 1.0, 2.0]})
+    f = from_pandas(spark, pdf)
+    for how in ("cumsum", "cumprod", "cummin", "cummax"):
+        for kw in ({"axis": 1}, {"skipna": False}, {"axis": 1, "skipna": False}):
+            got, want = getattr(f, how)(**kw), getattr(pdf, how)(**kw)
+            for c in pdf:
+                _same(got[c].to_list(), want[c])
+
+
+def test_set_in_place(spark):
+    pdf = pd.DataFrame({"a": [1, 2, 3, 4], "b": [10, 20, 30, 40]}, index=list("wxyz"))
+    f = from_pandas(spark, pdf)
+    a = f["a"]
+    f["a"] = 0
+    assert vals(a) == [1, 2, 3, 4] and vals(f["a"]) == [0, 0, 0, 0]
+    f["a"] = a * 2
+    f["c"] = f["b"] + f["a"]
+    f[["b", "d"]] = [f["a"], 7]
+    assert vals(f["a"]) == [2, 4, 6, 8] and vals(f["b"]) == [2, 4, 6, 8] and vals(f["c"]) == [12, 24, 36, 48] and vals(f["d"]) == [7] * 4
+    f[f > 40] = -1
+    assert vals(f["c"]) == [12, 24, 36, -1]
+    f.loc["x", "d"] = 0
+    f.iloc[2:, 0] = 9
+    assert vals(f["d"]) == [7, 0, 7, 7] and vals(f["a"]) == [2, 4, 9, 9]
+    s = f["a"]
+    s["w"] = 5
+    s[s == 9] = 8
+    assert vals(s) == [5, 4, 8, 8] and vals(f["a"]) == [2, 4, 9, 9]
+    with pytest.raises(ValueError):
+        f[["a", "b"]] = [1, 2, 3]
+
+
+def test_where_and_mask_by_frames(spark):
+    pdf = pd.DataFrame({"a": [1, 2, 3], "b": [4, 5, 6]}, index=list("xyz"))
+    f = from_pandas(spark, pdf)
+    other = from_pandas(spark, pd.DataFrame({"a": [-1, -2], "b": [-3, -4]}, index=list("zx")))
+    cond = from_pandas(spark, pd.DataFrame({"a": [True, False, True], "b": [False, True, True]}, index=list("zyx")))
+    for name in ("where", "mask"):
+        want = getattr(pdf, name)(cond.to_pandas(), other.to_pandas().reindex(pdf.index))
+        got = getattr(f, name)(cond, other)
+        for c in pdf:
+            _same(got[c].to_list(), want[c])
+        for args in ((lambda x: x > 2, lambda x: x * 10), (lambda x: x["a"] > 1, 0)):
+            want = getattr(pdf, name)(*args) if name == "where" or args[1] == 0 else pdf.mask(*args)
+            got = getattr(f, name)(*args)
+            for c in pdf:
+                _same(got[c].to_list(), want[c])
+    assert vals(f["a"].where(f["b"] > 4, 0)) == [0, 2, 3]
+
+
+def test_levels_and_axes(spark):
+    pdf = pd.DataFrame({"g": list("aabb"), "i": [1, 2, 1, 2], "v": [1, 2, 3, 4], "w": [5.0, 6.0, 7.0, 8.0]}).set_index(["g", "i"])
+    f = from_pandas(spark, pdf)
+    for how in ("sum", "max", "mean", "count"):
+        assert getattr(f, how)(level="g").to_pandas()["v"].tolist() == getattr(pdf.groupby(level="g"), how)()["v"].tolist()
+    assert f["v"].sum(level=1).to_pandas()["v"].tolist() == [4, 6]
+    by = from_pandas(spark, pd.DataFrame({"v": [10, 20], "w": [1.0, 2.0]}, index=pd.Index(["a", "b"], name="g")))
+    assert vals(f.add(by, level="g")["v"]) == [11, 12, 23, 24] and vals(f.gt(by, level=0)["w"]) == [True] * 4
+    assert f.drop(index=["a"], level="g")["v"].to_list() == [3, 4]
+    one = from_pandas(spark, pd.DataFrame({"x": [3, 1], "y": [1, 2]}, index=["p", "q"]))
+    assert one.sort_values("p", axis=1).columns == ["y", "x"] and one.sort_values("q", axis=1).columns == ["x", "y"]
+    moved = one.sort_values("x")
+    assert [k for k, _ in moved.iterrows()] == ["q", "p"] and moved.head(1)["y"].to_list() == [2]
+    plain = from_pandas(spark, pd.DataFrame({"x": [3, 1, 2]})).sort_values("x")
+    assert plain.loc[1]["x"].to_list() == [1] and vals(plain["x"]) == [1, 2, 3]
+
+
+def test_functions_of_groups_and_values(spark):
+    pdf = pd.DataFrame({"k": list("aabbb"), "v": [1.0, 2, 3, 4, 5]})
+    f = from_pandas(spark, pdf)
+    assert f.groupby("k").filter(lambda g: len(g) > 2)["v"].to_list() == [3, 4, 5]
+    assert f.groupby("k").filter(lambda g: F.count("*") > 2)["v"].to_list() == [3, 4, 5]
+    assert f.groupby("k")[["v"]].transform(lambda s: s - s.mean())["v"].to_list() == [-0.5, 0.5, -1, 0, 1]
+    assert sorted(r[0] for r in f.groupby("k").apply(lambda g: pd.DataFrame({"m": [g.v.max()]})).collect()) == [2, 5]
+    assert f.set_index("v").groupby(lambda x: x > 2).size().to_pandas().tolist() == [2, 3]
+    with pytest.raises(NameError):
+        f[["v"]].applymap(lambda x: no_such_name(x))  # noqa: F821
+    assert f["v"].apply(lambda x: round(x) + 1).to_list() == [2, 3, 4, 5, 6]
