@@ -7,6 +7,7 @@ once when an operator needs it.  Relational operators never sort; only those tha
 
 from __future__ import annotations
 
+import math
 import operator
 
 import pandas as pd
@@ -725,8 +726,9 @@ class Frame:
     def head(self, n=5) -> Frame:
         if n < 0:
             return self.iloc[:n]
-        o = self.ordered()
-        return o._new(o.sdf.orderBy(*ordered._order(o.order)).limit(n))
+        if not self.order:  # a source's first rows: no pass over the rest
+            return self._new(self.sdf.limit(n))
+        return self._new(self.sdf.orderBy(*ordered._order(self.order)).limit(n))
 
     def tail(self, n=5) -> Frame:
         if n < 0:
@@ -1085,8 +1087,10 @@ class Series:
     def rank(self, **k):
         return self._back(self._frame().rank(**k))
 
-    def rolling(self, window: int, min_periods=None, center=False, closed=None):
-        return Rolling(self, window, min_periods, center, closed)
+    def rolling(self, window: int, min_periods=None, center=False, win_type=None, on=None, closed=None):
+        """Moving aggregates; ``win_type`` weighs the rows of a window (sum and mean), ``on`` is a column to order by."""
+        s = self if on is None else Series(Frame(self.frame.sdf, self.frame.columns, self.frame.index, [on, *(c for c in self.frame.order if c != on)]), self.expr, self.name)
+        return Rolling(s, window, min_periods, center, closed, win_type)
 
     def head(self, n=5):
         return self._back(self._frame().head(n))
@@ -1148,7 +1152,20 @@ class Series:
 class Rolling:
     """Moving aggregates of a series over ``window`` rows."""
 
-    def __init__(self, series: Series, window: int, min_periods=None, center=False, closed=None):
+    #: Weights of a window's n rows, by name.
+    WEIGHTS = {
+        "boxcar": lambda n: [1.0] * n,
+        "triang": lambda n: [1 - abs(2 * k - n + 1) / (n + n % 2) for k in range(n)],
+        "bartlett": lambda n: [1 - abs(2 * k / (n - 1) - 1) if n > 1 else 1.0 for k in range(n)],
+        "hann": lambda n: [0.5 - 0.5 * math.cos(2 * math.pi * k / (n - 1)) if n > 1 else 1.0 for k in range(n)],
+        "hamming": lambda n: [0.54 - 0.46 * math.cos(2 * math.pi * k / (n - 1)) if n > 1 else 1.0 for k in range(n)],
+        "blackman": lambda n: [0.42 - 0.5 * math.cos(2 * math.pi * k / (n - 1)) + 0.08 * math.cos(4 * math.pi * k / (n - 1)) if n > 1 else 1.0 for k in range(n)],
+    }
+
+    def __init__(self, series: Series, window: int, min_periods=None, center=False, closed=None, win_type=None):
+        if win_type is not None and (win_type not in self.WEIGHTS or closed is not None):
+            raise ValueError(f"win_type must be one of {sorted(self.WEIGHTS)}, without closed")
+        self.win_type = win_type
         self.s, self.window, self.least = series, window, window if min_periods is None else min_periods
         last = (window - 1) // 2 if center else 0
         self.lo, self.hi = last - window + 1, last
@@ -1164,6 +1181,14 @@ class Rolling:
 
         def one(w):
             frame = w.rowsBetween(self.lo, self.hi)
+            if self.win_type:
+                weights = self.WEIGHTS[self.win_type](self.window)
+                rows = [(x, F.lag(F.col("__v"), -k).over(w)) for x, k in zip(weights, range(self.lo, self.hi + 1), strict=True)]
+                total = sum((F.coalesce(F.lit(x) * v, F.lit(0.0)) for x, v in rows), F.lit(0.0))
+                if how not in ("sum", "mean"):
+                    raise ValueError(f"a weighted window has no {how}")
+                got = total if how == "sum" else F.try_divide(total, sum((F.when(v.isNotNull(), F.lit(x)).otherwise(0.0) for x, v in rows), F.lit(0.0)))
+                return F.when(F.count(F.col("__v")).over(frame) >= self.least, got)
             f_ = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max, "std": F.stddev_samp, "var": F.var_samp, "count": F.count, "median": F.median}[how]
             got = f_(F.col("__v")).over(frame)
             return got if how == "count" else F.when(F.count(F.col("__v")).over(frame) >= self.least, got)
@@ -1187,6 +1212,9 @@ def _values(value, cols: list[str]) -> dict[str, Column]:
 
 
 class _ILoc:
+    #: Slices that end by this position are cut from a top-k; later ones number all rows.
+    TOP = 10_000
+
     def __init__(self, frame: Frame):
         self.f = frame
 
@@ -1225,7 +1253,13 @@ class _ILoc:
         o = self.f.ordered()
         if isinstance(rows, slice) and rows == slice(None):
             return o._new(o.sdf, columns=names)
-        p = ordered.with_position(o.sdf, o.order)
+        narrow = o.sdf.select(*dict.fromkeys([*names, *o.index, *o.order]))
+        if isinstance(rows, slice) and all(x is None or isinstance(x, int) for x in (rows.start, rows.stop, rows.step)) and 0 <= (rows.start or 0) and 0 <= (-1 if rows.stop is None else rows.stop) <= self.TOP and (rows.step or 1) > 0:
+            keys = ordered._order(o.order)
+            p = narrow.orderBy(*keys).limit(rows.stop)  # a top-k; then a window over its rows
+            p = p.withColumn("__pos", F.row_number().over(Window.orderBy(*keys)).cast("long") - 1)
+        else:
+            p = ordered.with_position(narrow, o.order)
         return o._new(p.where(self._mask(rows, p.count)), columns=names)
 
     def set(self, key, value) -> Frame:

@@ -292,6 +292,17 @@ def concat_order(spark, sf_dir):
     return spark.createDataFrame([(i, k, int(r["v"]), int(r["w"])) for i, (k, r) in enumerate(concat([a, b], axis=1).iterrows())], "at int, k string, v int, w int")
 
 
+@query("SELECT event_id, CASE WHEN count(value) OVER w >= 3 THEN 0.5 * lag(value, 2) OVER o + lag(value) OVER o + 0.5 * value END AS t FROM events WINDOW o AS (ORDER BY ts, event_id), w AS (ORDER BY ts, event_id ROWS 2 PRECEDING)")
+def rolling_weighted(spark, sf_dir):
+    m = _table(spark, sf_dir, "events")["value"].rolling(3, win_type="triang", on="ts").sum()
+    return m.frame.sdf.select("event_id", F.col("__v").alias("t"))
+
+
+@query("SELECT o_orderkey FROM orders QUALIFY row_number() OVER (ORDER BY o_orderkey) IN (3, 6, 9)")
+def iloc_step(spark, sf_dir):
+    return _table(spark, sf_dir, "orders").iloc[2:10:3][["o_orderkey"]].to_spark()
+
+
 # -- setting
 @query("SELECT p_partkey, p_size * 2 AS p_size, p_size + 1 AS twice, 7 AS seven, upper(p_brand) AS p_brand FROM part")
 def setitem_columns(spark, sf_dir):
