@@ -1,18 +1,18 @@
-"""Repeated line runs by distributed prefix doubling over line-ID sequences, by DataFrame operations only.
+"""Repeated line runs from the suffix array of line-ID sequences, by distributed prefix doubling, by DataFrame operations only.
 
-The corpus is one sequence of lines, document by document.  Level 0 names a line by the first position that holds
-it; level k + 1 names the 2**(k + 1) lines from a position by the first position with the same pair of level-k
-names, at the position and 2**k lines on.  Positions with equal names are the suffixes of the suffix array whose
-common prefix has at least that many lines: its longest-common-prefix intervals, found without sorting suffixes.
-Positions whose name nothing else bears fall out at once, and as the shortest runs that count have at most
-``min_words`` lines, the doubling ends after log2(min_words) levels, however long the copies are.
+The corpus is one sequence of lines, document by document.  Level 0 ranks the positions by their line (the order of
+lines is that of their hashes); level k + 1 sorts them by the pair of level-k ranks at the position and 2**k lines on.
+The ranks of level k are the suffix array sorted by the first 2**k lines: positions of equal rank are the interval
+whose longest common prefix has at least that many.  A position whose rank nothing else bears has its place for good
+and falls out.  As the shortest runs that count have at most ``min_words`` lines, and longer common prefixes delete
+nothing more, doubling ends after log2(min_words) levels, however long the copies are.
 
 A run counts if it has at least ``min_words`` words.  For each line the shortest such runs that begin and that end
-there are looked up: two overlapping names of the largest fitting level make up a run's name, and the first position with a
-run's name keeps it.  Overlapping later copies unite to the maximal repeated runs, which are deleted.
+there are looked up: the ranks of two overlapping runs of the largest fitting level tell the interval of the run's length,
+and the first position in an interval keeps it.  Overlapping later copies unite to the maximal repeated runs, which are deleted.
 
-First positions are partial aggregates and come back by joins of stored tables, so that adaptive execution can
-split a line or passage that a third of the corpus shares.
+First positions are partial aggregates, only the different ranks are sorted, and both come back by joins of stored tables,
+so that adaptive execution can split a line or passage that a third of the corpus shares.
 """
 
 from __future__ import annotations
@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, release
+from ..functions.ordered import with_position
+from .common import free_name, materialize, release
 
 WIDE = "decimal(38,0)"
 
@@ -34,6 +35,24 @@ def _position(j):
     return (doc.cast(WIDE) + (F.pmod("k", F.lit(1 << 30)) * F.lit(1 << 32) + j).cast("decimal(20,0)")).cast(WIDE)
 
 
+def _ranks(repeated: DataFrame, *key: str) -> DataFrame:
+    """``(*key, rank)``: the different keys, numbered in order."""
+    stored = materialize(repeated.select(*key), "line-keys")
+    out = materialize(with_position(stored, list(key), "rank"), "line-names")
+    release(stored)
+    return out
+
+
+def doubled(level: DataFrame, size: int) -> DataFrame:
+    """``(d, k, j, name)``: from ranks by ``size`` lines those by twice as many, of the positions that share theirs."""
+    ahead = Window.partitionBy("d", "k").orderBy("j").rangeBetween(size, size)
+    pairs = materialize(level.withColumn("next", F.first("name").over(ahead)).where("next IS NOT NULL"), "line-pairs")
+    names = _ranks(pairs.groupBy("name", "next").agg(F.count("*").alias("n")).where("n > 1"), "name", "next")
+    out = materialize(pairs.join(names, ["name", "next"]).select("d", "k", "j", F.col("rank").alias("name")), "line-level")
+    release(pairs, names)
+    return out
+
+
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
     """``(d, k, first, last)``: the maximal line runs, by line number from 0, that copy an earlier one.
 
@@ -50,9 +69,9 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines = lines.select("d", "k", "j", F.col("s.i").alias("i"), F.xxhash64(x).alias("h1"), F.xxhash64(x, F.lit(1)).alias("h2"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("w"))
     lines = materialize(lines, "line-all")
     # repeated rows are one document: they have the same positions
-    seen = lines.groupBy("h1", "h2").agg(F.min(_position(F.col("j"))).alias("name"), F.max(_position(F.col("j"))).alias("last")).where("name != last")
-    seen = materialize(seen.select("h1", "h2", "name"), "line-names")
-    level = lines.join(seen, ["h1", "h2"]).select("d", "k", "j", "i", "w", "name").distinct()
+    seen = lines.groupBy("h1", "h2").agg(F.min(_position(F.col("j"))).alias("a"), F.max(_position(F.col("j"))).alias("b")).where("a != b")
+    seen = _ranks(seen, "h1", "h2")
+    level = lines.join(seen, ["h1", "h2"]).select("d", "k", "j", "i", "w", F.col("rank").alias("name")).distinct()
     level = materialize(level, "line-level")
     release(lines, seen)
 
@@ -83,12 +102,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         later.append(materialize(named.join(first, ["n", "one", "two"]).where(_position(F.col("s")) != F.col("p")).select("d", "k", "first", "last"), "line-later"))
         release(named, first)
         if 2 * size <= most:
-            on = F.first("name").over(doc.orderBy("j").rangeBetween(size, size))
-            pairs = materialize(level.withColumn("next", on).where("next IS NOT NULL"), "line-pairs")
-            names = pairs.groupBy("name", "next").agg(F.min(_position(F.col("j"))).alias("p"), F.count("*").alias("n")).where("n > 1")
-            names = materialize(names.select("name", "next", "p"), "line-names")
-            level = materialize(pairs.join(names, ["name", "next"]).select("d", "k", "j", F.col("p").alias("name")), "line-level")
-            release(pairs, names)
+            level = doubled(level, size)
         size *= 2
     if not later:
         return spark.createDataFrame([], f"d {docs.schema[id_col].dataType.simpleString()}, k long, first int, last int")
@@ -108,7 +122,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     and get equal results; lines and texts count whole at any length; an empty table gives no row; extra columns of
     any name are carried along.
     """
-    d, k, gone = (next(n for i in range(len(docs.columns) + 1) if (n := f"{x}{i}") not in docs.columns) for x in ("_doc", "_key", "_gone"))
+    d, k, gone = (free_name(docs, x) for x in ("doc", "key", "gone"))
     runs = repeated_runs(docs, id_col, text_col, min_words).groupBy(F.col("d").alias(d), F.col("k").alias(k)).agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias(gone))
     keep = F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.exists(gone, lambda r: i.between(r["first"], r["last"])))
     # one plan at every size: texts are dealt by id once, whether or not the runs of a small corpus would fit a broadcast

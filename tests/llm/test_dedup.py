@@ -263,3 +263,18 @@ def test_embeddings_in_many_tables(spark, monkeypatch):
     u = v.astype("f8") / np.linalg.norm(v.astype("f8"), axis=1, keepdims=True)
     near = (u @ u.T >= 0.9).sum(1) - 1
     assert sum(got[i or None] == near[i] for i in range(len(v))) >= len(v) - 2 and all(got[i or None] <= near[i] for i in range(len(v)))
+
+
+def test_ranks_are_those_of_a_naive_suffix_array(spark):
+    """Ranks by prefix doubling against the sorted suffixes of each sequence's first 2, 4 and 8 lines."""
+    rng = random.Random(6)
+    docs = [[rng.randrange(3) for _ in range(rng.randrange(1, 30))] for _ in range(12)]
+    rows = [(d, 0, j, x) for d, xs in enumerate(docs) for j, x in enumerate(xs)]
+    level, size = spark.createDataFrame(rows, "d long, k long, j int, name long"), 1
+    while size < 8:
+        level = line_dedup.doubled(level, size)
+        size *= 2
+        part = {(d, j): tuple(xs[j : j + size]) for d, xs in enumerate(docs) for j in range(len(xs) - size + 1)}
+        several = {p for p in part.values() if list(part.values()).count(p) > 1}
+        order = {p: n for n, p in enumerate(sorted(several))}
+        assert {(r.d, r.j): r.name for r in level.collect()} == {at: order[p] for at, p in part.items() if p in several}
