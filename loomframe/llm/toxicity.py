@@ -45,8 +45,8 @@ def _gain(pos, n, prior: float, log=np.log):
     return n * (p * log(p / prior) + (1 - p) * log((1 - p) / (1 - prior)))
 
 
-def mine(train: DataFrame, rate: float = 0.05, held: int = 300_000) -> list[str]:
-    """The telling words (`` word ``) and beginnings (`` begi``) of ``train(text, toxic)``, most telling first.
+def mine(train: DataFrame, rows: int, toxic: int, rate: float = 0.05, held: int = 300_000) -> list[str]:
+    """The telling words (`` word ``) and beginnings (`` begi``) of ``train(text, toxic)``, ``toxic`` of ``rows``; most telling first.
 
     A voter must be right more often than not where it votes toxic, and halve the share of toxic rows where it votes
     clean.  It is taken if its gain is beyond log(patterns / (rate * taken)): by Chernoff's bound at most the share
@@ -74,7 +74,6 @@ def mine(train: DataFrame, rate: float = 0.05, held: int = 300_000) -> list[str]
                     yield from flush()
         yield from flush()
 
-    rows, toxic = train.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not toxic or toxic == rows:
         return []
     prior = toxic / rows
@@ -117,60 +116,81 @@ def _automaton(voters: list[str]):
     return a
 
 
-def _counts(texts: list[str | None], auto, n: int) -> np.ndarray:
-    """How often each voter fires on each text; in the last column the number of words."""
-    out = np.zeros((len(texts), n + 1))
-    for row, text in zip(out, texts, strict=True):
+def _fires(texts: list[str | None], auto) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, voter, times) of the voters that fire, row by row, and the number of words of each text."""
+    rows, voters, times, words = [], [], [], []
+    for row, text in enumerate(texts):
         plain = _plain(text)
-        for _, i in auto.iter(plain):
-            row[i] += 1
-        row[n] = plain.count(" ") - 1
-    return out
-
-
-def _parents(rest: np.ndarray, least: float) -> np.ndarray:
-    """For each column the one that it hangs on in the tree of largest correlations, or -1."""
-    corr = np.abs(rest.T @ rest) / len(rest)
-    np.fill_diagonal(corr, 0)
-    v = len(corr)
+        got = Counter(i for _, i in auto.iter(plain)) if auto else {}
+        rows += [row] * len(got)
+        voters += got.keys()
+        times += got.values()
+        words.append(plain.count(" ") - 1)
+    return tuple(np.array(x, np.int64) for x in (rows, voters, times, words))
+
+
+def _parents(rows: np.ndarray, cols: np.ndarray, q: np.ndarray, fire: np.ndarray, least: float) -> np.ndarray:
+    """For each voter the one that it hangs on in the tree of largest correlations within the classes, or -1."""
+    n, v = len(q), fire.shape[1]
+    f, d = fire[0], fire[1] - fire[0]
+    count, weight = np.bincount(cols, minlength=v), np.bincount(cols, q[rows], v)
+    order = np.argsort(cols, kind="stable")
+    of = np.concatenate([[0], np.cumsum(count)])  # rows of a voter: rows[order][of[i]:of[i + 1]]
+    begin = np.searchsorted(rows, np.arange(n + 1))  # voters of a row
+    q1, q2 = q.sum(), (q * q).sum()
+
+    def cov(i):
+        together = np.zeros(v)
+        for r in rows[order[of[i] : of[i + 1]]].tolist():
+            together[cols[begin[r] : begin[r + 1]]] += 1
+        return together - f[i] * count - d[i] * weight - f * count[i] - d * weight[i] + n * f[i] * f + (f[i] * d + d[i] * f) * q1 + d[i] * d * q2
+
+    own = count - 2 * (f * count + d * weight) + n * f * f + 2 * f * d * q1 + d * d * q2
+    own = np.sqrt(np.maximum(own, 1e-9))
     parent, near, free = np.full(v, -1), np.zeros(v), np.ones(v, bool)
     for _ in range(v):
-        at = np.flatnonzero(free)[near[free].argmax()]
+        at = int(np.flatnonzero(free)[near[free].argmax()])
         free[at] = False
         if near[at] < least:
             parent[at] = -1
-        closer = free & (corr[at] > near)
-        near[closer], parent[closer] = corr[at][closer], at
+        corr = np.abs(cov(at)) / (own * own[at])
+        closer = free & (corr > near)
+        near[closer], parent[closer] = corr[closer], at
     return parent
 
 
-def label_model(votes: np.ndarray, human: np.ndarray, trust: float = 0.95, weight: float = 50, least: float = 0.1, rounds: int = 40) -> tuple[np.ndarray, float]:
-    """P(label 1) of each row from binary votes (rows x voters) and the human mark, and the mark's estimated accuracy.
+def label_model(rows: np.ndarray, cols: np.ndarray, voters: int, human: np.ndarray, trust: float = 0.95, weight: float = 50, least: float = 0.1, rounds: int = 40) -> tuple[np.ndarray, float]:
+    """P(label 1) of each row, and the estimated accuracy of the mark ``human``, from the (row, voter) that fire, by row.
 
     ``trust`` is where the estimate of the mark's accuracy starts, with the weight of ``weight`` rows.
     """
-    votes = votes.astype(np.float32)
+    n = len(human)
     h = (human > 0).astype(np.float64)
     q = np.where(h > 0, trust, 1 - trust)
-    fire = np.stack([(1 - q) @ votes / (1 - q).sum(), q @ votes / q.sum()])
-    rest = votes - (np.outer(q, fire[1]) + np.outer(1 - q, fire[0])).astype(np.float32)
-    rest /= np.sqrt((rest**2).mean(0)) + 1e-9
-    parent = _parents(rest, least)
-    del rest
-    up = votes[:, parent] * (parent >= 0)  # a voter without another hangs on one that never fires
-    both = votes * up
+    by_voter = lambda at, w: np.bincount(cols[at], w[rows[at]], voters)
+    all_ = np.arange(len(rows))
+    fire = np.stack([by_voter(all_, 1 - q) / (1 - q).sum(), by_voter(all_, q) / q.sum()])
+    parent = _parents(rows, cols, q, fire, least)
+    # where a voter's parent fires: (row, child) pairs; and where both do
+    children = np.argsort(parent, kind="stable")
+    lo, hi = (np.searchsorted(parent[children], cols, s) for s in ("left", "right"))
+    size = hi - lo
+    pick = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
+    up_rows, up_cols = np.repeat(rows, size), children[pick]
+    both = np.isin(rows * voters + cols, up_rows * voters + up_cols)
+    up = lambda w: np.bincount(up_cols, w[up_rows], voters)
     right = trust
     for _ in range(rounds):
         table = []
         for w in (1 - q, q):
-            v, u, vu, n = w @ votes, w @ up, w @ both, w.sum()
-            mean = (v + 0.5) / (n + 1)
-            p0, p1 = (v - vu + mean) / (n - u + 1), (vu + mean) / (u + 1)
-            table.append((p0, p1))
+            v, u, vu, m = by_voter(all_, w), up(w), by_voter(np.flatnonzero(both), w), w.sum()
+            mean = (v + 0.5) / (m + 1)
+            table.append(((v - vu + mean) / (m - u + 1), (vu + mean) / (u + 1)))
         (a0, a1), (b0, b1) = (tuple(np.clip(x, 1e-6, 1 - 1e-6) for x in t) for t in table)
         on0, on1, off0, off1 = np.log(b0 / a0), np.log(b1 / a1), np.log((1 - b0) / (1 - a0)), np.log((1 - b1) / (1 - a1))
-        logit = off0.sum() + votes @ (on0 - off0) + up @ (off1 - off0) + both @ (on1 - on0 - off1 + off0)
-        right = ((q * h + (1 - q) * (1 - h)).sum() + trust * weight) / (len(h) + weight)
+        logit = off0.sum() + np.bincount(rows, (on0 - off0)[cols], n) + np.bincount(up_rows, (off1 - off0)[up_cols], n)
+        logit += np.bincount(rows[both], (on1 - on0 - off1 + off0)[cols[both]], n)
+        right = ((q * h + (1 - q) * (1 - h)).sum() + trust * weight) / (n + weight)
         logit = logit + np.log(q.mean() / (1 - q.mean())) + np.where(h > 0, 1, -1) * np.log(right / (1 - right))
         new = 1 / (1 + np.exp(-np.clip(logit, -9, 9)))
         if np.abs(new - q).max() < 1e-4:
@@ -179,27 +199,47 @@ def label_model(votes: np.ndarray, human: np.ndarray, trust: float = 0.95, weigh
     return q, float(right)
 
 
-def _features(counts: np.ndarray) -> np.ndarray:
-    fires, words = counts[:, :-1], counts[:, -1]
-    total = fires.sum(1)
-    return np.column_stack([np.log1p(fires), np.log1p(total), np.log1p((fires > 0).sum(1)), np.sqrt(total / np.maximum(1, words)), np.ones(len(counts))]).astype(np.float64)
+class _Features:
+    """log(1 + times) of each voter, sparse, and what all of them together tell of a text."""
+
+    def __init__(self, rows, cols, times, words, voters: int):
+        self.rows, self.cols, self.n, self.voters = rows, cols, len(words), voters
+        self.values = np.log1p(times)
+        total = np.bincount(rows, times, self.n)
+        self.rest = np.column_stack([np.log1p(total), np.log1p(np.bincount(rows, minlength=self.n)), np.sqrt(total / np.maximum(1, words)), np.ones(self.n)])
 
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.rows, self.values * w[: self.voters][self.cols], self.n) + self.rest @ w[self.voters :]
 
-def _logistic(counts: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 25, block: int = 2000) -> np.ndarray:
-    size = counts.shape[1] + 3
-    w = np.zeros(size)
-    keep = np.full(size, ridge)
+    def back(self, u: np.ndarray, squared: bool = False) -> np.ndarray:
+        v, r = (self.values**2, self.rest**2) if squared else (self.values, self.rest)
+        return np.concatenate([np.bincount(self.cols, v * u[self.rows], self.voters), r.T @ u])
+
+
+def _logistic(x: _Features, y: np.ndarray, ridge: float = 0.05, rounds: int = 25) -> np.ndarray:
+    """Newton's steps, each solved by conjugate gradients."""
+    w = np.zeros(x.voters + 4)
+    keep = np.full(len(w), ridge)
     keep[-1] = 1e-6
     for _ in range(rounds):
-        h, g = np.diag(keep), -keep * w
-        for at in range(0, len(counts), block):
-            x = _features(counts[at : at + block])
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            h += (x * (p * (1 - p) + 1e-6)[:, None]).T @ x
-            g += x.T @ (y[at : at + block] - p)
-        step = np.linalg.solve(h, g)
+        p = 1 / (1 + np.exp(-np.clip(x.dot(w), -30, 30)))
+        curve = p * (1 - p) + 1e-6
+        residual = x.back(y - p) - keep * w
+        scale = 1 / (x.back(curve, squared=True) + keep)
+        step, z = np.zeros(len(w)), scale * residual
+        along, rz = z, residual @ z
+        for _ in range(200):
+            if rz < 1e-12:
+                break
+            h = x.back(curve * x.dot(along)) + keep * along
+            alpha = rz / (along @ h)
+            step += alpha * along
+            residual = residual - alpha * h
+            z = scale * residual
+            rz, was = residual @ z, rz
+            along = z + rz / was * along
         w += step
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-5:
             break
     return w
 
@@ -212,36 +252,44 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     both labels among the rows, as in empty tables, the model scores every text by their share.
     """
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("toxic"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(marks, "id").select("text", "toxic")
-    rows = materialize(rows.groupBy("text").agg(F.max("toxic").alias("toxic")), "tox-train")
-    found = mine(rows, rate)
+    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h1"), F.xxhash64(text_col, F.lit(1)).alias("h2"), F.col(text_col).alias("text"))
+    # one row stands for equal texts; found by hashes, so that texts are dealt once
+    marks = materialize(source.select("id", "h1", "h2").join(marks, "id").groupBy("h1", "h2").agg(F.min("id").alias("id"), F.max("toxic").alias("toxic")), "tox-marks")
+    size, toxic = marks.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    keys = ["id", "h1", "h2"]
+    rows = source.join(marks.hint("merge"), keys).groupBy(*keys).agg(F.first("text").alias("text"), F.first("toxic").alias("toxic"))
+    found = mine(rows, size, toxic, rate)
     if not found:
-        share = rows.agg(F.avg("toxic")).first()[0] or 0.0
-        share = min(max(share, 1e-3), 1 - 1e-3)
-        release(rows)
+        share = min(max(toxic / max(1, size), 1e-3), 1 - 1e-3)
+        release(marks)
         return {"voters": [], "weights": np.array([0.0, 0.0, 0.0, np.log(share / (1 - share))]), "mark": None}
 
     def fired(it):
         auto = _automaton(found)
         for b in it:
-            c = _counts(b.column(0).to_pylist(), auto, len(found)).astype("<u4")
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in c], pa.binary()), b.column(1)], ["counts", "toxic"])
-
-    some = rows.where(F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / max(1, rows.count()))))
-    got = some.mapInArrow(fired, "counts binary, toxic int").toArrow()
-    human = got["toxic"].to_numpy()
-    counts = np.frombuffer(b"".join(got["counts"].to_pylist()), "<u4").reshape(-1, len(found) + 1)
-    del got
-    release(rows)
-    votes = counts[:, :-1] > 0
-    posterior, mark = label_model(votes[:, votes.any(0)], human)
-    return {"voters": found, "weights": _logistic(counts, posterior), "mark": mark}
+            rows_, voters, times, words = _fires(b.column(0).to_pylist(), auto)
+            at = pa.array(np.searchsorted(rows_, np.arange(len(b) + 1)), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(at, pa.array(voters, pa.int64())), pa.ListArray.from_arrays(at, pa.array(times, pa.int64())), pa.array(words), b.column(1)], ["voters", "times", "words", "toxic"])
+
+    some = marks.where(F.pmod("h2", F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / size)))
+    some = source.join(F.broadcast(some), keys).dropDuplicates(keys)  # about ``sample`` rows, whatever the table's size
+    got = some.select("text", "toxic").mapInArrow(fired, "voters array<long>, times array<long>, words long, toxic int").toArrow().combine_chunks()
+    size = np.array([len(x) for x in got["voters"]], np.int64)
+    at = np.repeat(np.arange(len(size)), size)
+    voter, times = (np.concatenate([c.flatten().to_numpy() for c in got[n].chunks] + [np.zeros(0, np.int64)]) for n in ("voters", "times"))
+    words, human = got["words"].to_numpy(), got["toxic"].to_numpy()
+    release(marks)
+    seen, used = np.unique(voter, return_inverse=True)
+    if not len(seen):
+        return {"voters": [], "weights": np.array([0.0, 0.0, 0.0, np.log((human.sum() + 0.5) / (len(human) - human.sum() + 0.5))]), "mark": None}
+    posterior, mark = label_model(at, used, len(seen), human)
+    return {"voters": [found[i] for i in seen], "weights": _logistic(_Features(at, used, times, words, len(seen)), posterior), "mark": mark}
 
 
 def scores(texts: list[str | None], model: dict, auto=None) -> np.ndarray:
     n = len(model["voters"])
-    c = _counts(texts, auto or _automaton(model["voters"]), n) if n else np.zeros((len(texts), 1))
-    return 1 / (1 + np.exp(-np.clip(_features(c) @ model["weights"], -30, 30)))
+    x = _Features(*_fires(texts, auto or (_automaton(model["voters"]) if n else None)), n)
+    return 1 / (1 + np.exp(-np.clip(x.dot(model["weights"]), -30, 30)))
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

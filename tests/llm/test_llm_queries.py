@@ -19,7 +19,7 @@ def test_query(spark, name):
     sql = llm.oracle_sql().get(name)
     if sql:
         c = duckdb.connect()
-        for t in ("documents", "pages"):
+        for t in ("documents", "pages", "conversations"):
             c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
         rel = c.sql(sql)
         want = [dict(zip(rel.columns, r, strict=True)) for r in rel.fetchall()]

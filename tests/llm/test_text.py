@@ -52,7 +52,7 @@ def test_label_model_trusts_good_voters():
     rng = np.random.default_rng(0)
     y = rng.random(2000) < 0.3
     v = np.stack([np.where(rng.random(2000) < p, y, ~y) for p in (0.9, 0.85, 0.5)] * 2, 1).astype(float)
-    q, _ = toxicity.label_model(v, np.where(rng.random(2000) < 0.9, y, ~y).astype(int), trust=0.9)
+    q, _ = toxicity.label_model(*np.nonzero(v), 6, np.where(rng.random(2000) < 0.9, y, ~y).astype(int), trust=0.9)
     assert ((q > 0.5) == y).mean() > 0.95
 
 
@@ -298,7 +298,7 @@ def test_label_model_estimates_the_mark_and_copied_voters():
     noise = rng.random(6000) < 0.25
     copied = [np.where(rng.random(6000) < 0.97, noise, ~noise) for _ in range(12)]  # a dozen voters that repeat each other
     marks = np.where(rng.random(6000) < 0.9, y, ~y).astype(int)
-    q, right = toxicity.label_model(np.stack(lone + copied, 1), marks)
+    q, right = toxicity.label_model(*np.nonzero(np.stack(lone + copied, 1)), 16, marks)
     assert abs(right - 0.9) < 0.03 and ((q > 0.5) == y).mean() > (marks == y).mean()
 
 
