@@ -106,7 +106,7 @@ def _linked(keys: np.ndarray, side: np.ndarray, node: np.ndarray, fp: np.ndarray
                 root = root[root]
             a, b = root[a], root[b]
     moved = np.flatnonzero(root != np.arange(len(root)))
-    return value[moved], value[root[moved]], np.zeros(len(moved), np.int64)
+    yield value[moved], value[root[moved]], np.zeros(len(moved), np.int64)
 
 
 def _links(posts: DataFrame, radius: int, least: int, pick=_linked, chunk: int = 200_000) -> DataFrame:
@@ -122,14 +122,14 @@ def _links(posts: DataFrame, radius: int, least: int, pick=_linked, chunk: int =
             start = raw.buffers()[1]
             at = np.frombuffer(start, np.int32)[raw.offset : raw.offset + len(raw) + 1]
             fp = np.frombuffer(raw.buffers()[2], np.uint8)[at[0] : at[-1]].reshape(len(raw), -1)[:upto]
-            found = pick(k[:upto], s[:upto], n[:upto], np.ascontiguousarray(fp).view(np.uint64), radius, least)
             rest, keep = upto, []
             for x in held:
                 if rest < len(x):
                     keep.append(x.slice(rest))
                 rest = max(0, rest - len(x))
             held[:] = keep
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["a", "b", "far"])
+            for found in pick(k[:upto], s[:upto], n[:upto], np.ascontiguousarray(fp).view(np.uint64), radius, least):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["a", "b", "far"])
 
         for batch in it:
             if not len(batch):
@@ -140,10 +140,10 @@ def _links(posts: DataFrame, radius: int, least: int, pick=_linked, chunk: int =
                 k = np.concatenate([b.column(0).to_numpy() for b in held])
                 cut = int(np.searchsorted(k, k[-1]))
                 if cut:
-                    yield flush(cut)
+                    yield from flush(cut)
                     rows = sum(map(len, held))
         if held:
-            yield flush(rows)
+            yield from flush(rows)
 
     return posts.repartition("key").sortWithinPartitions("key").select("key", "side", "node", "fp").mapInArrow(links, "a long, b long, far long")
 
@@ -292,7 +292,45 @@ def _forest(keys: np.ndarray, side: np.ndarray, node: np.ndarray, fp: np.ndarray
     if held:
         merge()
     a, b, far = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
-    return np.minimum(value[a], value[b]), np.maximum(value[a], value[b]), far
+    yield np.minimum(value[a], value[b]), np.maximum(value[a], value[b]), far
+
+
+def _crossing(keys: np.ndarray, side: np.ndarray, node: np.ndarray, fp: np.ndarray, radius: int, least: int, hold: int = 500_000):
+    """All pairs (node, node, distance) that ``_linked`` compares and whose classes differ; a class is the last word of fp."""
+    fp, own = np.ascontiguousarray(fp[:, :-1]), fp[:, -1].copy()
+    at = np.arange(len(keys))
+    size = 8 * fp.shape[1]
+    held, count, d = [], 0, 0
+
+    def told():
+        a, b, far = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        order = np.lexsort((b, a))  # a pair meets in several lists of a task
+        first = order[(np.diff(a[order], prepend=-1) != 0) | (np.diff(b[order], prepend=-1) != 0)]
+        return a[first], b[first], far[first]
+
+    while len(at):
+        d += 1
+        at = at[at + d < len(keys)]
+        at = at[keys[at] == keys[at + d]]
+        use = (((side[at] | side[at + d]) == 0) | ((side[at] | side[at + d]) == 3) & (side[at] != side[at + d])) & (own[at] != own[at + d])
+        for part in np.array_split(at[use], 1 + len(at) // hold):
+            i, j = part, part + d
+            x = fp[i] ^ fp[j]
+            z = x | (x >> np.uint64(4))
+            z |= z >> np.uint64(2)
+            z |= z >> np.uint64(1)
+            ok = size - np.bitwise_count(z & np.uint64(0x0101010101010101)).sum(1, dtype=np.int64) >= least
+            far = np.bitwise_count(x[ok]).sum(1, dtype=np.int64)
+            near = far <= radius
+            a, b = node[i[ok][near]], node[j[ok][near]]
+            held.append((np.minimum(a, b), np.maximum(a, b), far[near]))
+            count += len(a)
+            if count > hold:
+                yield told()
+                count = 0
+    if held:
+        yield told()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -302,13 +340,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return pairs.select("a", "b").join(one, "a").join(two, "b").where(common * (1 + similarity) >= similarity * (F.size("s") + F.size("t")) - 1e-6).select("a", "b")
 
 
-def _similar_links(pairs: DataFrame, sets: DataFrame, similarity: float, rounds: int = 3) -> DataFrame:
-    """Links ``(a, b)`` among ``pairs(a, b, far)`` that hold exactly and connect all that such links connect.
+def _similar_links(pairs: DataFrame, sets: DataFrame, similarity: float, good: DataFrame | None = None, rounds: int = 3) -> DataFrame:
+    """Links ``(a, b)``, those of ``good`` among them, among ``pairs(a, b, far, ca, cb)`` that hold exactly and connect all that such links connect.
 
-    In each of ``rounds`` rounds every class tries its nearest pair to another class; then what is left is tried.
+    ca and cb are the classes that ``good`` makes of a and b.  In each of ``rounds`` rounds every class tries its
+    nearest pair to another class; then what is left is tried.
     """
-    good = None
-    left = materialize(pairs.groupBy("a", "b").agg(F.min("far").alias("far")).select("a", "b", "far", F.col("a").alias("ca"), F.col("b").alias("cb")), "simhash-left")
+    left = materialize(pairs.groupBy("a", "b", "ca", "cb").agg(F.min("far").alias("far")).select("a", "b", "far", "ca", "cb"), "simhash-left")
     for last in [False] * rounds + [True]:
         if left.isEmpty():
             break
@@ -324,14 +362,48 @@ def _similar_links(pairs: DataFrame, sets: DataFrame, similarity: float, rounds:
         if last:
             break
         comp = materialize(connected_components(good), "simhash-comp")
-        rest = left.select("a", "b", "far").join(tried, ["a", "b"], "left_anti")
-        for end in "ab":
-            rest = rest.join(comp.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
+        rest = _ends(left.select("a", "b", "far").join(tried, ["a", "b"], "left_anti"), comp)
         rest = materialize(rest.where("ca != cb").select("a", "b", "far", "ca", "cb"), "simhash-left")
         release(left, tried, comp)
         left = rest
     release(left)
-    return good if good is not None else pairs.select("a", "b").limit(0)
+    return good if good is not None else materialize(pairs.select("a", "b").limit(0), "simhash-good")
+
+
+def _ends(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """``pairs`` with the components ca and cb of a and b; a node without links is its own."""
+    for end in "ab":
+        pairs = pairs.join(comp.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
+    return pairs
+
+
+def _all_links(nodes: DataFrame, post, pairs: DataFrame, sets: DataFrame, similarity: float, radius: int, least: int, block: int) -> DataFrame:
+    """Links ``(a, b)`` that hold exactly and connect all that such links among candidates of ``post(nodes)`` connect.
+
+    ``pairs(a, b, far)`` span the candidates of each list.  Where one of them does not hold, it may have stood for
+    candidates that do: the classes that such pairs join are posted again, and all their candidates of different
+    classes are tried.  Elsewhere a list's candidates are one class already.
+    """
+    good = _similar_links(pairs.withColumns({"ca": F.col("a"), "cb": F.col("b")}), sets, similarity)
+    comp = materialize(connected_components(good), "simhash-comp")
+    failed = materialize(_ends(pairs.select("a", "b").distinct(), comp).where("ca != cb"), "simhash-failed")
+    if failed.isEmpty():
+        release(comp, failed)
+        return good
+    group = materialize(connected_components(failed, "ca", "cb").select(F.col("node").alias("class"), F.col("component").alias("group")), "simhash-group")
+    ends = failed.select(F.explode(F.array(F.struct(F.col("ca").alias("class")), F.struct(F.col("cb").alias("class")))).alias("c")).select("c.class").distinct()
+    members = comp.select("node", F.col("component").alias("class")).join(ends, "class", "right").select(F.coalesce("node", "class").alias("node"), "class")
+    members = materialize(members.join(group, "class"), "simhash-open")
+    word = F.unhex(F.lpad(F.hex("class"), 16, "0"))
+    again = post(nodes.join(members, "node"), word.alias("word"), "group")
+    again = again.select("node", F.concat("fp", "word").alias("fp"), F.xxhash64("key", "group").alias("key"))
+    hot = materialize(again.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block), "simhash-lists")
+    more = _links(_dealt(again, hot, block, "left"), radius, least, _crossing).groupBy("a", "b").agg(F.min("far").alias("far"))
+    more = materialize(_ends(more.join(failed.select("a", "b"), ["a", "b"], "left_anti"), comp), "simhash-more")
+    release(hot, comp, failed, group, members)
+    good = _similar_links(more, sets, similarity, good)
+    release(more)
+    return good
 
 
 def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, recall: float = 0.95, size: int = 2, radius: int = 56, least: int = 3, block: int = 2048) -> DataFrame:
@@ -342,8 +414,9 @@ def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     as many as find the share ``recall`` of pairs at that similarity, tally (``least`` of the 32 positional bytes)
     and distance (``radius`` bits) included; see ``byte_groups``.  Nothing depends on the number of texts: lists
     hold about texts / 256 ** size, so that ``size`` is to be 2 up to some 10 million different texts and one more
-    for each 256 times as many.  Pairs found span their list, nearest first, and link only if their shingle sets
-    have the similarity exactly, up to 32-bit collisions.
+    for each 256 times as many.  Pairs found link only if their shingle sets have the similarity exactly, up to
+    32-bit collisions.  Those that span their list, nearest first, are tried first; where one of them does not hold,
+    all pairs found between the classes so far are.
 
     Null and empty texts, and texts without words, are one class; repeated rows get equal results; a null id never
     names a class that has another; an empty table gives no row; texts of any length count whole; columns of ``df``
@@ -362,14 +435,19 @@ def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     nodes = materialize(nodes, "simhash-nodes")
     groups = byte_groups(size, radius, least, similarity, recall)
     keys = F.array(*(F.xxhash64(F.lit(t), *(F.substring("key", p + 1, 1) for p in g)) for t, g in enumerate(groups)))
-    posts = nodes.where(F.col("key") != F.lit(bytes(40))).select("node", F.substring("key", 1, 32).alias("fp"), F.explode(keys).alias("key"))
+
+    def post(some, *more):
+        return some.where(F.col("key") != F.lit(bytes(40))).select("node", *more, F.substring("key", 1, 32).alias("fp"), F.explode(keys).alias("key"))
+
+    posts = post(nodes)
     hot = materialize(posts.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block), "simhash-lists")
     pairs = materialize(_links(_dealt(posts, hot, block, "left"), radius, least, _forest), "simhash-pairs")
     linked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node")
     sets = rows.alias("r").join(linked.alias("n"), (F.col("r.key") == F.col("n.key")) & F.col(f"r.{id_col}").eqNullSafe(F.col("n.rep")))
     sets = materialize(sets.groupBy("n.node").agg(F.any_value("r.set").alias("set")), "simhash-sets")
-    known = _classes(nodes, _similar_links(pairs, sets, similarity), "key")
-    release(hot, pairs, sets)
+    good = _all_links(nodes, post, pairs, sets, similarity, radius, least, block)
+    known = _classes(nodes, good, "key")
+    release(hot, pairs, sets, good)
     return rows.join(known, "key").select(id_col, "key", "class", "component_id")
 
 

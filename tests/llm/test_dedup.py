@@ -226,6 +226,33 @@ def test_similar_classes_verify_exactly(spark):
     assert sum(got[i] == want[i] for i in range(len(texts))) >= 0.95 * len(texts)
 
 
+@pytest.mark.parametrize("block", [16, 2048])
+def test_similar_classes_lose_no_pair_found(spark, block):
+    """Crowds about the similarity: pairs that do not hold hide none that do, whichever of them span a list."""
+    rng = random.Random(31)
+    pool = [f"w{i}" for i in range(3000)]
+    texts = []
+    for edits in (2, 3, 3, 4, 4, 5):
+        base = [rng.choice(pool) for _ in range(120)]
+        for _ in range(40):
+            t = list(base)
+            for _ in range(edits):
+                t[rng.randrange(len(t))] = rng.choice(pool)
+            texts.append(" ".join(t))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_classes(df, block=block).collect()}
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    key = [np.frombuffer(simhash.wide_key(simhash.shingles(t))[:32], np.uint8) for t in texts]
+    groups = simhash.byte_groups(2, 56, 3, 0.8, 0.95)
+
+    def found(a, b):
+        same = key[a] == key[b]
+        return same.sum() >= 3 and np.bitwise_count(key[a] ^ key[b]).sum() <= 56 and any(same[list(g)].all() for g in groups)
+
+    links = [(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b])) and found(a, b)]
+    assert list(got.values()).count(0) < len(texts) / 2 and [got[i] for i in range(len(texts))] == components(len(texts), links)
+
+
 def test_near_copies_with_clashing_columns(spark):
     text = " ".join(f"w{i}" for i in range(50))
     rows = [("b", text, 1), ("a", text + " end", 2), ("a", text + " end", 2), ("a", "other words", 3), (None, "lone", 4), (None, "lone", 5)]
