@@ -35,6 +35,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def by_bytes(batches, limit: int = 1 << 21):
+    """The rows of ``batches`` in slices of some ``limit`` bytes, a row at least: what a worker turns to objects at once."""
+    for b in batches:
+        rows = max(1, len(b) * limit // max(1, b.nbytes))
+        for at in range(0, len(b), rows):
+            yield b.slice(at, rows)
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that ``df`` lacks, whatever its case."""
     taken = {c.lower() for c in df.columns}

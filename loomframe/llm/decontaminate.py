@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import by_bytes
+
 SHORT = 32
 _K1 = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = 22
@@ -257,7 +259,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         item_type = pa.array([x for g in ids for x in g]).type
 
         def batches(it, match=match, ids=ids, items=items, item_type=item_type):
-            for b in it:
+            for b in by_bytes(it):
                 got = [(r, x, d, len(items[i]), e) for r, i, d, e in match(b.column(1).to_pylist()) for x in ids[i]]
                 r, x, d, n, e = zip(*got, strict=True) if got else ([],) * 5
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(r, pa.int64())), pa.array(x, item_type), *(pa.array(c, pa.int32()) for c in (d, n, e))], [id_col, item_col, "distance", "item_length", "end"])
@@ -274,7 +276,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
         match = Matcher(items, rate)
 
         def batches(it, match=match):
-            for b in it:
+            for b in by_bytes(it):
                 bad = {r for r, *_ in match(b.column(b.schema.get_field_index(text_col)).to_pylist())}
                 yield b.filter(pa.array([r not in bad for r in range(len(b))], pa.bool_()))
 

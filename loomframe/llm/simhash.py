@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, free_name, materialize, release
+from .common import by_bytes, connected_components, free_name, materialize, release
 
 SEED = 42
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.int64)
@@ -50,7 +50,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``(id_col, fp)``: a row for each row of ``df``; fp holds the 64 bits as a signed long."""
 
     def batches(it):
-        for b in it:
+        for b in by_bytes(it):
             got = np.array([fingerprint(t, words) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got)], [id_col, "fp"])
 
@@ -424,7 +424,7 @@ def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
 
     def batches(it):
-        for b in it:
+        for b in by_bytes(it):
             got = [shingles(t, words) for t in b.column(1).to_pylist()]
             sets = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, got)]), pa.int32()), pa.array(np.concatenate([*got, np.zeros(0, np.uint64)]).astype(np.uint32).view(np.int32)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(wide_key, got), pa.binary()), sets], [id_col, "key", "set"])
@@ -471,7 +471,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     words = how.get("words", 5)
 
     def keyed(it):
-        for b in it:
+        for b in by_bytes(it):
             got = [wide_key(shingles(x, words)) for x in b.column(b.schema.get_field_index(text_col)).to_pylist()]
             yield b.append_column(key, pa.array(got, pa.binary()))
 

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release
+from .common import by_bytes, materialize, release
 
 _SKIP = re.compile(r"[\W\d_]+")
 #: Lengths of word beginnings that serve as patterns.
@@ -43,7 +43,7 @@ def _patterns(text: str | None) -> set[str]:
 def _packed(it):
     """Texts, in the last column, compressed: they are dealt to meet their labels, and few have one."""
     pack = zstandard.ZstdCompressor().compress
-    for b in it:
+    for b in by_bytes(it):
         text = pa.array([pack((t or "").encode("utf-8", "replace")) for t in b.column(b.num_columns - 1).to_pylist()], pa.binary())
         yield pa.RecordBatch.from_arrays([*b.columns[:-1], text], b.schema.names)
 
@@ -313,7 +313,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
 
     def batches(it):
         auto = _automaton(model["voters"]) if model["voters"] else None
-        for b in it:
+        for b in by_bytes(it):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores(b.column(1).to_pylist(), model, auto))], [id_col, "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -325,7 +325,7 @@ def keep_clean(docs: DataFrame, model: dict, text_col: str = "text", threshold:
 
     def batches(it):
         auto = _automaton(model["voters"]) if model["voters"] else None
-        for b in it:
+        for b in by_bytes(it):
             yield b.filter(pa.array(scores(b.column(b.schema.get_field_index(text_col)).to_pylist(), model, auto) < threshold))
 
     return docs.mapInArrow(batches, docs.schema)

@@ -5,10 +5,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from loomframe.llm import common, decontaminate
 from tests.llm.test_dedup import components, slow_runs
 
 
@@ -90,6 +92,23 @@ def test_stages(spark, tables):
     assert alone == set(seen)
 
 
+def test_workers_hold_a_slice_of_a_batch(spark, monkeypatch):
+    """Decontamination turns a bounded part of an Arrow batch to objects at a time, and loses no row by it."""
+    texts = [None, "", "x" * 3_000_000] + ["some words " * 200] * 4000
+    b = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    parts = list(common.by_bytes([b.slice(0, 0), b]))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([b])) and max(len(p) for p in parts) < 2000
+    most = []
+    find = decontaminate.Matcher.__call__
+    docs, items = (spark.createDataFrame([(0, t)], "doc_id long, text string") for t in ("x", "an item of forty bytes and of some words"))
+    grabbed = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: grabbed.append(f) or self)
+    decontaminate.clean(docs, items, item_col="doc_id")
+    monkeypatch.undo()
+    monkeypatch.setattr(decontaminate.Matcher, "__call__", lambda self, rows: most.append(len(rows)) or find(self, rows))
+    assert sum(len(x) for x in grabbed[0]([b])) == len(texts) and max(most) < 2000
+
+
 def test_stages_on_odd_rows(spark, tables):
     """Clashing columns, null and repeated ids, null, empty and very long texts, and an empty table, in every stage."""
     path, texts, _ = tables
