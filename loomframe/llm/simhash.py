@@ -401,7 +401,7 @@ def _all_links(nodes: DataFrame, post, pairs: DataFrame, sets: DataFrame, simila
     more = _links(_dealt(again, hot, block, "left"), radius, least, _crossing).groupBy("a", "b").agg(F.min("far").alias("far"))
     more = materialize(_ends(more.join(failed.select("a", "b"), ["a", "b"], "left_anti"), comp), "simhash-more")
     release(hot, comp, failed, group, members)
-    good = _similar_links(more, sets, similarity, good)
+    good = _similar_links(more, sets, similarity, good, 1)  # each round costs a run of connected components
     release(more)
     return good
 
