@@ -74,7 +74,7 @@ def covering(radius: int) -> list[tuple[int, ...]]:
 
 
 def _linked(keys: np.ndarray, side: np.ndarray, node: np.ndarray, fp: np.ndarray, radius: int, least: int):
-    """Spanning links, at a distance not told, among the rows of one task, which are sorted by key; fp has a row of 64-bit words for each.
+    """Spanning links among the rows of one task, which are sorted by key; fp has a row of 64-bit words for each.
 
     Rows of side 0 are compared with each other, those of side 1 and 2 with the other side only.
     """
@@ -106,11 +106,11 @@ def _linked(keys: np.ndarray, side: np.ndarray, node: np.ndarray, fp: np.ndarray
                 root = root[root]
             a, b = root[a], root[b]
     moved = np.flatnonzero(root != np.arange(len(root)))
-    yield value[moved], value[root[moved]], np.zeros(len(moved), np.int64)
+    return value[moved], value[root[moved]]
 
 
-def _links(posts: DataFrame, radius: int, least: int, pick=_linked, chunk: int = 200_000) -> DataFrame:
-    """What ``pick`` makes of the lists of ``posts(key, side, node, fp binary)``, as ``(a, b, far)``."""
+def _links(posts: DataFrame, radius: int, least: int, chunk: int = 200_000) -> DataFrame:
+    """What ``_linked`` makes of the lists of ``posts(key, side, node, fp binary)``, as ``(a, b)``."""
 
     def links(it):
         held: list[pa.RecordBatch] = []
@@ -128,8 +128,8 @@ def _links(posts: DataFrame, radius: int, least: int, pick=_linked, chunk: int =
                     keep.append(x.slice(rest))
                 rest = max(0, rest - len(x))
             held[:] = keep
-            for found in pick(k[:upto], s[:upto], n[:upto], np.ascontiguousarray(fp).view(np.uint64), radius, least):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["a", "b", "far"])
+            found = _linked(k[:upto], s[:upto], n[:upto], np.ascontiguousarray(fp).view(np.uint64), radius, least)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["a", "b"])
 
         for batch in it:
             if not len(batch):
@@ -145,16 +145,21 @@ def _links(posts: DataFrame, radius: int, least: int, pick=_linked, chunk: int =
         if held:
             yield from flush(rows)
 
-    return posts.repartition("key").sortWithinPartitions("key").select("key", "side", "node", "fp").mapInArrow(links, "a long, b long, far long")
+    return posts.repartition("key").sortWithinPartitions("key").select("key", "side", "node", "fp").mapInArrow(links, "a long, b long")
 
 
 def _dealt(posts: DataFrame, lists: DataFrame, block: int, how: str) -> DataFrame:
-    """``posts(key, node, fp)`` with lists beyond ``block`` dealt out as pairs of blocks; side tells a pair's blocks apart."""
+    """``posts(key, node, fp)`` with lists beyond ``block`` dealt out as pairs of blocks."""
     c = F.ceil(F.coalesce("n", F.lit(1)) / F.lit(block)).cast("int")
-    posts = posts.join(lists, "key", how).select("key", "node", "fp", c.alias("c"), F.pmod(F.xxhash64("node", F.lit(7)), c).cast("int").alias("own"))
-    posts = posts.select("key", "node", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("other"))
+    return _paired(posts.join(lists, "key", how).select("key", "node", "fp", c.alias("c")), "fp")
+
+
+def _paired(posts: DataFrame, *columns: str) -> DataFrame:
+    """``posts(key, node, c, columns)`` once for each pair of the c blocks of its list that a row is in; side tells a pair's blocks apart."""
+    posts = posts.select("key", "node", *columns, "c", F.pmod(F.xxhash64("node", F.lit(7)), "c").cast("int").alias("own"))
+    posts = posts.select("key", "node", *columns, "own", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("other"))
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).cast("int")
-    return posts.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), side.alias("side"), "node", "fp")
+    return posts.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), side.alias("side"), "node", *columns)
 
 
 def _classes(nodes: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
@@ -243,170 +248,82 @@ def byte_groups(size: int, radius: int, least: int, similarity: float, recall: f
     return list(groups)
 
 
-def _forest(keys: np.ndarray, side: np.ndarray, node: np.ndarray, fp: np.ndarray, radius: int, least: int, hold: int = 2_000_000):
-    """Pairs (node, node, distance) that span what ``_linked`` links, near pairs first."""
-    value, own = np.unique(node, return_inverse=True)
-    root = np.arange(len(value))
-    at = np.arange(len(keys))
-    size = 8 * fp.shape[1]
-    out, held, count, d = [], [], 0, 0
-
-    def merge():
-        nonlocal root
-        a, b, far = (np.concatenate(x) for x in zip(*held, strict=True))
-        for upto in range(radius // 4, radius + 8, 8):
-            use = np.flatnonzero((far <= upto) & (root[a] != root[b]))
-            while len(use):
-                x, y = root[a[use]], root[b[use]]
-                low, high = np.minimum(x, y), np.maximum(x, y)
-                order = np.lexsort((far[use], low, high))
-                first = order[np.flatnonzero(np.diff(high[order], prepend=-1))]  # the nearest pair of each larger root's least partner
-                pick = use[first]
-                out.append((a[pick], b[pick], far[pick]))
-                root[high[first]] = low[first]
-                while (root[root] != root).any():
-                    root = root[root]
-                use = use[root[a[use]] != root[b[use]]]
-        held.clear()
+def _holding(side: np.ndarray, fp: np.ndarray, size: np.ndarray, sets: np.ndarray, groups: np.ndarray, radius: int, least: int, similarity: float):
+    """Links (row, row) that span all pairs of a list's rows that the index finds and whose sets hold exactly.
 
-    while len(at):
-        d += 1
-        at = at[at + d < len(keys)]
-        at = at[keys[at] == keys[at + d]]
-        i, j = at, at + d
-        a, b = own[i], own[j]
-        use = (((side[i] | side[j]) == 0) | ((side[i] | side[j]) == 3) & (side[i] != side[j])) & (root[a] != root[b])
-        i, j, a, b = i[use], j[use], a[use], b[use]
-        x = fp[i] ^ fp[j]
-        z = x | (x >> np.uint64(4))
-        z |= z >> np.uint64(2)
-        z |= z >> np.uint64(1)
-        ok = size - np.bitwise_count(z & np.uint64(0x0101010101010101)).sum(1, dtype=np.int64) >= least
-        far = np.bitwise_count(x[ok]).sum(1, dtype=np.int64)
-        near = far <= radius
-        held.append((a[ok][near], b[ok][near], far[near]))
-        count += len(held[-1][0])
-        if count > hold:
-            merge()
-            count = 0
-    if held:
-        merge()
-    a, b, far = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
-    yield np.minimum(value[a], value[b]), np.maximum(value[a], value[b]), far
-
-
-def _crossing(keys: np.ndarray, side: np.ndarray, node: np.ndarray, fp: np.ndarray, radius: int, least: int, hold: int = 500_000):
-    """All pairs (node, node, distance) that ``_linked`` compares and whose classes differ; a class is the last word of fp."""
-    fp, own = np.ascontiguousarray(fp[:, :-1]), fp[:, -1].copy()
-    at = np.arange(len(keys))
-    size = 8 * fp.shape[1]
-    held, count, d = [], 0, 0
+    Row i has the 64-bit words fp[i] and the next size[i] values of ``sets``; groups are bit masks of byte positions.
+    Rows of side 0 are compared with each other, others with the other side; pairs of one class already are not.
+    """
+    words, own = np.unique(sets, return_inverse=True)
+    raw, root, marked = fp.view(np.uint8), np.arange(len(fp)), np.zeros(len(words), np.int32)
+    end = np.cumsum(size)
+    for i in range(len(fp) - 1):
+        use = root[i + 1 :] != root[i]
+        if side[i]:
+            use &= side[i + 1 :] != side[i]
+        j = np.flatnonzero(use) + i + 1
+        j = j[np.bitwise_count(fp[j] ^ fp[i]).sum(1, dtype=np.int64) <= radius]
+        equal = raw[j] == raw[i]
+        bits = np.packbits(equal, axis=1, bitorder="little").view(np.uint32)
+        j = j[(equal.sum(1) >= least) & ((bits & groups) == groups).any(1)]
+        if not len(j):
+            continue
+        mine, many = own[end[i] - size[i] : end[i]], size[j]
+        marked[mine] = 1
+        last = np.cumsum(many)
+        theirs = own[np.repeat(end[j] - last, many) + np.arange(last[-1])]
+        common = np.add.reduceat(marked[theirs], last - many)
+        marked[mine] = 0
+        j = j[common * (1 + similarity) >= similarity * (size[i] + many) - 1e-6]
+        if len(j):
+            old, at = np.unique(root[j], return_index=True)
+            yield from ((i, k) for k in j[at].tolist())
+            root[np.isin(root, old)] = root[i]
+
+
+def _exact_links(posts: DataFrame, groups: list[tuple[int, ...]], radius: int, least: int, similarity: float) -> DataFrame:
+    """What ``_holding`` makes of the lists of ``posts(key, side, node, fp binary, set)``, as ``(a, b)``."""
+    masks = np.array([sum(1 << p for p in g) for g in groups], np.uint32)
+
+    def found(held):
+        key, side, node = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in range(3))
+        fp = np.frombuffer(b"".join(x for b in held for x in b.column(3).to_pylist()), np.uint64).reshape(len(key), -1)
+        size = np.concatenate([b.column(4).value_lengths().to_numpy(zero_copy_only=False) for b in held]).astype(np.int64)
+        sets = np.concatenate([b.column(4).flatten().to_numpy(zero_copy_only=False) for b in held])
+        start, end = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), np.cumsum(size)
+        links = []
+        for i, j in zip(start.tolist(), [*start[1:].tolist(), len(key)], strict=True):
+            part = slice(end[i] - size[i], end[j - 1])
+            links += [(node[i + a], node[i + b]) for a, b in _holding(side[i:j], fp[i:j], size[i:j], sets[part], masks, radius, least, similarity)]
+        a, b = np.array(links, np.int64).reshape(-1, 2).T
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    def told():
-        a, b, far = (np.concatenate(x) for x in zip(*held, strict=True))
-        held.clear()
-        order = np.lexsort((b, a))  # a pair meets in several lists of a task
-        first = order[(np.diff(a[order], prepend=-1) != 0) | (np.diff(b[order], prepend=-1) != 0)]
-        return a[first], b[first], far[first]
+    def links(it):
+        held: list[pa.RecordBatch] = []  # rows whose list may go on
+        for batch in it:
+            if not len(batch):
+                continue
+            key = batch.column(0).to_numpy()
+            cut = int(np.searchsorted(key, key[-1]))
+            if held and (cut or held[0].column(0)[0].as_py() != key[0]):
+                yield found([*held, batch.slice(0, cut)])
+                held = []
+            elif cut:
+                yield found([batch.slice(0, cut)])
+            held.append(batch.slice(cut))
+        if held:
+            yield found(held)
 
-    while len(at):
-        d += 1
-        at = at[at + d < len(keys)]
-        at = at[keys[at] == keys[at + d]]
-        use = (((side[at] | side[at + d]) == 0) | ((side[at] | side[at + d]) == 3) & (side[at] != side[at + d])) & (own[at] != own[at + d])
-        for part in np.array_split(at[use], 1 + len(at) // hold):
-            i, j = part, part + d
-            x = fp[i] ^ fp[j]
-            z = x | (x >> np.uint64(4))
-            z |= z >> np.uint64(2)
-            z |= z >> np.uint64(1)
-            ok = size - np.bitwise_count(z & np.uint64(0x0101010101010101)).sum(1, dtype=np.int64) >= least
-            far = np.bitwise_count(x[ok]).sum(1, dtype=np.int64)
-            near = far <= radius
-            a, b = node[i[ok][near]], node[j[ok][near]]
-            held.append((np.minimum(a, b), np.maximum(a, b), far[near]))
-            count += len(a)
-            if count > hold:
-                yield told()
-                count = 0
-    if held:
-        yield told()
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """``(a, b)`` of the pairs whose shingle sets have the Jaccard similarity, exactly."""
-    one, two = (sets.select(F.col("node").alias(n), F.col("set").alias(s)) for n, s in (("a", "s"), ("b", "t")))
-    common = F.size(F.array_intersect("s", "t"))
-    return pairs.select("a", "b").join(one, "a").join(two, "b").where(common * (1 + similarity) >= similarity * (F.size("s") + F.size("t")) - 1e-6).select("a", "b")
-
-
-def _similar_links(pairs: DataFrame, sets: DataFrame, similarity: float, good: DataFrame | None = None, rounds: int = 3) -> DataFrame:
-    """Links ``(a, b)``, those of ``good`` among them, among ``pairs(a, b, far, ca, cb)`` that hold exactly and connect all that such links connect.
-
-    ca and cb are the classes that ``good`` makes of a and b.  In each of ``rounds`` rounds every class tries its
-    nearest pair to another class; then what is left is tried.
-    """
-    left = materialize(pairs.groupBy("a", "b", "ca", "cb").agg(F.min("far").alias("far")).select("a", "b", "far", "ca", "cb"), "simhash-left")
-    for last in [False] * rounds + [True]:
-        if left.isEmpty():
-            break
-        tried = left
-        if not last:
-            ends = left.select(F.explode(F.array("ca", "cb")).alias("c"), "far", "a", "b")
-            tried = ends.groupBy("c").agg(F.min(F.struct("far", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-            tried = materialize(tried, "simhash-tried")
-        new = _verified(tried, sets, similarity)
-        more = materialize(new if good is None else good.unionAll(new), "simhash-good")
-        release(good)
-        good = more
-        if last:
-            break
-        comp = materialize(connected_components(good), "simhash-comp")
-        rest = _ends(left.select("a", "b", "far").join(tried, ["a", "b"], "left_anti"), comp)
-        rest = materialize(rest.where("ca != cb").select("a", "b", "far", "ca", "cb"), "simhash-left")
-        release(left, tried, comp)
-        left = rest
-    release(left)
-    return good if good is not None else materialize(pairs.select("a", "b").limit(0), "simhash-good")
-
-
-def _ends(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    """``pairs`` with the components ca and cb of a and b; a node without links is its own."""
-    for end in "ab":
-        pairs = pairs.join(comp.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
-    return pairs
-
-
-def _all_links(nodes: DataFrame, post, pairs: DataFrame, sets: DataFrame, similarity: float, radius: int, least: int, block: int) -> DataFrame:
-    """Links ``(a, b)`` that hold exactly and connect all that such links among candidates of ``post(nodes)`` connect.
-
-    ``pairs(a, b, far)`` span the candidates of each list.  Where one of them does not hold, it may have stood for
-    candidates that do: the classes that such pairs join are posted again, and all their candidates of different
-    classes are tried.  Elsewhere a list's candidates are one class already.
-    """
-    good = _similar_links(pairs.withColumns({"ca": F.col("a"), "cb": F.col("b")}), sets, similarity)
-    comp = materialize(connected_components(good), "simhash-comp")
-    failed = materialize(_ends(pairs.select("a", "b").distinct(), comp).where("ca != cb"), "simhash-failed")
-    if failed.isEmpty():
-        release(comp, failed)
-        return good
-    group = materialize(connected_components(failed, "ca", "cb").select(F.col("node").alias("class"), F.col("component").alias("group")), "simhash-group")
-    ends = failed.select(F.explode(F.array(F.struct(F.col("ca").alias("class")), F.struct(F.col("cb").alias("class")))).alias("c")).select("c.class").distinct()
-    members = comp.select("node", F.col("component").alias("class")).join(ends, "class", "right").select(F.coalesce("node", "class").alias("node"), "class")
-    members = materialize(members.join(group, "class"), "simhash-open")
-    word = F.unhex(F.lpad(F.hex("class"), 16, "0"))
-    again = post(nodes.join(members, "node"), word.alias("word"), "group")
-    again = again.select("node", F.concat("fp", "word").alias("fp"), F.xxhash64("key", "group").alias("key"))
-    hot = materialize(again.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block), "simhash-lists")
-    more = _links(_dealt(again, hot, block, "left"), radius, least, _crossing).groupBy("a", "b").agg(F.min("far").alias("far"))
-    more = materialize(_ends(more.join(failed.select("a", "b"), ["a", "b"], "left_anti"), comp), "simhash-more")
-    release(hot, comp, failed, group, members)
-    good = _similar_links(more, sets, similarity, good, 1)  # each round costs a run of connected components
-    release(more)
-    return good
-
-
-def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, recall: float = 0.95, size: int = 2, radius: int = 56, least: int = 3, block: int = 2048) -> DataFrame:
+    return posts.repartition("key").sortWithinPartitions("key").select("key", "side", "node", "fp", "set").mapInArrow(links, "a long, b long")
+
+
+def _blocks(crowd: int, spread: int = 32, rows: int = 8192, values: int = 1 << 22):
+    """Into how many blocks a group of n texts and ``total`` shingles is dealt: of ``crowd`` texts up to ``spread`` blocks, then as few as hold ``rows`` texts or ``values`` shingles."""
+    n, total = F.count("*"), F.sum(F.size("set"))
+    return F.greatest(F.least(F.ceil(n / F.lit(crowd)), F.lit(spread)), F.ceil(n / F.lit(rows)), F.ceil(total / F.lit(values))).cast("int")
+
+
+def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, recall: float = 0.95, size: int = 2, radius: int = 56, least: int = 3, block: int = 2048, crowd: int = 64) -> DataFrame:
     """``(id_col, key, class, component_id)``: classes of texts linked by a Jaccard similarity of ``similarity`` or more.
 
     At 0.8 some 15 % of SimHash bits differ, 10 of 64: no radius at which shared bytes are guaranteed.  So the
@@ -415,8 +332,9 @@ def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     and distance (``radius`` bits) included; see ``byte_groups``.  Nothing depends on the number of texts: lists
     hold about texts / 256 ** size, so that ``size`` is to be 2 up to some 10 million different texts and one more
     for each 256 times as many.  Pairs found link only if their shingle sets have the similarity exactly, up to
-    32-bit collisions.  Those that span their list, nearest first, are tried first; where one of them does not hold,
-    all pairs found between the classes so far are.
+    32-bit collisions.  Spanning pairs of the lists, not verified, make groups that hold all pairs found; a group's
+    texts meet with their sets, those of more than ``crowd`` as pairs of blocks, and a task tries every pair found of
+    different classes so far and returns spanning links only.  So no table has a row for each pair.
 
     Null and empty texts, and texts without words, are one class; repeated rows get equal results; a null id never
     names a class that has another; an empty table gives no row; texts of any length count whole; columns of ``df``
@@ -426,7 +344,8 @@ def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def batches(it):
         for b in by_bytes(it):
             got = [shingles(t, words) for t in b.column(1).to_pylist()]
-            sets = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, got)]), pa.int32()), pa.array(np.concatenate([*got, np.zeros(0, np.uint64)]).astype(np.uint32).view(np.int32)))
+            short = [np.unique(h.astype(np.uint32)).view(np.int32) for h in got]
+            sets = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, short)]), pa.int32()), pa.array(np.concatenate([*short, np.zeros(0, np.int32)])))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(wide_key, got), pa.binary()), sets], [id_col, "key", "set"])
 
     kind = df.schema[id_col].dataType.simpleString()
@@ -436,18 +355,17 @@ def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     groups = byte_groups(size, radius, least, similarity, recall)
     keys = F.array(*(F.xxhash64(F.lit(t), *(F.substring("key", p + 1, 1) for p in g)) for t, g in enumerate(groups)))
 
-    def post(some, *more):
-        return some.where(F.col("key") != F.lit(bytes(40))).select("node", *more, F.substring("key", 1, 32).alias("fp"), F.explode(keys).alias("key"))
-
-    posts = post(nodes)
+    posts = nodes.where(F.col("key") != F.lit(bytes(40))).select("node", F.substring("key", 1, 32).alias("fp"), F.explode(keys).alias("key"))
     hot = materialize(posts.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block), "simhash-lists")
-    pairs = materialize(_links(_dealt(posts, hot, block, "left"), radius, least, _forest), "simhash-pairs")
-    linked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node")
-    sets = rows.alias("r").join(linked.alias("n"), (F.col("r.key") == F.col("n.key")) & F.col(f"r.{id_col}").eqNullSafe(F.col("n.rep")))
-    sets = materialize(sets.groupBy("n.node").agg(F.any_value("r.set").alias("set")), "simhash-sets")
-    good = _all_links(nodes, post, pairs, sets, similarity, radius, least, block)
+    group = materialize(connected_components(_links(_dealt(posts, hot, block, "left"), radius, least)), "simhash-group")
+    found = group.join(nodes, "node")
+    open_ = rows.alias("r").join(found.alias("n"), (F.col("r.key") == F.col("n.key")) & F.col(f"r.{id_col}").eqNullSafe(F.col("n.rep")))
+    open_ = open_.groupBy("n.node").agg(F.any_value("n.component").alias("key"), F.any_value(F.substring("n.key", 1, 32)).alias("fp"), F.any_value("r.set").alias("set"))
+    open_ = materialize(open_, "simhash-open")
+    lists = open_.groupBy("key").agg(_blocks(crowd).alias("c"))
+    good = materialize(_exact_links(_paired(open_.join(lists, "key"), "fp", "set"), groups, radius, least, similarity), "simhash-good")
     known = _classes(nodes, good, "key")
-    release(hot, pairs, sets, good)
+    release(hot, group, open_, good)
     return rows.join(known, "key").select(id_col, "key", "class", "component_id")
 
 

@@ -253,6 +253,43 @@ def test_similar_classes_lose_no_pair_found(spark, block):
     assert list(got.values()).count(0) < len(texts) / 2 and [got[i] for i in range(len(texts))] == components(len(texts), links)
 
 
+def test_similar_classes_have_no_row_for_each_pair(spark, monkeypatch):
+    """A crowd whose pairs are found and mostly do not hold, as one group beyond a block: exact classes, tables in proportion to its texts."""
+    rng = random.Random(41)
+    pool = [f"w{i}" for i in range(3000)]
+    base = [rng.choice(pool) for _ in range(120)]
+    texts = []
+    for _ in range(240):
+        t = list(base)
+        for _ in range(3):
+            t[rng.randrange(len(t))] = rng.choice(pool)
+        texts.append(" ".join(t))
+    written = {}
+
+    def counted(df, name, put=simhash.materialize):
+        out = put(df, name)
+        written[name] = max(written.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "materialize", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_classes(df).collect()}
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    key = [np.frombuffer(simhash.wide_key(simhash.shingles(t))[:32], np.uint8) for t in texts]
+    groups = simhash.byte_groups(2, 56, 3, 0.8, 0.95)
+
+    def found(a, b):
+        same = key[a] == key[b]
+        return same.sum() >= 3 and np.bitwise_count(key[a] ^ key[b]).sum() <= 56 and any(same[list(g)].all() for g in groups)
+
+    near = [(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if found(a, b)]
+    links = [(a, b) for a, b in near if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))]
+    want = components(len(texts), links)
+    assert len(near) > 20 * len(texts) and len(set(want)) > len(texts) / 2
+    assert [got[i] for i in range(len(texts))] == want
+    assert max(written.values()) <= 4 * len(texts), written
+
+
 def test_near_copies_with_clashing_columns(spark):
     text = " ".join(f"w{i}" for i in range(50))
     rows = [("b", text, 1), ("a", text + " end", 2), ("a", text + " end", 2), ("a", "other words", 3), (None, "lone", 4), (None, "lone", 5)]
