@@ -15,6 +15,10 @@ RULES = {
     "join_reorder": "org.apache.spark.sql.catalyst.optimizer.CostBasedJoinReorder",
 }
 
+_PARTITIONS = "spark.sql.shuffle.partitions"
+#: The shape last set, and the number of partitions that Spark had then.
+_SHAPE = "spark.loomframe.partitionShape"
+
 
 def session(app: str = "loomframe", **conf: str) -> SparkSession:
     """A session with adaptive execution, UTC and nanosecond-free timestamps."""
@@ -35,14 +39,18 @@ def get_concurrency_mode(spark: SparkSession) -> str:
 
 
 def set_partition_shape(spark: SparkSession, shape: tuple[int, int]) -> None:
-    """Row blocks become shuffle partitions; column blocks have no counterpart."""
+    """Row blocks become shuffle partitions; column blocks have no counterpart, but are kept for the getter."""
     if len(shape) != 2 or min(shape) < 1:
         raise ValueError("shape must be two positive integers")
-    spark.conf.set("spark.sql.shuffle.partitions", str(shape[0]))
+    spark.conf.set(_PARTITIONS, str(shape[0]))
+    spark.conf.set(_SHAPE, f"{shape[0]},{shape[1]},{spark.conf.get(_PARTITIONS)}")
 
 
 def get_partition_shape(spark: SparkSession) -> tuple[int, int]:
-    return int(spark.conf.get("spark.sql.shuffle.partitions")), 1
+    """The shape last set, also where a deployment holds Spark's number of partitions; Spark's own where it has changed since."""
+    now = int(spark.conf.get(_PARTITIONS))
+    rows, columns, then = map(int, spark.conf.get(_SHAPE, f"{now},1,{now}").split(","))
+    return (rows, columns) if then == now else (now, 1)
 
 
 def set_min_block_size(spark: SparkSession, size: int) -> None:

@@ -536,15 +536,16 @@ def csv_stream(spark, sf_dir):
 
 @query("SELECT 'local' AS process, true AS adaptive, 17 AS shape, true AS timed, count(*) AS rows FROM nation")
 def session_settings(spark, sf_dir):
-    before = session.get_partition_shape(spark)
-    session.set_partition_shape(spark, (17, 1))
-    shape = session.get_partition_shape(spark)[0]
-    session.set_partition_shape(spark, before)
+    """Settings read back as set, in a session of their own: neither do the caller's count here nor are they touched."""
+    own = spark.newSession()
+    session.set_partition_shape(own, (17, 1))
+    session.set_adaptive_concurrency(own, True)
+    shape = session.get_partition_shape(own)[0]
     session.set_benchmark_mode(True)
     f = _table(spark, sf_dir, "nation").repartition(3)
     session.timed("nation", f.to_spark())
     session.set_benchmark_mode(False)
-    row = (session.get_process_mode(spark), session.get_adaptive_concurrency(spark), shape, session.snapshot(reset=True)["nation"]["runs"] == 1, len(f))
+    row = (session.get_process_mode(spark), session.get_adaptive_concurrency(own), shape, session.snapshot(reset=True)["nation"]["runs"] == 1, len(f))
     return spark.createDataFrame([row], "process string, adaptive boolean, shape int, timed boolean, rows long")
 
 

@@ -9,6 +9,7 @@ import pytest
 
 import __spark_entry__ as entry
 from loomframe import queries as base
+from loomframe.plans import session
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -49,6 +50,24 @@ def test_query(spark, duck, name):
     assert got == rows(rel.columns, rel.fetchall())
 
 
+def test_session_settings_in_any_session(spark, monkeypatch):
+    """The caller's settings, and a number of partitions that the deployment holds, leave the result as its SQL has it."""
+    own, kind = spark.newSession(), type(spark.conf)
+    own.conf.set("spark.sql.adaptive.enabled", "false")
+    own.conf.set("spark.sql.shuffle.partitions", "211")
+    monkeypatch.setattr(kind, "set", lambda self, k, v, put=kind.set: None if k == "spark.sql.shuffle.partitions" else put(self, k, v))
+    assert base.queries()["session_settings"](own, DIR).collect() == [("local", True, 17, True, 25)]
+    assert (own.conf.get("spark.sql.adaptive.enabled"), own.conf.get("spark.sql.shuffle.partitions")) == ("false", "211")
+
+
+def test_partition_shape(spark):
+    own = spark.newSession()
+    session.set_partition_shape(own, (9, 4))
+    assert session.get_partition_shape(own) == (9, 4) and own.conf.get("spark.sql.shuffle.partitions") == "9"
+    own.conf.set("spark.sql.shuffle.partitions", "12")
+    assert session.get_partition_shape(own) == (12, 1)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
