@@ -23,7 +23,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.ordered import with_position
 from .common import free_name, materialize, release
 
 WIDE = "decimal(38,0)"
@@ -35,22 +34,49 @@ def _position(j):
     return (doc.cast(WIDE) + (F.pmod("k", F.lit(1 << 30)) * F.lit(1 << 32) + j).cast("decimal(20,0)")).cast(WIDE)
 
 
-def _ranks(repeated: DataFrame, *key: str) -> DataFrame:
-    """``(*key, rank)``: the different keys, numbered in order."""
-    stored = materialize(repeated.select(*key), "line-keys")
-    out = materialize(with_position(stored, list(key), "rank"), "line-names")
+def _ranks(keys: DataFrame) -> DataFrame:
+    """``keys``, all different, with ``rank``, their number in order from 0; ``release`` deletes what is stored for it."""
+    stored = materialize(keys, "line-keys")
+    ordered = stored.repartitionByRange(*keys.columns).sortWithinPartitions(*keys.columns)
+    cut = materialize(ordered.withColumn("rank", F.monotonically_increasing_id()), "line-names")
     release(stored)
+    part = F.shiftright("rank", 33)  # above it the number of the range, below that within it
+    sums = cut.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    sums = sums.select("part", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), "n")
+    out = cut.join(F.broadcast(sums), part == F.col("part"))
+    out = out.select(*keys.columns, (F.col("rank").bitwiseAND((1 << 33) - 1) + F.col("upto") - F.col("n")).alias("rank"))
+    out._loomframe_path = cut._loomframe_path
     return out
 
 
+def _joined(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``pairs`` of ranks that more positions share, with their own rank as ``name``; and the stored table of ranks."""
+    pairs = pairs.where("next IS NOT NULL")
+    names = _ranks(pairs.groupBy("name", "next").agg(F.count("*").alias("n")).where("n > 1").select("name", "next"))
+    return pairs.join(names, ["name", "next"]).drop("name", "next").withColumnRenamed("rank", "name"), names
+
+
+def _next(level: DataFrame, size: int) -> DataFrame:
+    return level.withColumn("next", F.first("name").over(Window.partitionBy("d", "k").orderBy("j").rangeBetween(size, size)))
+
+
 def doubled(level: DataFrame, size: int) -> DataFrame:
     """``(d, k, j, name)``: from ranks by ``size`` lines those by twice as many, of the positions that share theirs."""
-    ahead = Window.partitionBy("d", "k").orderBy("j").rangeBetween(size, size)
-    pairs = materialize(level.withColumn("next", F.first("name").over(ahead)).where("next IS NOT NULL"), "line-pairs")
-    names = _ranks(pairs.groupBy("name", "next").agg(F.count("*").alias("n")).where("n > 1"), "name", "next")
-    out = materialize(pairs.join(names, ["name", "next"]).select("d", "k", "j", F.col("rank").alias("name")), "line-level")
-    release(pairs, names)
-    return out
+    return _joined(materialize(_next(level, size), "line-pairs"))[0].select("d", "k", "j", "name")
+
+
+def ahead(level: DataFrame, size: int) -> DataFrame:
+    """``(d, k, j, name, next, at, hits)``, stored: the rank ``size`` lines on, and of the runs that begin here, ``at``, those under twice that long, with their end's rank."""
+    level = _next(level, size)
+    if size > 1:
+        w = Window.partitionBy("d", "k").orderBy("j").rangeBetween(0, size - 1)
+        level = level.withColumn("near", F.collect_list(F.struct("j", "name")).over(w))
+        two = lambda r: F.get(F.filter("near", lambda x: x["j"] == F.col("j") + r["n"] - size), 0)["name"]
+    else:
+        two = lambda r: F.col("name")
+    hits = F.transform(F.filter("at", lambda r: r["n"] < 2 * size), lambda r: F.struct(r["n"].alias("n"), r["first"].alias("first"), r["last"].alias("last"), two(r).alias("two")))
+    out = level.select("d", "k", "j", "name", "next", F.filter("at", lambda r: r["n"] >= 2 * size).alias("at"), F.filter(hits, lambda r: r["two"].isNotNull()).alias("hits"))
+    return materialize(out.where("next IS NOT NULL OR size(hits) > 0"), "line-pairs")
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
@@ -61,7 +87,6 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
         raise TypeError(f"{id_col} must be an integer column, not {docs.schema[id_col].dataType.simpleString()}")
-    spark = docs.sparkSession
     numbered = F.transform(F.split("t", "\n"), lambda x, i: F.struct(i.alias("i"), F.trim(x).alias("x")))
     lines = docs.select(F.col(id_col).alias("d"), F.xxhash64(text_col).alias("k"), F.col(text_col).alias("t")).where("t != ''")
     lines = lines.select("d", "k", F.posexplode(F.filter(numbered, lambda s: s["x"] != "")).alias("j", "s"))
@@ -70,47 +95,46 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines = materialize(lines, "line-all")
     # repeated rows are one document: they have the same positions
     seen = lines.groupBy("h1", "h2").agg(F.min(_position(F.col("j"))).alias("a"), F.max(_position(F.col("j"))).alias("b")).where("a != b")
-    seen = _ranks(seen, "h1", "h2")
-    level = lines.join(seen, ["h1", "h2"]).select("d", "k", "j", "i", "w", F.col("rank").alias("name")).distinct()
-    level = materialize(level, "line-level")
-    release(lines, seen)
-
+    seen = _ranks(seen.select("h1", "h2"))
+    # texts are dealt by document once for what follows, up to the first ranks ahead
     doc = Window.partitionBy("d", "k")
+    level = lines.join(seen, ["h1", "h2"]).select("d", "k", "j", "i", "w", F.col("rank").alias("name"))
+    level = level.withColumn("before", F.lag("j").over(doc.orderBy("j"))).where("before IS NULL OR before != j")
     c = level.withColumn("end", F.sum("w").over(doc.orderBy("j").rowsBetween(Window.unboundedPreceding, 0))).withColumn("begin", F.col("end") - F.col("w"))
-    ahead = doc.orderBy("begin").rangeBetween(0, min_words - 1)
+    onward = doc.orderBy("begin").rangeBetween(0, min_words - 1)
     behind = doc.orderBy("end").rangeBetween(-(min_words - 1), 0)
 
-    def run(frame):
+    def run(frame, name=None):
         s, e = F.min("j").over(frame), F.max("j").over(frame)
         whole = (F.sum("w").over(frame) >= min_words) & (e - s + 1 == F.count("*").over(frame))
-        return F.when(whole, F.struct(s.alias("s"), (e - s + 1).cast("int").alias("n"), F.min("i").over(frame).alias("first"), F.max("i").over(frame).alias("last")))
-
-    runs = c.select("d", "k", run(ahead).alias("a"), run(behind).alias("b")).select("d", "k", F.explode(F.array_distinct(F.array_compact(F.array("a", "b")))).alias("r"))
-    runs = materialize(runs.select("d", "k", "r.*").distinct(), "line-runs")
-    level = level.select("d", "k", "j", "name")
-    most = runs.agg(F.max("n")).first()[0] or 0
-
-    later, size = [], 1
-    same = lambda a, b: a["d"].eqNullSafe(b["d"]) & (a["k"] == b["k"])
-    while size <= most:
-        mine = runs.where((F.col("n") >= size) & (F.col("n") < 2 * size))
-        a, b = level.alias("a"), level.alias("b")
-        named = mine.join(a, same(mine, level) & (F.col("s") == F.col("a.j"))).select(mine["*"], F.col("a.name").alias("one"))
-        named = named.alias("m").join(b, F.col("m.d").eqNullSafe(F.col("b.d")) & (F.col("m.k") == F.col("b.k")) & (F.col("m.s") + F.col("m.n") - size == F.col("b.j"))).select("m.*", F.col("b.name").alias("two"))
-        named = materialize(named, "line-named")
-        first = materialize(named.groupBy("n", "one", "two").agg(F.min(_position(F.col("s"))).alias("p")), "line-first")
-        later.append(materialize(named.join(first, ["n", "one", "two"]).where(_position(F.col("s")) != F.col("p")).select("d", "k", "first", "last"), "line-later"))
-        release(named, first)
-        if 2 * size <= most:
-            level = doubled(level, size)
+        r = F.when(whole, F.struct((e - s + 1).cast("int").alias("n"), F.min("i").over(frame).alias("first"), F.max("i").over(frame).alias("last")))
+        return F.struct(s.alias("j"), F.lit(name).cast("long").alias("name") if name is None else F.col(name).alias("name"), r.alias("r"))
+
+    # the runs that begin and that end at a line, brought to the line where they begin
+    runs = c.select("d", "k", run(onward, "name").alias("a"), run(behind).alias("b")).select("d", "k", F.explode(F.array("a", "b")).alias("x")).select("d", "k", "x.*")
+    level = runs.where("name IS NOT NULL OR r IS NOT NULL").groupBy("d", "k", "j").agg(F.max("name").alias("name"), F.collect_set("r").alias("at"))
+
+    found, size, pairs = [], 1, ahead(level, 1)
+    release(lines, seen)
+    while True:
+        found.append(materialize(pairs.select("d", "k", F.col("j").alias("s"), F.col("name").alias("one"), F.inline("hits")), "line-named"))
+        if pairs.select(F.max(F.size("at"))).first()[0] in (None, 0):
+            break
         size *= 2
-    if not later:
-        return spark.createDataFrame([], f"d {docs.schema[id_col].dataType.simpleString()}, k long, first int, last int")
-    out = reduce(DataFrame.unionAll, later)
+        level, names = _joined(pairs.drop("hits"))
+        pairs, old = ahead(level, size), pairs
+        release(old, names)
+    release(pairs)
+    # a run's length tells its level, so that ranks of different levels do not meet
+    named = reduce(DataFrame.unionAll, found)
+    first = materialize(named.groupBy("n", "one", "two").agg(F.min(_position(F.col("s"))).alias("p")), "line-first")
+    out = named.join(first, ["n", "one", "two"]).where(_position(F.col("s")) != F.col("p")).select("d", "k", "first", "last")
     upto = F.max("last").over(doc.orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1))
     out = out.withColumn("new", F.when(F.col("first") <= upto + 1, 0).otherwise(1))
     out = out.withColumn("island", F.sum("new").over(doc.orderBy("first", "last").rowsBetween(Window.unboundedPreceding, 0)))
-    return materialize(out.groupBy("d", "k", "island").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("island"), "line-deleted")
+    out = materialize(out.groupBy("d", "k", "island").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("island"), "line-deleted")
+    release(first, *found)
+    return out
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, removed_col: str | None = None) -> DataFrame:

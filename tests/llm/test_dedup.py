@@ -329,6 +329,17 @@ def test_embeddings_in_many_tables(spark, monkeypatch):
     assert sum(got[i or None] == near[i] for i in range(len(v))) >= len(v) - 2 and all(got[i or None] <= near[i] for i in range(len(v)))
 
 
+def test_line_dedup_stores_few_tables_a_level(spark, monkeypatch):
+    """Five levels, of which each stores its keys, ranks, positions and runs, and nothing is asked of the runs but at the end."""
+    stored, put = [], line_dedup.materialize
+    monkeypatch.setattr(line_dedup, "materialize", lambda df, name: stored.append(name) or put(df, name))
+    copied = [f"w{i} x y" for i in range(20)]
+    rows = [(1, "\n".join(copied)), (2, "\n".join(["own line", *copied[:18], "other"])), (3, "\n".join(copied[:16])), (2, "\n".join(["own line", *copied[:18], "other"]))]
+    got = sorted(tuple(r) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, rows[0][1]), (2, "own line\nother"), (2, "own line\nother"), (3, rows[2][1])]
+    assert stored.count("line-pairs") == 5 and stored.count("line-first") == 1 and len(stored) <= 4 * 5 + 4, stored
+
+
 def test_ranks_are_those_of_a_naive_suffix_array(spark):
     """Ranks by prefix doubling against the sorted suffixes of each sequence's first 2, 4 and 8 lines."""
     rng = random.Random(6)
