@@ -92,8 +92,9 @@ class Matcher:
         self.owner, self.offset = owner[order], offset[order]
         self.piece, first = np.unique(piece[order], return_index=True)
         self.at = np.append(first, len(piece))
-        self.filter = np.zeros(1 << _TABLE, bool)
-        self.filter[(self.piece * _K1) >> np.uint64(64 - _TABLE)] = True
+        bits = min(_TABLE, len(self.piece).bit_length() + 6)  # a small table stays in the cache; what it lets by is searched for
+        self.filter, self.down = np.zeros(1 << bits, bool), np.uint64(64 - bits)
+        self.filter[(self.piece * _K1) >> self.down] = True
         self.sizes = sorted({int(x) >> 56 for x in self.piece})
         self.base = np.random.default_rng(seed).integers(0, 1 << 40, len(items))
 
@@ -103,7 +104,9 @@ class Matcher:
     def _grams(b: np.ndarray, q: int) -> np.ndarray:
         """The q bytes, at most seven, from each place on, and q; the last seven bytes begin none."""
         got = np.ndarray((max(0, len(b) - 7),), "<u8", np.ascontiguousarray(b), 0, (1,))
-        return (got & np.uint64((1 << 8 * q) - 1)) | np.uint64(q << 56)
+        got = got & np.uint64((1 << 8 * q) - 1)
+        got |= np.uint64(q << 56)
+        return got
 
     def __call__(self, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
         """(row, item, distance, end) of all matches, at most one for each row and item: the nearest, of those the first."""
@@ -139,7 +142,7 @@ class Matcher:
         places, pieces = [], []
         for q in self.sizes:
             h = self._grams(b, q)
-            p = np.flatnonzero(self.filter[(h * _K1) >> np.uint64(64 - _TABLE)])
+            p = np.flatnonzero(self.filter[((h * _K1) >> self.down).view(np.int64)])
             h = h[p]
             k = np.minimum(np.searchsorted(self.piece, h), len(self.piece) - 1)
             hit = self.piece[k] == h
@@ -158,8 +161,8 @@ class Matcher:
         cells = 1 << max(16, int(4 * len(p)).bit_length())
         cell = (self.base[item] + band) & (cells - 1)
         c = np.bincount(cell, minlength=cells)
-        c = c + np.maximum(np.roll(c, 1), np.roll(c, -1))
-        keep = np.flatnonzero(c[cell] >= self.least[item])
+        near = c[cell] + np.maximum(c[(cell - 1) & (cells - 1)], c[(cell + 1) & (cells - 1)])
+        keep = np.flatnonzero(near >= self.least[item])
         item, p, shift = item[keep], p[keep], shift[keep]
         # a match's pieces lie in a span of ``edits`` shifts: different pieces are counted from each hit on
         offset = self.offset[e[keep]]

@@ -437,3 +437,15 @@ def test_link_references(spark):
     rows = [("http://a.io/", '<link rel=canonical href="/out?u&#61;https:&#x2F;&#x2F;q.com&#47;1&amp;v=2">'), ("http://b.io/x/", '<link rel=canonical href="y.html">')]
     got = sorted(r.dst for r in url_filter.page_links(spark.createDataFrame(rows, "url string, html string")).collect())
     assert got == ["http://a.io/out?u=https://q.com/1&v=2", "http://b.io/x/y.html"]
+
+
+def test_matcher_filter_fits_its_pieces():
+    """A few items have a small table of pieces, and items at 15 % edits are found among others all the same."""
+    rng = random.Random(9)
+    items = [bytes(rng.choices(b"abcdefgh ", k=120)).strip() for _ in range(20)]
+    items = [decontaminate.plain(x.decode()) for x in items]
+    matcher = decontaminate.Matcher(items)
+    assert len(matcher.filter) <= 1 << 16
+    noise = lambda n: bytes(rng.choices(b"klmnopq ", k=n)).decode()
+    texts = [noise(300) + "".join("z" if i % 8 == 3 else chr(c) for i, c in enumerate(x)) + noise(300) for x in items]
+    assert [(r, i) for r, i, *_ in matcher(texts)] == [(i, i) for i in range(20)]
